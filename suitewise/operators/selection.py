@@ -57,8 +57,10 @@ def priority_scores(history: DataFrame, probabilities: DataFrame | None = None,
     feats = per_test_features(history, lookback).select(
         KEY, "historical_failure_rate", "recent_failures", "avg_execution_time",
         F.col("last_lines_changed").alias("lines_changed"), F.lit(True).alias("has_history"))
-    cand = candidates.select(KEY).distinct() if candidates is not None else history.select(KEY).distinct()
-    j = cand.join(feats, KEY, "left")
+    if candidates is not None:
+        j = candidates.select(KEY).distinct().join(feats, KEY, "left")
+    else:
+        j = feats
     if probabilities is not None:
         j = j.join(probabilities.select(KEY, F.col("failure_probability").alias("prob")), KEY, "left")
     else:
