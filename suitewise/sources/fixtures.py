@@ -59,7 +59,7 @@ def test_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 def model_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """History whose outcome depends on change size and test (the raw events carry no signal)."""
     events = read_table(spark, sf_dir, "events")
-    k = _k(F.col("props"))
+    k = F.col("k")  # parsed from props inside the history derivation
     label = ~(((k >= 75) & ((F.col("user_id") % 3) != 0)) | ((F.col("event_id") % 20) == 0))
     return test_history_from_events(events, label=label)
 
