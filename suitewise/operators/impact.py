@@ -139,3 +139,25 @@ def test_impact(tests: DataFrame, scores: DataFrame) -> DataFrame:
     t = tests.select(KEY).withColumn("test_file", test_file_of(F.col(KEY)))
     return (t.join(scores, "test_file", "left")
             .select(KEY, F.coalesce(F.col("impact"), F.lit(0.0)).alias("impact")))
+
+
+def impact_scores_by(mapping: DataFrame, imports: DataFrame, changed: DataFrame,
+                     by: list[str]) -> DataFrame:
+    """D5 for several change sets at once: ``changed`` is (by..., file_path).
+
+    Direct impact is an equi-join on the mapped source; import impact keeps
+    which module matched (exploded substring join) and joins it back to the
+    change sets that contain that module.
+    """
+    from suitewise.operators.joins import contains_pairs
+    ch = changed.select(*by, "file_path").distinct()
+    direct = (mapping.join(ch.withColumnRenamed("file_path", "source_file"), "source_file")
+              .select(*by, "test_file", F.lit(DIRECT_IMPACT).alias("impact")))
+    modules = ch.select(*by, path_to_module(F.col("file_path")).alias("module")).distinct()
+    mapped_imports = imports.join(mapping.select("test_file"), "test_file", "left_semi")
+    pairs = contains_pairs(mapped_imports, "import_name", modules.select("module").distinct(), "module")
+    hits = (mapped_imports.join(pairs, mapped_imports["import_name"] == pairs["_v"])
+            .select("test_file", F.col("_piece").alias("module")).distinct()
+            .join(modules, "module")
+            .select(*by, "test_file", F.lit(IMPORT_IMPACT).alias("impact")))
+    return direct.unionByName(hits).groupBy(*by, "test_file").agg(F.max("impact").alias("impact"))

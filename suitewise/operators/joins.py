@@ -58,3 +58,19 @@ def endswith_flag(left: DataFrame, lcol: str, right: DataFrame, rcol: str, flag:
     hits = _matched_values(left, lcol, right, rcol, suffix=True)
     j = left.join(hits, left[lcol] == hits["_v"], "left")
     return j.select(*[left[c] for c in left.columns], hits["_v"].isNotNull().alias(flag))
+
+
+def contains_pairs(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> DataFrame:
+    """Distinct (left value, right value) pairs where the right value occurs inside the left one.
+
+    Output columns ``_v`` (left) and ``_piece`` (right). Same exploded equi-join
+    as ``contains_semi_join``, keeping which right value matched.
+    """
+    vals = left.select(F.col(lcol).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    cand = vals.select("_v", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_v"), F.lit(1))))
+                       .alias("_len")).join(_lengths(right, rcol), "_len")
+    starts = cand.select("_v", "_len", F.explode(
+        F.sequence(F.lit(1), F.length("_v") - F.col("_len") + 1)).alias("_start"))
+    pieces = starts.select("_v", "_len", F.expr("substring(_v, _start, _len)").alias("_piece"))
+    keys = right.select(F.length(rcol).alias("_len"), F.col(rcol).alias("_piece")).distinct()
+    return pieces.join(keys, ["_len", "_piece"]).select("_v", "_piece").distinct()

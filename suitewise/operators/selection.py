@@ -201,3 +201,75 @@ def collected_summary(flags: DataFrame) -> DataFrame:
     return flags.agg(F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("skipped"),
                      (F.count_if(~F.col("kept")).cast("double") / F.count(F.lit(1)).cast("double") * 100.0)
                      .alias("reduction_percentage"))
+
+
+def priority_expr(prob: Column, imp: Column, rate: Column, recent: Column) -> Column:
+    """H1 score from its four factors (same evaluation order everywhere)."""
+    return (prob * F.lit(W_PROBABILITY) + imp * F.lit(W_IMPACT) + rate * F.lit(W_RATE)
+            + recent_share(recent) * F.lit(W_RECENT))
+
+
+def scenario_comparison(history: DataFrame, probabilities: DataFrame, scenario_impact: DataFrame,
+                        scenarios: DataFrame, min_tests: int = 5, max_tests: int = 100,
+                        min_score: float = DEFAULT_MIN_SCORE, scenario: str = "scenario_id") -> DataFrame:
+    """Selection size and reduction per change scenario, plus an 'Average' row.
+
+    Without a time budget the selected set is the first min_tests tests plus
+    every test scoring >= min_score up to max_tests, so its size is
+    least(total, greatest(min, least(max, n_ge))) with n_ge the number of tests
+    at or above the threshold. n_ge per scenario = the count at impact 0 plus a
+    correction over the tests that scenario impacts: no tests x scenarios
+    product is built, and only impacted (scenario, test) pairs are scored.
+    """
+    comp = (per_test_features(history).select(KEY, "historical_failure_rate", "recent_failures")
+            .join(probabilities.select(KEY, F.col("failure_probability").alias("prob")), KEY, "left")
+            .withColumn("test_file", test_file_of(F.col(KEY))))
+    prob = F.coalesce(F.col("prob"), F.lit(0.0))
+    rate, recent = F.col("historical_failure_rate"), F.col("recent_failures")
+    base_score = priority_expr(prob, F.lit(0.0), rate, recent)
+    base = comp.agg(F.count(F.lit(1)).alias("total_tests"),
+                    F.count_if(base_score >= F.lit(min_score)).alias("n_ge_base"))
+    adj = priority_expr(prob, F.col("impact"), rate, recent)
+    delta = (scenario_impact.join(comp, "test_file")
+             .groupBy(scenario).agg((F.count_if(adj >= F.lit(min_score))
+                                     - F.count_if(base_score >= F.lit(min_score))).alias("delta")))
+    per = (scenarios.select(scenario).distinct().join(delta, scenario, "left")
+           .withColumn("_one", F.lit(1))
+           .join(F.broadcast(base.withColumn("_one", F.lit(1))), "_one"))
+    n_ge = F.col("n_ge_base") + F.coalesce(F.col("delta"), F.lit(0))
+    selected = F.least(F.col("total_tests"), F.greatest(F.lit(min_tests), F.least(F.lit(max_tests), n_ge)))
+    rows = per.select(F.col(scenario).cast("string").alias("scenario"), "total_tests",
+                      selected.cast("double").alias("selected"),
+                      ((F.lit(1.0) - F.try_divide(selected.cast("double"), F.col("total_tests").cast("double")))
+                       * 100.0).alias("reduction"))
+    avg = rows.agg(F.lit("Average").alias("scenario"), F.lit(None).cast("bigint").alias("total_tests"),
+                   F.avg("selected").alias("selected"), F.avg("reduction").alias("reduction"))
+    return rows.unionByName(avg)
+
+
+def selection_backtest(history: DataFrame, impact: DataFrame, probability_fn,
+                       min_tests: int = 5, max_tests: int = 100,
+                       min_score: float = DEFAULT_MIN_SCORE) -> DataFrame:
+    """Select with the history before the latest run, judge against that run.
+
+    ``probability_fn(history) -> (full_test_name, failure_probability)``.
+    Reports tests run, failing tests, how many of them the selection caught
+    or missed, recall, and run time of the whole run versus the selection.
+    """
+    last = history.agg(F.max("run_id").alias("_eval_run")).withColumn("_one", F.lit(1))
+    h = history.withColumn("_one", F.lit(1)).join(F.broadcast(last), "_one").drop("_one")
+    past = h.where(F.col("run_id") < F.col("_eval_run")).drop("_eval_run")
+    nxt = h.where(F.col("run_id") == F.col("_eval_run"))
+    sel = (select_tests(priority_scores(past, probability_fn(past), impact), min_tests, max_tests, min_score)
+           .select(KEY, F.lit(True).alias("sel")))
+    outcome = nxt.groupBy(KEY).agg((F.count_if(~F.col("passed")) > 0).alias("failed"),
+                                   F.sum("execution_time").alias("t"))
+    j = outcome.join(sel, KEY, "left").withColumn("sel", F.coalesce("sel", F.lit(False)))
+    s, f = F.col("sel"), F.col("failed")
+    a = j.agg(F.count(F.lit(1)).alias("tests_run"), F.count_if(f).alias("failing_tests"),
+              F.count_if(s).alias("selected_run"), F.count_if(s & f).alias("caught"),
+              F.count_if(~s & f).alias("missed"),
+              F.sum("t").cast("double").alias("time_all"),
+              F.coalesce(F.sum(F.when(s, F.col("t"))), F.lit(0)).cast("double").alias("time_selected"))
+    return a.select("*", F.try_divide(F.col("caught").cast("double"), F.col("failing_tests").cast("double"))
+                    .alias("recall"), (F.col("time_all") - F.col("time_selected")).alias("time_saved"))

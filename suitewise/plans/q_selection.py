@@ -331,3 +331,89 @@ def collected_filter_summary(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     sel = H.select_tests(H.priority_scores(i.history, i.scores, i.impact))
     return collected_summary(cf(i.candidates.select(F.col(KEY).alias("test_id")), sel))
+
+
+# ---------------------------------------------------------------- H14, H15
+
+def _scenarios(spark, sf_dir):
+    from suitewise.sources.tables import read_table
+    m = F.col("s_suppkey") % 12
+    s = read_table(spark, sf_dir, "supplier", "s_suppkey").where(m.isin(1, 4, 7)).select(
+        m.alias("m"), F.concat(F.lit("src/m"), m.cast("string"), F.lit(".py")).alias("file_path"))
+    one = s.where(F.col("m").isin(1, 4)).select(
+        F.when(F.col("m") == 1, "A").otherwise("B").alias("scenario_id"), "file_path")
+    allc = s.select(F.lit("C").alias("scenario_id"), "file_path")
+    return one.unionByName(allc).distinct()
+
+
+_SCENARIO_SQL = with_ctes(["mp", "ti", "ptf", "fs"], """,
+sc AS (SELECT DISTINCT scenario_id, file_path FROM (
+  SELECT CASE WHEN s_suppkey % 12 = 1 THEN 'A' ELSE 'B' END AS scenario_id,
+    concat('src/m', CAST(s_suppkey % 12 AS STRING), '.py') AS file_path FROM supplier WHERE s_suppkey % 12 IN (1, 4)
+  UNION ALL
+  SELECT 'C', concat('src/m', CAST(s_suppkey % 12 AS STRING), '.py') FROM supplier WHERE s_suppkey % 12 IN (1, 4, 7)) x),
+simp AS (SELECT scenario_id, test_file, max(impact) AS impact FROM (
+  SELECT sc.scenario_id, mp.test_file, CAST(1.0 AS DOUBLE) AS impact FROM mp JOIN sc ON mp.source_file = sc.file_path
+  UNION ALL
+  SELECT DISTINCT sc.scenario_id, i.test_file, CAST(0.5 AS DOUBLE) FROM ti i JOIN sc
+    ON contains(i.import_name, ltrim(replace(replace(replace(sc.file_path, '.py', ''), '/', '.'), '\\', '.'), '.'))
+  WHERE i.test_file IN (SELECT test_file FROM mp)) u GROUP BY 1, 2),
+sp AS (SELECT s.scenario_id, f.full_test_name,
+    coalesce(p.failure_probability, 0.0) * CAST(0.4 AS DOUBLE) + coalesce(si.impact, 0.0) * CAST(0.3 AS DOUBLE)
+    + f.historical_failure_rate * CAST(0.15 AS DOUBLE)
+    + least(CAST(f.recent_failures AS DOUBLE) / 5.0, 1.0) * CAST(0.15 AS DOUBLE) AS score
+  FROM (SELECT DISTINCT scenario_id FROM sc) s CROSS JOIN ptf f LEFT JOIN fs p USING (full_test_name)
+  LEFT JOIN simp si ON si.scenario_id = s.scenario_id AND si.test_file = split_part(f.full_test_name, '::', 1)),
+per AS (SELECT scenario_id AS scenario, count(*) AS total_tests,
+    CAST(count_if(rank <= 5 OR (rank <= 100 AND score >= 0.3)) AS DOUBLE) AS selected
+  FROM (SELECT *, row_number() OVER (PARTITION BY scenario_id ORDER BY score DESC, full_test_name) AS rank FROM sp) r
+  GROUP BY scenario_id)
+SELECT scenario, total_tests, selected, round((1.0 - selected / CAST(total_tests AS DOUBLE)) * 100.0, 6) AS reduction
+FROM per
+UNION ALL
+SELECT 'Average', NULL, avg(selected), round(avg((1.0 - selected / CAST(total_tests AS DOUBLE)) * 100.0), 6) FROM per""")
+# with_ctes ends its list before the body; the body above continues the WITH list
+_SCENARIO_SQL = _SCENARIO_SQL.replace("\n,\nsc AS (", ",\nsc AS (", 1)
+
+
+@register("scenario_comparison", _SCENARIO_SQL)
+def scenario_comparison(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    sc = _scenarios(spark, sf_dir)
+    simp = D.impact_scores_by(i.mapping, i.imports, sc, ["scenario_id"])
+    r = H.scenario_comparison(i.history, i.scores, simp, sc)
+    return r.select("scenario", "total_tests", "selected", F.round("reduction", 6).alias("reduction"))
+
+
+def _backtest_sql() -> str:
+    import re
+
+    from suitewise.plans.oracle_fixtures import CTES
+    names = {"thr": "thr_p", "ptf": "ptf_p", "fs": "fs_p", "pr": "pr_p", "prk": "prk_p"}
+    parts = []
+    for n in ("thr", "ptf", "fs", "pr", "prk"):
+        sql = re.sub(r"\bth\b", "past", CTES[n][1])
+        for a, b in names.items():
+            sql = re.sub(rf"\b{a}\b", b, sql)
+        parts.append(f"{names[n]} AS (\n{sql}\n)")
+    head = with_ctes(["th", "imp"], "SELECT 1").rsplit("\nSELECT 1", 1)[0]
+    return head + """,
+ev AS (SELECT max(run_id) AS r FROM th),
+past AS (SELECT * FROM th WHERE run_id < (SELECT r FROM ev)),
+""" + ",\n".join(parts) + """
+SELECT count(*) AS tests_run, count_if(failed) AS failing_tests, count_if(sel) AS selected_run,
+  count_if(sel AND failed) AS caught, count_if(NOT sel AND failed) AS missed,
+  CAST(sum(t) AS DOUBLE) AS time_all, CAST(coalesce(sum(t) FILTER (WHERE sel), 0) AS DOUBLE) AS time_selected,
+  CAST(count_if(sel AND failed) AS DOUBLE) / CAST(count_if(failed) AS DOUBLE) AS recall,
+  CAST(sum(t) AS DOUBLE) - CAST(coalesce(sum(t) FILTER (WHERE sel), 0) AS DOUBLE) AS time_saved
+FROM (SELECT n.full_test_name, n.failed, n.t, s.full_test_name IS NOT NULL AS sel
+  FROM (SELECT full_test_name, count_if(NOT passed) > 0 AS failed, sum(execution_time) AS t
+        FROM th WHERE run_id = (SELECT r FROM ev) GROUP BY full_test_name) n
+  LEFT JOIN (SELECT full_test_name FROM prk_p WHERE rank <= 5 OR (rank <= 100 AND priority_score >= 0.3)) s
+  USING (full_test_name)) x"""
+
+
+@register("selection_backtest", _backtest_sql())
+def selection_backtest(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return H.selection_backtest(i.history, i.impact, X.failure_scores)
