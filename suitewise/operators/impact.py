@@ -56,16 +56,22 @@ def direct_impact(mapping: DataFrame, changed: DataFrame) -> DataFrame:
 
 
 def import_impact(mapping: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:
-    """Mapped test files importing (by substring, T11) a changed module -> 0.5."""
+    """Mapped test files importing (by substring, T11) a changed module -> 0.5.
+
+    The substring match runs over the imports first; the (small) mapping then
+    filters the matched test files, so the mapping plan is not repeated inside
+    the match.
+    """
     modules = changed.select(path_to_module(F.col("file_path")).alias("module")).distinct()
-    mapped_imports = imports.join(mapping.select("test_file"), "test_file", "left_semi")
-    hit = contains_semi_join(mapped_imports, "import_name", modules, "module")
-    return hit.select("test_file").distinct().select("test_file", F.lit(IMPORT_IMPACT).alias("impact"))
+    hit = contains_semi_join(imports, "import_name", modules, "module").select("test_file").distinct()
+    mapped = hit.join(mapping.select("test_file"), "test_file", "left_semi")
+    return mapped.select("test_file", F.lit(IMPORT_IMPACT).alias("impact"))
 
 
 def impact_scores(mapping: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:
     """Max of direct and import impact per test file; zero rows dropped."""
-    both = direct_impact(mapping, changed).unionByName(import_impact(mapping, imports, changed))
+    m = mapping.select("test_file", "source_file").distinct()  # one subtree, reused by both branches
+    both = direct_impact(m, changed).unionByName(import_impact(m, imports, changed))
     return both.groupBy("test_file").agg(F.max("impact").alias("impact"))
 
 
@@ -150,14 +156,15 @@ def impact_scores_by(mapping: DataFrame, imports: DataFrame, changed: DataFrame,
     change sets that contain that module.
     """
     from suitewise.operators.joins import contains_pairs
+    mapping = mapping.select("test_file", "source_file").distinct()
     ch = changed.select(*by, "file_path").distinct()
     direct = (mapping.join(ch.withColumnRenamed("file_path", "source_file"), "source_file")
               .select(*by, "test_file", F.lit(DIRECT_IMPACT).alias("impact")))
     modules = ch.select(*by, path_to_module(F.col("file_path")).alias("module")).distinct()
-    mapped_imports = imports.join(mapping.select("test_file"), "test_file", "left_semi")
-    pairs = contains_pairs(mapped_imports, "import_name", modules.select("module").distinct(), "module")
-    hits = (mapped_imports.join(pairs, mapped_imports["import_name"] == pairs["_v"])
+    pairs = contains_pairs(imports, "import_name", modules.select("module").distinct(), "module")
+    hits = (imports.join(pairs, imports["import_name"] == pairs["_v"])
             .select("test_file", F.col("_piece").alias("module")).distinct()
+            .join(mapping.select("test_file"), "test_file", "left_semi")
             .join(modules, "module")
             .select(*by, "test_file", F.lit(IMPORT_IMPACT).alias("impact")))
     return direct.unionByName(hits).groupBy(*by, "test_file").agg(F.max("impact").alias("impact"))

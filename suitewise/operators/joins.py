@@ -14,22 +14,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _lengths(right: DataFrame, rcol: str) -> DataFrame:
-    return right.select(F.length(rcol).alias("_len")).where(F.col("_len") > 0).distinct()
+def _keys(right: DataFrame, rcol: str) -> DataFrame:
+    """Distinct non-empty right values with their lengths (computed once, reused)."""
+    return (right.select(F.length(rcol).alias("_len"), F.col(rcol).alias("_piece"))
+            .where(F.col("_len") > 0).distinct())
+
+
+def _lengths(keys: DataFrame) -> DataFrame:
+    return keys.select("_len").distinct()
 
 
 def _matched_values(left: DataFrame, lcol: str, right: DataFrame, rcol: str, suffix: bool) -> DataFrame:
     vals = left.select(F.col(lcol).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    lens = _lengths(right, rcol)
+    keys = _keys(right, rcol)
     cand = vals.select("_v", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_v"), F.lit(1))))
-                       .alias("_len")).join(lens, "_len")
+                       .alias("_len")).join(_lengths(keys), "_len")
     if suffix:
         pieces = cand.select("_v", "_len", F.expr("substring(_v, -_len, _len)").alias("_piece"))
     else:
         starts = cand.select("_v", "_len", F.explode(
             F.sequence(F.lit(1), F.length("_v") - F.col("_len") + 1)).alias("_start"))
         pieces = starts.select("_v", "_len", F.expr("substring(_v, _start, _len)").alias("_piece"))
-    keys = right.select(F.length(rcol).alias("_len"), F.col(rcol).alias("_piece")).distinct()
     return pieces.join(keys, ["_len", "_piece"], "left_semi").select("_v").distinct()
 
 
@@ -67,10 +72,10 @@ def contains_pairs(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> D
     as ``contains_semi_join``, keeping which right value matched.
     """
     vals = left.select(F.col(lcol).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    keys = _keys(right, rcol)
     cand = vals.select("_v", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_v"), F.lit(1))))
-                       .alias("_len")).join(_lengths(right, rcol), "_len")
+                       .alias("_len")).join(_lengths(keys), "_len")
     starts = cand.select("_v", "_len", F.explode(
         F.sequence(F.lit(1), F.length("_v") - F.col("_len") + 1)).alias("_start"))
     pieces = starts.select("_v", "_len", F.expr("substring(_v, _start, _len)").alias("_piece"))
-    keys = right.select(F.length(rcol).alias("_len"), F.col(rcol).alias("_piece")).distinct()
     return pieces.join(keys, ["_len", "_piece"]).select("_v", "_piece").distinct()

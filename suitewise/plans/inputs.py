@@ -32,8 +32,9 @@ class Inputs:
 
     @property
     def mapping(self) -> DataFrame:
-        h = self.history
-        return D.test_source_map(X.test_files(h), X.source_files(h), source_dir="src/")
+        # one distinct (test_file, source_file) table feeds both file lists
+        pairs = self.history.select("test_file", "source_file").distinct()
+        return D.test_source_map(X.test_files(pairs), X.source_files(pairs), source_dir="src/")
 
     @property
     def impact(self) -> DataFrame:
