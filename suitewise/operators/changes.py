@@ -93,7 +93,9 @@ def change_magnitude(files: DataFrame, stats: DataFrame) -> DataFrame:
     j = files.select("file_path").distinct().join(stats, "file_path", "left")
     mag = F.least((F.col("lines_added") + F.col("lines_removed")).cast("double") / F.lit(MAGNITUDE_LINES),
                   F.lit(1.0))
-    return j.select("file_path", F.coalesce(mag, F.lit(0.0)).alias("magnitude"))
+    # least() skips NULLs, so a file without a diff must be caught before it
+    return j.select("file_path", F.when(F.col("lines_added").isNull(), F.lit(0.0)).otherwise(mag)
+                    .alias("magnitude"))
 
 
 def changed_line_numbers(ranges: DataFrame) -> DataFrame:

@@ -24,6 +24,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from suitewise.operators.ordered import running_totals
+
 KEY = "full_test_name"
 ORDER = ("run_ts", "exec_id")
 
@@ -274,11 +276,32 @@ def _prior_since_failure(w: Window) -> Column:
 
 
 def rolling_failures(history: DataFrame, rows: int = RECENT_ROWS) -> DataFrame:
-    """Failures in the current and previous ``rows - 1`` rows of the test."""
-    frame = oldest_first().rowsBetween(-(rows - 1), 0)
-    return history.select(KEY, "exec_id",
-                          F.sum(F.when(_failed(), 1).otherwise(0)).over(frame).cast("bigint")
-                          .alias("rolling_failures"))
+    """Failures in the current and previous ``rows - 1`` rows of the test.
+
+    Skew-tolerant form of a per-test row frame: one global order (test, run_ts,
+    exec_id) with a start marker per test, range partitioned, carries running
+    counts c (rows) and f (failures). For a row, rn = c - c(start) and the
+    result is f - f(row c - rows) when rn > rows, else f - f(start). The start
+    values come from a one-row-per-test table (broadcast by AQE when small,
+    skew-split when not); the earlier row is an equi-join on the unique c.
+    """
+    real = history.select(KEY, F.col("run_ts").alias("_t"), F.lit(1).alias("_kind"),
+                          F.col("exec_id").alias("_ref"), F.lit(1).alias("_one"),
+                          F.when(_failed(), 1).otherwise(0).alias("_fail"))
+    start = history.select(KEY).distinct().select(
+        KEY, F.lit(None).cast(history.schema["run_ts"].dataType).alias("_t"), F.lit(0).alias("_kind"),
+        F.lit(None).cast("bigint").alias("_ref"), F.lit(0).alias("_one"), F.lit(0).alias("_fail"))
+    c = running_totals(real.unionByName(start),
+                       [F.col(KEY), F.col("_t").asc_nulls_first(), F.col("_kind"), F.col("_ref")],
+                       ["_one", "_fail"])
+    marks = c.where(F.col("_kind") == 0).select(KEY, F.col("cum__one").alias("c0"), F.col("cum__fail").alias("f0"))
+    body = c.where(F.col("_kind") == 1).select(KEY, F.col("_ref").alias("exec_id"),
+                                               F.col("cum__one").alias("c"), F.col("cum__fail").alias("f"))
+    back = body.select(F.col("c").alias("c_back"), F.col("f").alias("f_back"))
+    j = (body.join(marks, KEY)
+         .join(back, F.col("c") - rows == F.col("c_back"), "left"))
+    earlier = F.when(F.col("c") - F.col("c0") > rows, F.col("f_back")).otherwise(F.col("f0"))
+    return j.select(KEY, "exec_id", (F.col("f") - earlier).cast("bigint").alias("rolling_failures"))
 
 
 def coupling_flag(history: DataFrame) -> DataFrame:

@@ -1,10 +1,20 @@
-"""Global order without a single-partition window.
+"""Global order without a single-partition window, and without a per-key window.
 
-A window with no PARTITION BY moves every row to one task. For a ranking or a
-running total over a whole table we range-partition on the order (balanced by
-Spark's sampler), number rows inside each range, and add the row counts (or
-sums) of all earlier ranges. The per-range totals table has one row per
-partition, so it is bounded by the partition count and safe to broadcast.
+A window with no PARTITION BY moves every row to one task, and a window
+partitioned by a key puts all rows of a hot key into one task. For ranks,
+running sums over a global order we instead:
+
+1. range-partition on the order (Spark samples the keys, so even one hot key
+   is cut into several ranges) and sort inside each range;
+2. compute the running values inside each range with vectorised cumulative
+   sums over the sorted Arrow batches (``mapInPandas``; no second
+   shuffle);
+3. add the totals of all earlier ranges, taken from a per-range aggregate
+   whose size is bounded by the partition count (so it is safe to broadcast).
+
+Per-key running values follow from global ones by subtracting the value at a
+per-key start marker (a one-row-per-key table); lookups ("the row 10
+positions earlier") become equi-joins on the unique global position.
 """
 
 from __future__ import annotations
@@ -13,6 +23,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _PID = "_range_pid"
 
@@ -21,21 +32,40 @@ def _partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def _local_running(sums: Sequence[str]):
+    def run(batches):
+        carry = {c: 0 for c in sums}
+        for pdf in batches:
+            for c in sums:
+                cs = pdf[c].fillna(0).astype("int64").cumsum() + carry[c]
+                if len(cs):
+                    carry[c] = int(cs.iloc[-1])
+                pdf[f"_loc_{c}"] = cs
+            yield pdf
+    return run
+
+
 def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str],
                    prefix: str = "cum_", with_index: str | None = None) -> DataFrame:
-    """Inclusive running sums of ``sums`` in the global ``order``.
+    """Inclusive running sums of the non-negative integer columns ``sums`` in the global ``order``.
 
-    ``order`` must be a total order (ties would make the running value depend
-    on placement). ``with_index`` adds a 1-based position column.
+    ``order`` must be a total order. ``with_index`` adds a 1-based position.
     """
     n = _partitions(df)
-    ranged = df.repartitionByRange(n, *order).withColumn(_PID, F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(
+        _PID, F.spark_partition_id())
     value_cols = list(sums) + ([with_index] if with_index else [])
     if with_index:
         ranged = ranged.withColumn(with_index, F.lit(1).cast("bigint"))
-    w = Window.partitionBy(_PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.select("*", *[F.sum(c).over(w).alias(f"_loc_{c}") for c in value_cols])
-    totals = ranged.groupBy(_PID).agg(*[F.sum(c).alias(f"_tot_{c}") for c in value_cols])
+    schema = StructType(list(ranged.schema.fields)
+                        + [StructField(f"_loc_{c}", LongType()) for c in value_cols])
+    local = ranged.mapInPandas(_local_running(value_cols), schema)
+    # Totals come from the same mapInPandas output: both branches then share one
+    # subtree (Python consumes every column, so nothing is pruned below it) and
+    # reuse a single range exchange, i.e. identical range boundaries. With
+    # non-negative values the partition total is the largest running value.
+    # (Relies on spark.sql.exchange.reuse, on by default: one shuffle, one set of bounds.)
+    totals = local.groupBy(_PID).agg(*[F.max(f"_loc_{c}").alias(f"_tot_{c}") for c in value_cols])
     before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(_PID, *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0))
                                     .alias(f"_off_{c}") for c in value_cols])

@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from suitewise.operators.ordered import running_totals
+
 US_PER_SECOND = 1_000_000
 
 
@@ -30,20 +32,35 @@ def _ordered(key: str) -> Window:
 
 
 def rate_check(events: DataFrame, key: str, max_requests: int, window_seconds: int) -> DataFrame:
-    """L1: every request recorded; allowed if fewer than ``max_requests`` earlier ones are younger
-    than the window (age exactly equal to the window has expired)."""
+    """L1 + L3: every request recorded; allowed if fewer than ``max_requests`` earlier ones are
+    younger than the window (age exactly equal to the window has expired); wait time when not.
+
+    No window partitioned by ``key``: real rows and one probe per row placed at
+    ``t - window`` go into one global order (key, time, kind, id), range
+    partitioned, so a key holding a third of all rows is split across tasks.
+    With c(x) the running count of real rows, n_recent = c(row) - 1 - c(probe);
+    the oldest request inside the window is the real row numbered c(probe) + 1.
+    Both lookups are equi-joins on unique ids.
+    """
     win = window_seconds * US_PER_SECOND
-    e = events.select(key, "event_id", "ts", epoch_us(F.col("ts")).alias("us"))
-    rn = F.row_number().over(_ordered(key))
-    expired = F.count(F.lit(1)).over(
-        Window.partitionBy(key).orderBy("us").rangeBetween(Window.unboundedPreceding, -win))
-    n_recent = (rn - 1 - expired).cast("bigint")
-    oldest = F.min("us").over(Window.partitionBy(key).orderBy("us").rangeBetween(-(win - 1), 0))
-    r = e.select(key, "event_id", n_recent.alias("n_recent"), "us", oldest.alias("oldest_us"))
-    allowed = F.col("n_recent") < max_requests
+    e = events.select(key, "event_id", epoch_us(F.col("ts")).alias("us"))
+    real = e.select(key, F.col("us").alias("_t"), F.lit(0).alias("_kind"), F.col("event_id").alias("_ref"),
+                    F.lit(1).alias("_one"))
+    probe = e.select(key, (F.col("us") - F.lit(win)).alias("_t"), F.lit(1).alias("_kind"),
+                     F.col("event_id").alias("_ref"), F.lit(0).alias("_one"))
+    c = running_totals(real.unionByName(probe), [F.col(key), F.col("_t"), F.col("_kind"), F.col("_ref")],
+                       ["_one"])
+    rows = c.where(F.col("_kind") == 0).select(key, F.col("_ref").alias("event_id"), F.col("_t").alias("us"),
+                                                F.col("cum__one").alias("c_row"))
+    probes = c.where(F.col("_kind") == 1).select(F.col("_ref").alias("event_id"), F.col("cum__one").alias("c_probe"))
+    first_inside = rows.select(F.col("c_row").alias("c_next"), F.col("us").alias("oldest_us"))
+    j = (rows.join(probes, "event_id")
+         .join(first_inside, F.col("c_probe") + 1 == F.col("c_next"), "left"))
+    n_recent = (F.col("c_row") - 1 - F.col("c_probe")).cast("bigint")
+    allowed = n_recent < max_requests
     wait = F.when(allowed, F.lit(0.0)).otherwise(
         (F.lit(win) - (F.col("us") - F.col("oldest_us"))).cast("double") / F.lit(float(US_PER_SECOND)))
-    return r.select(key, "event_id", "n_recent", allowed.alias("allowed"), wait.alias("wait_seconds"))
+    return j.select(key, "event_id", n_recent.alias("n_recent"), allowed.alias("allowed"), wait.alias("wait_seconds"))
 
 
 def _admit_batches(key: str, max_requests: int, win: int):

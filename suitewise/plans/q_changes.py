@@ -108,7 +108,8 @@ def file_diff_stats(spark, sf_dir):
 
 
 @register("change_magnitude", with_ctes(["snap", "fds"], """
-SELECT f.file_path, coalesce(least(CAST(s.lines_added + s.lines_removed AS DOUBLE) / 100.0, 1.0), 0.0) AS magnitude
+SELECT f.file_path, CASE WHEN s.file_path IS NULL THEN 0.0
+  ELSE least(CAST(s.lines_added + s.lines_removed AS DOUBLE) / 100.0, 1.0) END AS magnitude
 FROM (SELECT DISTINCT file_path FROM snap WHERE version = 'head') f LEFT JOIN fds s USING (file_path)"""))
 def change_magnitude(spark, sf_dir):
     snaps = X.file_snapshots(spark, sf_dir)
