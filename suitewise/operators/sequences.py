@@ -1,12 +1,14 @@
 """Event-sequence operators (family L): rate limiting, lockout, sessions.
 
 Events are (key, ts, event_id, ...) rows; order inside a key is (ts,
-event_id). L1, L3, L4 and L5 are window expressions (running counts, range
-frames, gaps and islands). L2 is order dependent in a way no window can
-express (only admitted requests count), so it streams each key's sorted rows
-through a small state machine in ``mapInPandas``: rows are hash-partitioned
-by key and sorted inside partitions, so the function holds one key's recent
-admissions at a time, never a whole group.
+event_id). L1, L3, L4 and L5 use no window partitioned by the key: they run
+over one range-partitioned global order (``operators/ordered.py``), so a key
+with a third of all events is still cut across many tasks, and every lookup is
+an equi-join on a unique id or position. L2 is order dependent in a way no
+prefix formula expresses (only admitted requests count), so it streams each
+key's sorted rows through a small state machine in ``mapInPandas``: rows are
+hash-partitioned by key and sorted inside partitions, so the function holds
+one key's recent admissions at a time, never a whole group.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from collections import deque
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suitewise.operators.ordered import running_totals
@@ -27,10 +29,6 @@ def epoch_us(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
-def _ordered(key: str) -> Window:
-    return Window.partitionBy(key).orderBy("ts", "event_id")
-
-
 def rate_check(events: DataFrame, key: str, max_requests: int, window_seconds: int) -> DataFrame:
     """L1 + L3: every request recorded; allowed if fewer than ``max_requests`` earlier ones are
     younger than the window (age exactly equal to the window has expired); wait time when not.
@@ -98,30 +96,47 @@ WRONG_PASSWORD, PASSWORD_RESET = "error", "signup"
 MAX_ATTEMPTS = 3
 
 
+def _with_start_markers(events: DataFrame, key: str, cols: dict) -> tuple[DataFrame, list[Column]]:
+    """Real rows (kind 1) plus one start marker per key (kind 0, first in the key's order)."""
+    ts_type = events.schema["ts"].dataType
+    real = events.select(key, F.col("ts").alias("_t"), F.lit(1).alias("_kind"), "event_id", "event_type",
+                         *[expr.alias(name) for name, (expr, _) in cols.items()])
+    start = events.select(key).distinct().select(
+        key, F.lit(None).cast(ts_type).alias("_t"), F.lit(0).alias("_kind"),
+        F.lit(None).cast("bigint").alias("event_id"), F.lit(None).cast("string").alias("event_type"),
+        *[F.lit(v).alias(name) for name, (_, v) in cols.items()])
+    order = [F.col(key), F.col("_t").asc_nulls_first(), F.col("_kind"), F.col("event_id")]
+    return real.unionByName(start), order
+
+
 def login_lockout(events: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """L4: wrong logins lock after ``max_attempts`` in a row; locked refuses all; reset unlocks.
 
-    epoch = resets so far; island = right passwords so far inside the epoch;
-    streak = wrong passwords so far inside the island; a row is locked when
-    an earlier row of its epoch reached the limit.
+    Without a window per key: in one global order (key, ts, event_id) with a
+    start marker per key acting as a reset, each row learns the position of
+    the last reset and the last right password before it; the streak of a
+    wrong password is the wrong count since the later of the two (a lookup on
+    the unique position). A second pass finds the last row that reached the
+    limit; a row is locked when that row lies inside its own epoch.
     """
-    w = _ordered(key)
-    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     is_reset = F.col("event_type") == PASSWORD_RESET
     is_wrong = F.col("event_type") == WRONG_PASSWORD
-    e = events.select(key, "event_id", "ts", "event_type",
-                      F.sum(is_reset.cast("int")).over(run).alias("epoch"))
-    we = Window.partitionBy(key, "epoch").orderBy("ts", "event_id")
-    e = e.withColumn("island", F.sum((~is_reset & ~is_wrong).cast("int")).over(
-        we.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    wi = Window.partitionBy(key, "epoch", "island").orderBy("ts", "event_id")
-    e = e.withColumn("streak", F.sum(is_wrong.cast("int")).over(
-        wi.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    locked_before = F.coalesce(F.max((F.col("streak") >= max_attempts).cast("int")).over(
-        we.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
-    outcome = (F.when(is_reset, "reset").when(locked_before, "locked")
-               .when(is_wrong, "wrong").otherwise("success"))
-    return e.select(key, "event_id", "event_type", outcome.alias("outcome"))
+    u, order = _with_start_markers(events, key, {
+        "_reset": (is_reset, True), "_succ": (~is_reset & ~is_wrong, False),
+        "_wrong": (is_wrong.cast("int"), 0)})
+    c = running_totals(u, order, ["_wrong"], with_index="_pos", last_before=["_reset", "_succ"])
+    epoch_start = F.when(F.col("_reset"), F.col("_pos")).otherwise(F.col("prev__reset"))
+    island_start = F.greatest(epoch_start, F.coalesce(F.col("prev__succ"), F.lit(0)))
+    c = c.select("*", epoch_start.alias("_epoch"), island_start.alias("_island"))
+    back = c.select(F.col("_pos").alias("_ipos"), F.col("cum__wrong").alias("_iwrong"))
+    s = c.join(back, F.col("_island") == F.col("_ipos"), "left")
+    streak = F.col("cum__wrong") - F.col("_iwrong")
+    s = s.select(*u.columns, "_epoch", ((F.col("_wrong") == 1) & (streak >= max_attempts)).alias("_lock"))
+    c2 = running_totals(s, order, [], with_index="_pos2", last_before=["_lock"])
+    locked_before = F.coalesce(F.col("prev__lock") >= F.col("_epoch"), F.lit(False))
+    outcome = (F.when(F.col("_reset"), "reset").when(locked_before, "locked")
+               .when(F.col("_wrong") == 1, "wrong").otherwise("success"))
+    return c2.where(F.col("_kind") == 1).select(key, "event_id", "event_type", outcome.alias("outcome"))
 
 
 # Session roles (fixed values)
@@ -129,8 +144,14 @@ LOGIN, LOGOUT = "view", "purchase"
 
 
 def session_validity(events: DataFrame, key: str) -> DataFrame:
-    """A session is valid between a login and the next logout of the same key."""
-    mark = F.when(F.col("event_type") == LOGIN, "in").when(F.col("event_type") == LOGOUT, "out")
-    last = F.last(mark, ignorenulls=True).over(_ordered(key).rowsBetween(Window.unboundedPreceding, -1))
-    return events.select(key, "event_id", "event_type",
-                         F.coalesce(last == "in", F.lit(False)).alias("session_valid"))
+    """A session is valid between a login and the next logout of the same key.
+
+    Valid when the last login strictly before the row is later than the last
+    logout (the key's start marker counts as a logout, so nothing leaks in
+    from the previous key in the global order).
+    """
+    u, order = _with_start_markers(events, key, {
+        "_in": (F.col("event_type") == LOGIN, False), "_out": (F.col("event_type") == LOGOUT, True)})
+    c = running_totals(u, order, [], last_before=["_in", "_out"])
+    valid = F.coalesce(F.col("prev__in") > F.col("prev__out"), F.lit(False))
+    return c.where(F.col("_kind") == 1).select(key, "event_id", "event_type", valid.alias("session_valid"))
