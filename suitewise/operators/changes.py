@@ -7,9 +7,11 @@ the tables are the interface.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from suitewise.operators.ordered import running_totals
+
 # Hunk header marker and line prefixes of a unified diff (fixed values)
 HUNK_MARK = "@@"
 ADD, REMOVE = "+", "-"
@@ -50,13 +52,24 @@ def line_kind(line: Column) -> Column:
 
 
 def typed_lines(diff: DataFrame) -> DataFrame:
-    """Kind per line and hunk number = headers seen so far (0 before the first)."""
-    w = (Window.partitionBy("file_path").orderBy("pos")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    """Kind per line and hunk number = headers seen so far in the file (0 before the first).
+
+    A running count per file without a window per file: one global order
+    (file, pos) with a start marker per file; hunk = headers counted up to the
+    line minus headers counted at the file's start marker (an equi-join on
+    the unique position), so one huge diff is still split across tasks.
+    """
     k = diff.select("file_path", "pos", "line", line_kind(F.col("line")).alias("kind"))
-    return k.select("file_path", "pos", "kind",
-                    F.sum(F.when(F.col("kind") == "header", 1).otherwise(0)).over(w).cast("bigint")
-                    .alias("hunk"), "line")
+    real = k.select("*", F.lit(1).alias("_kind"), (F.col("kind") == "header").cast("int").alias("_h"),
+                    F.lit(False).alias("_sf"))
+    start = k.select("file_path").distinct().select(
+        "file_path", F.lit(None).cast(diff.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("line"),
+        F.lit(None).cast("string").alias("kind"), F.lit(0).alias("_kind"), F.lit(0).alias("_h"), F.lit(True).alias("_sf"))
+    c = running_totals(real.unionByName(start), [F.col("file_path"), F.col("_kind"), F.col("pos")], ["_h"],
+                       with_index="_p", last_before=["_sf"])
+    at_start = c.select(F.col("_p").alias("_sp"), F.col("cum__h").alias("_sh"))
+    j = c.where(F.col("_kind") == 1).join(at_start, F.col("prev__sf") == F.col("_sp"))
+    return j.select("file_path", "pos", "kind", (F.col("cum__h") - F.col("_sh")).cast("bigint").alias("hunk"), "line")
 
 
 def hunk_ranges(typed: DataFrame) -> DataFrame:

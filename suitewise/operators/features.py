@@ -61,10 +61,6 @@ def latest_first(key: str = KEY) -> Window:
     return Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in ORDER])
 
 
-def oldest_first(key: str = KEY) -> Window:
-    return Window.partitionBy(key).orderBy(*ORDER)
-
-
 def last_rows(history: DataFrame, n: int, key: str = KEY) -> DataFrame:
     """The latest ``n`` rows of every test with ``rn`` (1 = latest)."""
     rn = F.row_number().over(latest_first(key))
@@ -229,52 +225,73 @@ def training_rows(history: DataFrame) -> DataFrame:
 
 
 def point_in_time_features(history: DataFrame) -> DataFrame:
-    """Per-row features that only see the test's earlier rows (no label leak).
-
-    Used for training: rate, recent failures, mean time, change frequency and
-    coupling ratio over the rows strictly before the current one.
+    """Per-row features that only see the test's earlier rows (no label leak, T3/T4).
+
+    Used for training. Rate, mean and spread of time, change frequency,
+    coupling ratio, coverage and age over the rows strictly before the current
+    one; recent failures over the 10 rows before it; the failure streak ending
+    just before it (at most 10) and runs since the last earlier failure.
+
+    No window per test: one global order (test, run_ts, exec_id) with a start
+    marker per test carries running sums (times in cents, so sums are exact
+    integers) and the positions of the last failure / pass / start before each
+    row; values at the start and 11 rows back are equi-join lookups on the
+    unique position.
     """
-    w = oldest_first()
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    last10 = w.rowsBetween(-RECENT_ROWS, -1)
-    failed = F.when(_failed(), 1).otherwise(0)
-    changed = F.when(F.col("lines_changed") > 0, 1).otherwise(0)
-    coupled = F.when((F.col("lines_changed") > 0) & _failed(), 1).otherwise(0)
-    prior = F.count(F.lit(1)).over(before)
-    return history.select(
+    failed = _failed()
+    cents = (F.col("execution_time") * 100).cast("bigint")
+    ts_type = history.schema["run_ts"].dataType
+    sums = {"_one": F.lit(1), "_f": failed.cast("int"), "_c": (F.col("lines_changed") > 0).cast("int"),
+            "_cp": ((F.col("lines_changed") > 0) & failed).cast("int"), "_tc": cents, "_tq": cents * cents,
+            "_cv": (F.col("coverage") * 100).cast("bigint")}
+    keep = ("exec_id", "run_id", "passed", "lines_changed", "functions_changed", "is_flaky")
+    real = history.select(KEY, F.col("run_ts").alias("_t"), F.lit(1).alias("_kind"), *keep,
+                          *[v.cast("bigint").alias(k) for k, v in sums.items()],
+                          failed.alias("_ff"), F.col("passed").alias("_pf"), F.lit(False).alias("_sf"))
+    start = history.select(KEY).distinct().select(
+        KEY, F.lit(None).cast(ts_type).alias("_t"), F.lit(0).alias("_kind"),
+        *[F.lit(None).cast(history.schema[k].dataType).alias(k) for k in keep],
+        *[F.lit(0).cast("bigint").alias(k) for k in sums],
+        F.lit(False).alias("_ff"), F.lit(False).alias("_pf"), F.lit(True).alias("_sf"))
+    order = [F.col(KEY), F.col("_t").asc_nulls_first(), F.col("_kind"), F.col("exec_id")]
+    c = running_totals(real.unionByName(start), order, list(sums), with_index="_pos",
+                       last_before=["_ff", "_pf", "_sf"])
+    at_start = c.select(F.col("_pos").alias("_spos"), *[F.col(f"cum_{k}").alias(f"_s{k}") for k in sums])
+    back = c.select(F.col("_pos").alias("_bpos"), F.col("cum__f").alias("_bf"))
+    rows = c.where(F.col("_kind") == 1)
+    j = (rows.join(at_start, F.col("prev__sf") == F.col("_spos"))
+         .join(back, F.greatest(F.col("_pos") - (RECENT_ROWS + 1), F.col("prev__sf")) == F.col("_bpos")))
+    prior = {k: F.col(f"cum_{k}") - F.col(k) - F.col(f"_s{k}") for k in sums}
+    n = prior["_one"]
+    nd = n.cast("double")
+    has = n > 0
+
+    def share(k, default):
+        return F.when(has, prior[k].cast("double") / nd).otherwise(F.lit(default))
+
+    var_cents = (prior["_tq"].cast("double") - prior["_tc"].cast("double") * prior["_tc"].cast("double") / nd) \
+        / (nd - 1.0)
+    last_pass_or_start = F.greatest(F.coalesce(F.col("prev__pf"), F.lit(0)), F.col("prev__sf"))
+    return j.select(
         KEY, "exec_id", "run_id", "passed",
-        F.coalesce(_ratio(F.sum(failed).over(before), prior), F.lit(0.05)).alias("historical_failure_rate"),
-        F.coalesce(F.sum(failed).over(last10), F.lit(0)).cast("bigint").alias("recent_failures"),
-        F.coalesce(F.avg(F.col("execution_time").cast("double")).over(before), F.lit(0.1)).alias("avg_execution_time"),
-        F.coalesce(F.stddev_samp(F.col("execution_time").cast("double")).over(before), F.lit(0.0))
+        share("_f", 0.05).alias("historical_failure_rate"),
+        (F.col("cum__f") - F.col("_f") - F.col("_bf")).cast("bigint").alias("recent_failures"),
+        F.when(has, prior["_tc"].cast("double") / nd / 100.0).otherwise(F.lit(0.1)).alias("avg_execution_time"),
+        F.when(n >= 2, F.sqrt(F.greatest(var_cents, F.lit(0.0))) / 100.0).otherwise(F.lit(0.0))
         .alias("execution_time_variance"),
-        F.coalesce(_ratio(F.sum(changed).over(before), prior), F.lit(0.0)).alias("code_change_frequency"),
+        share("_c", 0.0).alias("code_change_frequency"),
         F.col("lines_changed"), F.col("functions_changed"),
-        F.coalesce(_ratio(F.sum(coupled).over(before), prior), F.lit(0.0)).alias("test_coupling"),
+        share("_cp", 0.0).alias("test_coupling"),
         F.col("is_flaky").cast("bigint").alias("is_flaky"),
-        prior.cast("bigint").alias("test_age"),
-        F.coalesce(F.avg(F.col("coverage").cast("double")).over(before), F.lit(0.8)).alias("coverage"),
-        _prior_streak(w).alias("failure_streak"),
-        _prior_since_failure(w).alias("time_since_last_failure"),
-        failed.cast("bigint").alias("label"),
+        n.cast("bigint").alias("test_age"),
+        F.when(has, prior["_cv"].cast("double") / nd / 100.0).otherwise(F.lit(0.8)).alias("coverage"),
+        F.least(F.col("_pos") - 1 - last_pass_or_start, F.lit(RECENT_ROWS)).cast("bigint").alias("failure_streak"),
+        F.when(F.col("prev__ff") > F.col("prev__sf"), F.col("_pos") - 1 - F.col("prev__ff"))
+        .otherwise(F.lit(NEVER_FAILED)).cast("bigint").alias("time_since_last_failure"),
+        F.col("_f").cast("bigint").alias("label"),
     )
 
 
-def _prior_streak(w: Window) -> Column:
-    # consecutive failures immediately before the row, at most RECENT_ROWS
-    frame = w.rowsBetween(-RECENT_ROWS, -1)
-    outcomes = F.collect_list(F.struct(*ORDER, "passed")).over(frame)
-    rev = F.reverse(F.transform(F.array_sort(outcomes), lambda s: s["passed"]))
-    first_pass = F.array_position(rev, True)
-    return F.when(first_pass == 0, F.size(rev)).otherwise(first_pass - 1).cast("bigint")
-
-
-def _prior_since_failure(w: Window) -> Column:
-    idx = F.row_number().over(w)
-    last_fail = F.max(F.when(_failed(), idx)).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return F.coalesce(idx - last_fail - 1, F.lit(NEVER_FAILED)).cast("bigint")
-
-
 def rolling_failures(history: DataFrame, rows: int = RECENT_ROWS) -> DataFrame:
     """Failures in the current and previous ``rows - 1`` rows of the test.
 

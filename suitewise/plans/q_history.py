@@ -202,6 +202,34 @@ def change_map(spark, sf_dir):
     return Inputs(spark, sf_dir).change_map
 
 
-@register("point_in_time_features")
+_PIT_SQL = with_ctes(["th"], """
+SELECT full_test_name, exec_id, run_id, passed,
+  CASE WHEN p > 0 THEN CAST(sf AS DOUBLE) / CAST(p AS DOUBLE) ELSE 0.05 END AS historical_failure_rate,
+  CAST(coalesce(rf, 0) AS BIGINT) AS recent_failures,
+  CASE WHEN p > 0 THEN CAST(stc AS DOUBLE) / CAST(p AS DOUBLE) / 100.0 ELSE 0.1 END AS avg_execution_time,
+  CASE WHEN p >= 2 THEN sqrt(greatest((CAST(stq AS DOUBLE) - CAST(stc AS DOUBLE) * CAST(stc AS DOUBLE) / CAST(p AS DOUBLE))
+    / (CAST(p AS DOUBLE) - 1.0), 0.0)) / 100.0 ELSE 0.0 END AS execution_time_variance,
+  CASE WHEN p > 0 THEN CAST(sc AS DOUBLE) / CAST(p AS DOUBLE) ELSE 0.0 END AS code_change_frequency,
+  lines_changed, functions_changed,
+  CASE WHEN p > 0 THEN CAST(scp AS DOUBLE) / CAST(p AS DOUBLE) ELSE 0.0 END AS test_coupling,
+  CAST(is_flaky AS BIGINT) AS is_flaky, CAST(p AS BIGINT) AS test_age,
+  CASE WHEN p > 0 THEN CAST(scv AS DOUBLE) / CAST(p AS DOUBLE) / 100.0 ELSE 0.8 END AS coverage,
+  CAST(least(pos - 1 - coalesce(lp, 0), 10) AS BIGINT) AS failure_streak,
+  CAST(CASE WHEN lf IS NULL THEN 999 ELSE pos - 1 - lf END AS BIGINT) AS time_since_last_failure,
+  CAST(f AS BIGINT) AS label
+FROM (SELECT *, pos - 1 AS p,
+    coalesce(sum(f) OVER pw, 0) AS sf, sum(f) OVER (tw ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS rf,
+    coalesce(sum(tc) OVER pw, 0) AS stc, coalesce(sum(tc * tc) OVER pw, 0) AS stq,
+    coalesce(sum(c) OVER pw, 0) AS sc, coalesce(sum(cp) OVER pw, 0) AS scp, coalesce(sum(cv) OVER pw, 0) AS scv,
+    max(CASE WHEN passed THEN pos END) OVER pw AS lp, max(CASE WHEN NOT passed THEN pos END) OVER pw AS lf
+  FROM (SELECT *, CAST(execution_time * 100 AS BIGINT) AS tc, CAST(coverage * 100 AS BIGINT) AS cv,
+      CASE WHEN passed THEN 0 ELSE 1 END AS f, CASE WHEN lines_changed > 0 THEN 1 ELSE 0 END AS c,
+      CASE WHEN lines_changed > 0 AND NOT passed THEN 1 ELSE 0 END AS cp,
+      row_number() OVER (PARTITION BY full_test_name ORDER BY run_ts, exec_id) AS pos FROM th) b
+  WINDOW tw AS (PARTITION BY full_test_name ORDER BY run_ts, exec_id),
+    pw AS (tw ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) x""")
+
+
+@register("point_in_time_features", _PIT_SQL)
 def point_in_time_features(spark, sf_dir):
     return E.point_in_time_features(Inputs(spark, sf_dir).history)

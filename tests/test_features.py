@@ -88,3 +88,29 @@ def test_feature_plan_keeps_rows_per_test_bounded(make_history):
     # last-10 features: row_number <= 10 is planned as a WindowGroupLimit before the exchange
     plan = E.recent_stats(make_history({"t::q": [True] * 30}))._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+def test_point_in_time_equals_row_by_row_recomputation(spark):
+    import math
+
+    from conftest import SF_SMALL
+    from suitewise.sources import fixtures as X
+    h = X.model_history(spark, SF_SMALL)
+    got = E.point_in_time_features(h).toPandas().set_index("exec_id")
+    pdf = h.toPandas().sort_values(["full_test_name", "run_ts", "exec_id"])
+    for _, g in pdf.groupby("full_test_name"):
+        g = g.reset_index(drop=True)
+        for i in range(len(g)):
+            prior, r = g.iloc[:i], got.loc[g.loc[i, "exec_id"]]
+            fails = (~prior["passed"]).astype(int).tolist()
+            want = {
+                "historical_failure_rate": sum(fails) / i if i else 0.05,
+                "recent_failures": sum(fails[-10:]),
+                "avg_execution_time": float(prior["execution_time"].astype(float).mean()) if i else 0.1,
+                "execution_time_variance": float(prior["execution_time"].astype(float).std()) if i > 1 else 0.0,
+                "test_age": i,
+                "failure_streak": next((k for k, v in enumerate(reversed(fails[-10:])) if v == 0), min(i, 10)),
+                "time_since_last_failure": (i - 1 - max(k for k, v in enumerate(fails) if v)) if any(fails) else 999,
+            }
+            for k, v in want.items():
+                assert math.isclose(float(r[k]), float(v), rel_tol=1e-9, abs_tol=1e-9), (k, i)
