@@ -189,7 +189,21 @@ def corpus_complexity(spark, sf_dir):
     return C.corpus_files(_corpus_sources(spark, sf_dir)).select("file_path", "total_lines", "complexity_score")
 
 
-@register("corpus_imports")
+def _import_sources(spark, sf_dir):
+    """One module per file whose text is its 'new' imports, as import statements."""
+    imps = X.code_imports(spark, sf_dir).where(F.col("version") == "new")
+    digit = F.substring("import_name", -1, 1).cast("int")
+    stmt = F.when(digit % 2 == 0, F.concat(F.lit("import "), F.col("import_name"))).otherwise(
+        F.concat(F.lit("from "), F.col("import_name"), F.lit(" import util")))
+    g = imps.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("import_name", stmt.alias("s")))).alias("l"))
+    return g.select("file_path", F.concat(F.array_join(F.transform("l", lambda x: x["s"]), "\n"), F.lit("\n"))
+                    .alias("text"))
+
+
+@register("corpus_imports", with_ctes(["cimp"], """
+SELECT file_path, CASE WHEN CAST(right(import_name, 1) AS INTEGER) % 2 = 0 THEN import_name
+  ELSE import_name || '.util' END AS import_name
+FROM cimp WHERE version = 'new'"""))
 def corpus_imports(spark, sf_dir):
-    f = C.corpus_files(_corpus_sources(spark, sf_dir))
+    f = C.corpus_files(_import_sources(spark, sf_dir))
     return f.select("file_path", F.explode("imports").alias("import_name"))

@@ -91,7 +91,9 @@ def fn_chunk(spark, sf_dir):
                     F.array_join(F.transform("chunks", lambda a: F.array_join(a, ",")), "|").alias("chunks_text"))
 
 
-@register("fn_flatten")
+@register("fn_flatten", """
+SELECT o_orderkey, o_custkey AS "customer.o_custkey", o_orderstatus AS "customer.status.o_orderstatus",
+  o_orderpriority AS "customer.status.o_orderpriority", o_totalprice AS price FROM orders""")
 def fn_flatten(spark, sf_dir):
     o = read_table(spark, sf_dir, "orders")
     nested = o.select("o_orderkey", F.struct(

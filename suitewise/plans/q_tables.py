@@ -96,7 +96,7 @@ def tbl_to_json(spark, sf_dir):
     return K.to_json_rows(_base(spark, sf_dir), ["id", "name", "balance", "segment"])
 
 
-@register("tbl_from_json")
+@register("tbl_from_json", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 50 <> 0")
 def tbl_from_json(spark, sf_dir):
     b = _base(spark, sf_dir)
     docs = b.select(F.when(F.col("id") % 50 == 0, F.to_json(F.struct("id", "name")))

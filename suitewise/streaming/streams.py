@@ -88,12 +88,17 @@ def running_test_stats(history: DataFrame) -> DataFrame:
 def daily_failures(history: DataFrame, delay: str = "1 day") -> DataFrame:
     """Failures per test file and day; the watermark bounds state and drops late rows.
 
-    Watermarks need TIMESTAMP (not NTZ), so run_ts is cast first.
+    Watermarks need TIMESTAMP (not NTZ). The wall-clock NTZ time is turned into
+    the instant with the same UTC reading (via epoch microseconds), so day
+    windows and day labels do not depend on the session time zone.
     """
-    h = history.withColumn("event_time", F.col("run_ts").cast("timestamp")).withWatermark("event_time", delay)
+    h = history.withColumn("event_time", F.timestamp_micros(epoch_us(F.col("run_ts")))) \
+        .withWatermark("event_time", delay)
     g = h.groupBy(F.window("event_time", "1 day").alias("w"), "test_file").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("passed")).alias("failures"))
-    return g.select(F.date_format(F.col("w.start"), "yyyy-MM-dd").alias("day"), "test_file", "runs", "failures")
+    day_no = F.floor(F.unix_micros(F.col("w.start")) / F.lit(86_400_000_000)).cast("int")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), day_no).cast("string")
+    return g.select(day.alias("day"), "test_file", "runs", "failures")
 
 
 # ------------------------------------------------------------------ S3 streak
