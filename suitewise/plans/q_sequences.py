@@ -37,7 +37,24 @@ def rate_wait(spark, sf_dir):
     return r.select("user_id", "event_id", "allowed", "wait_seconds")
 
 
-@register("rate_admit")
+# admission control as a recursion over each user's ordered events, carrying the admitted times
+ADMIT_SQL = f"""
+WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch_us(ts) AS us,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r(user_id, rn, event_id, admitted, win) AS (
+  SELECT user_id, rn, event_id, true, [us] FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.rn, e.event_id,
+    len(list_filter(r.win, lambda t: e.us - t < {_WIN_US})) < {MAX_REQ},
+    CASE WHEN len(list_filter(r.win, lambda t: e.us - t < {_WIN_US})) < {MAX_REQ}
+      THEN list_append(list_filter(r.win, lambda t: e.us - t < {_WIN_US}), e.us)
+      ELSE list_filter(r.win, lambda t: e.us - t < {_WIN_US}) END
+  FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT user_id, event_id, admitted FROM r"""
+
+
+@register("rate_admit", ADMIT_SQL)
 def rate_admit(spark, sf_dir):
     return L.rate_admit(_events(spark, sf_dir), "user_id", MAX_REQ, WINDOW_S)
 

@@ -41,7 +41,7 @@ def stream_streak(spark, sf_dir):
     return S.run_to_table(S.live_streak(_history(spark, sf_dir)), "streak", "update", ["full_test_name"])
 
 
-@register("stream_rate_admit")
+@register("stream_rate_admit", q_sequences.ADMIT_SQL)
 def stream_rate_admit(spark, sf_dir):
     ev = S.event_stream(spark, sf_dir, "events.parquet")
     return S.run_to_table(S.stream_rate_admit(ev, MAX_REQ, WINDOW_S), "rate_admit", "append")
