@@ -5,7 +5,8 @@ partitioned by a key puts all rows of a hot key into one task. For ranks,
 running sums over a global order we instead:
 
 1. range-partition on the order (Spark samples the keys, so even one hot key
-   is cut into several ranges) and sort inside each range;
+   is cut into several ranges; AQE merges adjacent small ranges) and sort
+   inside each range;
 2. compute the running values inside each range with vectorised cumulative
    sums over the sorted Arrow batches (``mapInPandas``; no second
    shuffle);
@@ -29,10 +30,6 @@ from pyspark.sql.types import LongType, StructField, StructType
 _PID = "_range_pid"
 
 
-def _partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def _local_running(sums: Sequence[str], flags: Sequence[str] = ()):
     """Per range: running sums, the local row number, and for each flag the local
     number of the last flagged row strictly before the current one (-1: none)."""
@@ -69,10 +66,11 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str],
     1-based position of the last row strictly before this one whose flag is
     true (NULL if none) — the building block for "state since the last X".
     """
-    n = _partitions(df)
     flags = list(last_before)
     index_name = with_index or ("_gpos" if flags else None)
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn(
+    # No fixed range count: AQE sizes the ranges from the data (adjacent ranges are
+    # merged, so partition ids stay in global order).
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
         _PID, F.spark_partition_id())
     value_cols = list(sums) + ([index_name] if index_name else [])
     if index_name:
