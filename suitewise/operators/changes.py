@@ -72,6 +72,12 @@ def typed_lines(diff: DataFrame) -> DataFrame:
     return j.select("file_path", "pos", "kind", (F.col("cum__h") - F.col("_sh")).cast("bigint").alias("hunk"), "line")
 
 
+def header_lines(diff: DataFrame) -> DataFrame:
+    """Only the ``@@`` lines, numbered: a header's hunk number is its rank among the
+    file's headers, so hunk ranges never need the body lines."""
+    return typed_lines(diff.where(F.col("line").startswith(HUNK_MARK)))
+
+
 def hunk_ranges(typed: DataFrame) -> DataFrame:
     """Old and new range = first two whitespace tokens between the ``@@`` marks."""
     inner = F.regexp_replace(F.element_at(F.split(F.col("line"), HUNK_MARK, -1), 2), r"^\s+|\s+$", "")

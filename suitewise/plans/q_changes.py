@@ -91,7 +91,7 @@ def diff_lines_typed(spark, sf_dir):
 
 @register("diff_hunks", with_ctes(["hr"], "SELECT file_path, hunk, old_range, new_range FROM hr"))
 def diff_hunks(spark, sf_dir):
-    return B.hunk_ranges(B.typed_lines(_diff(spark, sf_dir)))
+    return B.hunk_ranges(B.header_lines(_diff(spark, sf_dir)))
 
 
 @register("hunk_changes", with_ctes(["tl"], """
@@ -123,7 +123,7 @@ SELECT DISTINCT file_path, unnest(range(st, st + n)) AS line_no FROM (
     CAST(coalesce(string_split(substring(new_range, 2), ',')[2], '1') AS BIGINT) AS n
   FROM hr WHERE starts_with(new_range, '+')) x WHERE n > 0"""))
 def changed_lines(spark, sf_dir):
-    return B.changed_line_numbers(B.hunk_ranges(B.typed_lines(_diff(spark, sf_dir))))
+    return B.changed_line_numbers(B.hunk_ranges(B.header_lines(_diff(spark, sf_dir))))
 
 
 @register("file_diff_lookup", with_ctes(["dl"], "SELECT file_path, pos, line FROM dl WHERE file_path = 'src/d7.py'"))
