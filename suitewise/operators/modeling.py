@@ -100,7 +100,7 @@ def make_classifier(algorithm: str, n_rows: int | None = None, **params):
         return RandomForestClassifier(
             numTrees=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 10),
             featureSubsetStrategy="sqrt", seed=params.get("random_state", 42), maxBins=64,
-            checkpointInterval=10, labelCol="label", featuresCol="features")
+            cacheNodeIds=True, checkpointInterval=10, labelCol="label", featuresCol="features")
     if algorithm == "gradient_boosting":
         return GBTClassifier(maxIter=params.get("n_estimators", 100), maxDepth=params.get("max_depth", 5),
                              stepSize=0.1, seed=params.get("random_state", 42), maxBins=64,

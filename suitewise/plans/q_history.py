@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
 
 from suitewise.operators import catalog as A
 from suitewise.operators import features as E

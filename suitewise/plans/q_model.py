@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from suitewise.operators import features as E
 from suitewise.operators import modeling as M
-from suitewise.operators import selection as H
 from suitewise.plans.inputs import Inputs
 from suitewise.plans.oracle_fixtures import with_ctes
 from suitewise.plans.registry import register

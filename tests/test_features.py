@@ -1,6 +1,5 @@
 """History features: traps T1, T2, T4, T5 and edge rows."""
 
-from pyspark.sql import functions as F
 
 from suitewise.operators import features as E
 
