@@ -71,3 +71,28 @@ def test_daily_failures_match_batch(spark, event_folder):
     want = _rows(h.groupBy(F.date_format("run_ts", "yyyy-MM-dd").alias("day"), "test_file").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("passed")).alias("failures")), ["day", "test_file"])
     assert got == want
+
+
+def test_late_rows_are_counted_not_applied(spark):
+    import datetime as dt
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    folder = tempfile.mkdtemp(prefix="suitewise-late-", dir="/tmp")
+    t0 = dt.datetime(2024, 1, 1)
+
+    def write(name, rows):
+        cols = list(zip(*rows))
+        pq.write_table(pa.table({"event_id": pa.array(cols[0], pa.int64()), "ts": pa.array(cols[1], pa.timestamp("us")),
+                                 "user_id": pa.array(cols[2], pa.int64()), "event_type": pa.array(cols[3]),
+                                 "value": pa.array(cols[4], pa.float64()), "props": pa.array(cols[5])}),
+                       f"{folder}/{name}")
+    # user 7: pass, fail at 10:00 and 11:00; the second file brings a failure from 09:00 (late)
+    write("events_1.parquet", [(1, t0.replace(hour=10), 7, "error", 1.0, '{"k": 1}'),
+                               (2, t0.replace(hour=11), 7, "click", 1.0, '{"k": 1}')])
+    write("events_2.parquet", [(3, t0.replace(hour=9), 7, "error", 1.0, '{"k": 1}'),
+                               (4, t0.replace(hour=12), 7, "error", 1.0, '{"k": 1}')])
+    got = S.run_to_table(S.live_streak(S.history_stream(spark, folder)), "late", "update", [E.KEY]).collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r["failure_streak"], r["time_since_last_failure"], r["late_rows"]) == (1, 0, 1)
