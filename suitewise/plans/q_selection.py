@@ -123,6 +123,12 @@ def risk_ranking(spark, sf_dir):
     return G.risk_ranking(Inputs(spark, sf_dir).scores)
 
 
+@register("risk_top", with_ctes(["fs"], """
+SELECT full_test_name, failure_probability FROM fs ORDER BY failure_probability DESC, full_test_name LIMIT 10"""))
+def risk_top(spark, sf_dir):
+    return G.top_risk(Inputs(spark, sf_dir).scores, 10)
+
+
 @register("high_risk_tests", with_ctes(["fs"], """
 SELECT full_test_name, failure_probability FROM fs WHERE failure_probability >= 0.25"""))
 def high_risk_tests(spark, sf_dir):
