@@ -273,3 +273,14 @@ def selection_backtest(history: DataFrame, impact: DataFrame, probability_fn,
               F.coalesce(F.sum(F.when(s, F.col("t"))), F.lit(0)).cast("double").alias("time_selected"))
     return a.select("*", F.try_divide(F.col("caught").cast("double"), F.col("failing_tests").cast("double"))
                     .alias("recall"), (F.col("time_all") - F.col("time_selected")).alias("time_saved"))
+
+
+def gate_on_changes(selection: DataFrame, detected: DataFrame) -> DataFrame:
+    """With auto-detected changes, no detected change means no selection.
+
+    The "any change?" flag is a one-row aggregate joined on a constant key
+    (broadcast, one row by construction); an explicit change list skips this gate.
+    """
+    flag = detected.agg((F.count(F.lit(1)) > 0).alias("_any")).withColumn("_one", F.lit(1))
+    j = selection.withColumn("_one", F.lit(1)).join(F.broadcast(flag), "_one")
+    return j.where(F.col("_any")).drop("_one", "_any")

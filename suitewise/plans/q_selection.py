@@ -423,3 +423,52 @@ FROM (SELECT n.full_test_name, n.failed, n.t, s.full_test_name IS NOT NULL AS se
 def selection_backtest(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     return H.selection_backtest(i.history, i.impact, X.failure_scores)
+
+
+# ---------------------------------------------------------------- H10 with detection
+
+_AUTO_SQL = with_ctes(["ptf", "fs", "tfiles", "sfiles", "ti"], """,
+snap AS (
+  SELECT 'base' AS version, concat('src/d', CAST(doc_id AS STRING), CASE WHEN doc_id % 4 = 0 THEN '.md' ELSE '.py' END) AS file_path,
+    md5(text) AS content_hash FROM documents WHERE doc_id % 5 <> 0
+  UNION ALL
+  SELECT 'head', concat('src/d', CAST(doc_id AS STRING), CASE WHEN doc_id % 4 = 0 THEN '.md' ELSE '.py' END),
+    md5(CASE WHEN doc_id % 3 = 0 THEN concat(text, '!') ELSE text END) FROM documents WHERE doc_id % 7 <> 0),
+det AS (SELECT file_path FROM (
+    SELECT b.file_path FROM (SELECT * FROM snap WHERE version = 'base') b
+    LEFT JOIN (SELECT * FROM snap WHERE version = 'head') h USING (file_path)
+    WHERE b.content_hash IS DISTINCT FROM h.content_hash
+    UNION ALL
+    SELECT h.file_path FROM (SELECT * FROM snap WHERE version = 'head') h
+    WHERE h.file_path NOT IN (SELECT file_path FROM snap WHERE version = 'base')) u
+  WHERE ends_with(file_path, '.py')),
+mp2 AS (SELECT test_file, source_file FROM (
+    SELECT test_file, 'src/' || replace(string_split(test_file, '/')[-1], 'test_', '') AS source_file FROM tfiles
+    WHERE starts_with(string_split(test_file, '/')[-1], 'test_') AND ends_with(string_split(test_file, '/')[-1], '.py')) x
+  WHERE source_file IN (SELECT source_file FROM sfiles)),
+imp2 AS (SELECT test_file, max(impact) AS impact FROM (
+    SELECT test_file, CAST(1.0 AS DOUBLE) AS impact FROM mp2 WHERE source_file IN (SELECT file_path FROM det)
+    UNION ALL
+    SELECT DISTINCT i.test_file, CAST(0.5 AS DOUBLE) FROM ti i JOIN det d
+      ON contains(i.import_name, ltrim(replace(replace(replace(d.file_path, '.py', ''), '/', '.'), '\\', '.'), '.'))
+    WHERE i.test_file IN (SELECT test_file FROM mp2)) u GROUP BY test_file),
+sc AS (SELECT f.full_test_name,
+    coalesce(s.failure_probability, 0.0) * CAST(0.4 AS DOUBLE) + coalesce(i.impact, 0.0) * CAST(0.3 AS DOUBLE)
+    + f.historical_failure_rate * CAST(0.15 AS DOUBLE)
+    + least(CAST(f.recent_failures AS DOUBLE) / 5.0, 1.0) * CAST(0.15 AS DOUBLE) AS priority_score
+  FROM ptf f LEFT JOIN fs s USING (full_test_name)
+  LEFT JOIN imp2 i ON i.test_file = split_part(f.full_test_name, '::', 1))
+SELECT rank, full_test_name, priority_score FROM (
+  SELECT *, row_number() OVER (ORDER BY priority_score DESC, full_test_name) AS rank FROM sc) r
+WHERE (rank <= 5 OR (rank <= 100 AND priority_score >= 0.3)) AND EXISTS (SELECT 1 FROM det)""")
+_AUTO_SQL = _AUTO_SQL.replace("\n,\nsnap AS (", ",\nsnap AS (", 1)
+
+
+@register("select_auto_detect", _AUTO_SQL)
+def select_auto_detect(spark, sf_dir):
+    from suitewise.operators import changes as B
+    i = Inputs(spark, sf_dir)
+    detected = B.uncommitted_files(X.file_snapshots(spark, sf_dir)).select("file_path")
+    imp = D.impact_scores(i.mapping, i.imports, detected)
+    sel = H.select_tests(H.priority_scores(i.history, i.scores, imp)).select("rank", KEY, "priority_score")
+    return H.gate_on_changes(sel, detected)

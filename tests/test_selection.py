@@ -103,3 +103,13 @@ def test_collected_filter_by_suffix(spark):
     got = {r[0]: r[1] for r in H.collected_filter(collected, selected).collect()}
     # ends with 'test_login' and with 'out' (last part after '::')
     assert got == {"a/test_x.py::test_login": True, "b/test_y.py::test_logout": True, "c/test_z.py::test_other": False}
+
+
+def test_no_detected_change_gives_empty_selection(spark):
+    # Auto-detected and empty -> empty; detected -> the selection as is
+    df = spark.createDataFrame([(f"t{i}", 0.9, 0.1, 1.0, 0, 0, "x") for i in range(6)], PRIO_SCHEMA)
+    sel = H.select_tests(df, 2, 4)
+    none = spark.createDataFrame([], "file_path string")
+    some = spark.createDataFrame([("src/a.py",)], "file_path string")
+    assert H.gate_on_changes(sel, none).count() == 0
+    assert H.gate_on_changes(sel, some).count() == 4
