@@ -5,6 +5,15 @@ functions are ``Column -> Column``). Nothing inside an operator triggers an
 action; callers decide when to materialise.
 """
 
-from suitewise.session import build_session, ensure_checkpoint_dir
+import sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions run inside Python workers (mapInPandas, applyInPandasWithState) are
+# shipped by value, so executors need no installed copy of this package and the
+# driver may run from any working directory.
+_cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+from suitewise.session import build_session, ensure_checkpoint_dir  # noqa: E402
 
 __all__ = ["build_session", "ensure_checkpoint_dir"]
