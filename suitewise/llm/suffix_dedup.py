@@ -295,21 +295,22 @@ def _window_rows(batches):
 _WEIGHTS = np.random.default_rng(6).integers(1, 1 << 63, (2, LENGTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """Documents with ``rid``, a number that rises in corpus order and is theirs alone."""
+def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(rid, text), where rid rises in corpus order and is one document's alone; and (rid, doc_id) unless equal."""
     rows = docs.select("doc_id", "text")
     facts = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     if facts["n"] == facts["ids"]:
-        return rows.withColumn("rid", F.col("doc_id").cast("bigint"))
-    return cut(rows.orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))).withColumn(
+        return rows.select(F.col("doc_id").cast("bigint").alias("rid"), "text"), None
+    rows = cut(rows.orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))).withColumn(
         "rid", F.monotonically_increasing_id())
+    return rows.select("rid", "text"), rows.select("rid", "doc_id")
 
 
 def _final_rows(batches):
-    """(rid, doc_id, n_bytes, spans, kept): complements of the first windows."""
+    """(rid, n_bytes, n_removed, spans, kept): complements of the first windows."""
     for batch in batches:
-        data, offsets = _bytes_of(batch.column(2))
-        lists = [_lists(batch.column(c)) for c in (3, 4)]
+        data, offsets = _bytes_of(batch.column(1))
+        lists = [_lists(batch.column(c)) for c in (2, 3)]
         kept, spans, removed = [], [], []
         for i in range(batch.num_rows):
             own = data[offsets[i]:offsets[i + 1]]
@@ -337,15 +338,14 @@ def _final_rows(batches):
             spans.append([{"start": int(a), "len": int(b - a)} for a, b in zip(start, stop)])
             removed.append(int((stop - start).sum()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
+            [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
              pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64())]))),
-             pa.array(kept, pa.binary())], names=["rid", "doc_id", "n_bytes", "n_removed", "spans", "kept"])
+             pa.array(kept, pa.binary())], names=["rid", "n_bytes", "n_removed", "spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     """doc_id, n_bytes, n_removed, spans (start, len of maximal removed runs), kept (remaining bytes)."""
-    texts = _numbered(docs)
-    ids = texts.schema["doc_id"].dataType.simpleString()
+    texts, ids = _numbered(docs)
     # triggers that occur once in the corpus: their windows are all first
     triggers = texts.select("rid", "text").mapInArrow(_trigger_rows, "key bigint, n bigint, rid bigint, place bigint")
     single = triggers.groupBy("key").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"),
@@ -360,7 +360,8 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
     counted = dictionary.withColumn("n", F.count("*").over(Window.partitionBy("key")))
     lone = counted.where("n = 1").select("rid", "place")
     shared = counted.where("n > 1").groupBy("rid").agg(F.collect_list(F.struct("key", "phrase", "place", "n")).alias("m"))
-    member = texts.select("rid", F.encode("text", "UTF-8").alias("raw")).join(shared, "rid").select(
+    # left joins on (rid, text) throughout: the three uses of the texts then share one shuffle
+    member = texts.join(shared, "rid", "left").select("rid", F.encode("text", "UTF-8").alias("raw"), "m").select(
         "rid", F.inline(F.transform("m", lambda x: F.struct(
             x["key"].alias("key"), x["place"].alias("place"),
             (x["n"] > group).alias("split"),
@@ -373,9 +374,12 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
               .groupBy("w1", "w2").agg(F.min("rid").alias("rid"), F.min_by("place", "rid").alias("place")))
     found = (lone.unionByName(windows.where("not split").select("rid", "place"))
              .unionByName(merged.select("rid", "place")).groupBy("rid").agg(F.collect_list("place").alias("found")))
-    return (known.join(found, "rid", "left").select("rid", "doc_id", "text", "settled", "found")
-            .mapInArrow(_final_rows, f"rid bigint, doc_id {ids}, n_bytes bigint, n_removed bigint, "
-                                     "spans array<struct<start:bigint,len:bigint>>, kept binary").drop("rid"))
+    out = (known.join(found, "rid", "left").select("rid", "text", "settled", "found")
+           .mapInArrow(_final_rows, "rid bigint, n_bytes bigint, n_removed bigint, "
+                                    "spans array<struct<start:bigint,len:bigint>>, kept binary"))
+    if ids is None:
+        return out.withColumnRenamed("rid", "doc_id")
+    return out.join(ids, "rid").select("doc_id", "n_bytes", "n_removed", "spans", "kept")
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
