@@ -72,6 +72,24 @@ class _Powers:
         return (total[stops] - total[starts]) * self.down[starts]
 
 
+def lower_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a text column, A-Z in lower case, and the offsets of its texts (null is empty)."""
+    column = column.fill_null("").cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
+    return _LOWER[data[:offsets[-1]]], offsets
+
+
+def spans(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about _SLICE bytes; a longer text is a range of its own."""
+    a, rows = 0, len(offsets) - 1
+    while a < rows:
+        b = min(max(int(np.searchsorted(offsets, offsets[a] + _SLICE, side="right")) - 1, a + 1), rows)
+        yield a, b
+        a = b
+
+
 class Shingler:
     def __init__(self):
         self.powers = [_Powers(b) for b in _BASES]
@@ -79,18 +97,12 @@ class Shingler:
     def slices(self, column: pa.Array) -> Iterator[tuple]:
         """Per slice of texts: first row, number of rows, (w1, w2) of their word sequences, and their sets as
         sorted hashes one after the other with offsets."""
-        column = column.fill_null("").cast(pa.large_binary())
-        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-        raw = column.buffers()[2]
-        data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-        a, rows = 0, len(column)
-        while a < rows:
-            b = min(max(int(np.searchsorted(offsets, offsets[a] + _SLICE, side="right")) - 1, a + 1), rows)
-            yield a, b - a, *self._slice(_LOWER[data[offsets[a]:offsets[b]]], offsets[a:b + 1] - offsets[a])
-            a = b
+        data, offsets = lower_bytes(column)
+        for a, b in spans(offsets):
+            yield a, b - a, *self._slice(data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a])
 
-    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
-        rows = len(offsets) - 1
+    def words(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and text number of every word (run of other bytes than blanks) of lower-case texts."""
         inside = ~_GAP[data]
         head, tail = inside.copy(), inside.copy()
         head[1:] &= ~inside[:-1]
@@ -102,7 +114,11 @@ class Shingler:
         start, stop = np.flatnonzero(head), np.flatnonzero(tail) + 1
         word = _mix(self.powers[0].sums(data.astype(np.uint64) + np.uint64(1), start, stop)
                     + (stop - start).astype(np.uint64))
-        row = np.searchsorted(offsets, start, side="right") - 1
+        return word, np.searchsorted(offsets, start, side="right") - 1
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray) -> tuple:
+        rows = len(offsets) - 1
+        word, row = self.words(data, offsets)
         count = np.bincount(row, minlength=rows)
         ends = np.cumsum(count)
         begins = ends - count

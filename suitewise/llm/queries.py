@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from suitewise.llm import chat, near_dedup, sharding, suffix_dedup
+from suitewise.llm import (
+    bpe,
+    chat,
+    fingerprints,
+    langid,
+    lm_score,
+    mixing,
+    near_dedup,
+    sharding,
+    suffix_dedup,
+    topk,
+)
 from suitewise.llm.common import table
 
 
@@ -15,8 +27,15 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.embedding_neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from suitewise.llm import langid
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
@@ -36,25 +55,73 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from suitewise.llm import fingerprints
     return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    from suitewise.llm import bpe
     return bpe.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(bpe.VOCABULARY),
                               public_tokenizers.PATTERN)
 
 
+CHAT_ORACLE = """
+WITH m AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
+t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         replace(replace(coalesce(text, ''), chr(92), chr(92) || 'b'), '<|', chr(92) || 'l') AS body
+  FROM m)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, body)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(role) + length(body) + length('<|im_start|>') + length('<|im_end|>') + 2) AS BIGINT)
+         AS formatted_chars,
+       CAST(0 AS INTEGER) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
+FROM t GROUP BY conv_id
+"""
+
+NEAR_ORACLE = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+           lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE
+    WHEN coalesce(len(words), 0) = 0 THEN []
+    WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+    END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS size FROM s GROUP BY doc_id),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v
+  FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 75 * (any_value(na.size) + any_value(nb.size) - count(*))),
+reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.seen)
+SELECT d.doc_id, coalesce(any_value(n.size), 0) AS n_shingles, min(r.seen) AS component_id,
+       d.doc_id = min(r.seen) AS kept
+FROM documents d JOIN reach r ON r.node = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+GROUP BY d.doc_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op4_language_id, op5_chat_format, op6_suffix_dedup, op8_minhash_dedup,
-                            op9_fingerprints, op10_bpe)}
+    f.__name__: f for f in (op1_sharding, op2_mixing, op3_topk, op4_language_id, op5_chat_format, op6_suffix_dedup,
+                            op7_lm_score, op8_minhash_dedup, op9_fingerprints, op10_bpe)}
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op3_topk": topk.ORACLE, "op5_chat_format": CHAT_ORACLE, "op8_minhash_dedup": NEAR_ORACLE}

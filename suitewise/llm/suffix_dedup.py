@@ -295,19 +295,20 @@ def _window_rows(batches):
 _WEIGHTS = np.random.default_rng(6).integers(1, 1 << 63, (2, LENGTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(rid, text), where rid rises in corpus order and is one document's alone; and (rid, doc_id) unless equal."""
-    rows = docs.select("doc_id", "text")
-    facts = rows.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
+def _numbered(docs: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, DataFrame | None]:
+    """(rid, text), where rid rises in corpus order and is one document's alone; and rid with doc_id and the kept
+    columns, or None where rid says it all."""
+    facts = docs.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")).first()
     if facts["n"] == facts["ids"]:
-        return rows.select(F.col("doc_id").cast("bigint").alias("rid"), "text"), None
-    rows = cut(rows.orderBy(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))).withColumn(
-        "rid", F.monotonically_increasing_id())
-    return rows.select("rid", "text"), rows.select("rid", "doc_id")
+        rows = docs.withColumn("rid", F.col("doc_id").cast("bigint"))
+        return rows.select("rid", "text"), rows.select("rid", "doc_id", *keep) if keep else None
+    rows = cut(docs.select("doc_id", "text", *keep).orderBy(
+        F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))).withColumn("rid", F.monotonically_increasing_id())
+    return rows.select("rid", "text"), rows.select("rid", "doc_id", *keep)
 
 
 def _final_rows(batches):
-    """(rid, n_bytes, n_removed, spans, kept): complements of the first windows."""
+    """(rid, carried columns, n_bytes, n_removed, spans, kept): complements of the first windows."""
     for batch in batches:
         data, offsets = _bytes_of(batch.column(1))
         lists = [_lists(batch.column(c)) for c in (2, 3)]
@@ -338,14 +339,16 @@ def _final_rows(batches):
             spans.append([{"start": int(a), "len": int(b - a)} for a, b in zip(start, stop)])
             removed.append(int((stop - start).sum()))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
+            [batch.column(0), *batch.columns[4:], pa.array(np.diff(offsets)), pa.array(removed, pa.int64()),
              pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("len", pa.int64())]))),
-             pa.array(kept, pa.binary())], names=["rid", "n_bytes", "n_removed", "spans", "kept"])
+             pa.array(kept, pa.binary())],
+            names=["rid", *batch.schema.names[4:], "n_bytes", "n_removed", "spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
-    """doc_id, n_bytes, n_removed, spans (start, len of maximal removed runs), kept (remaining bytes)."""
-    texts, ids = _numbered(docs)
+def remove_repeats(docs: DataFrame, group: int = GROUP, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, spans (start, len of maximal removed runs), kept (remaining bytes), and the
+    columns of ``docs`` named in ``keep``."""
+    texts, own = _numbered(docs, keep)
     # triggers that occur once in the corpus: their windows are all first
     triggers = texts.select("rid", "text").mapInArrow(_trigger_rows, "key bigint, n bigint, rid bigint, place bigint")
     single = triggers.groupBy("key").agg(F.sum("n").alias("n"), F.min("rid").alias("rid"),
@@ -374,12 +377,16 @@ def remove_repeats(docs: DataFrame, group: int = GROUP) -> DataFrame:
               .groupBy("w1", "w2").agg(F.min("rid").alias("rid"), F.min_by("place", "rid").alias("place")))
     found = (lone.unionByName(windows.where("not split").select("rid", "place"))
              .unionByName(merged.select("rid", "place")).groupBy("rid").agg(F.collect_list("place").alias("found")))
-    out = (known.join(found, "rid", "left").select("rid", "text", "settled", "found")
-           .mapInArrow(_final_rows, "rid bigint, n_bytes bigint, n_removed bigint, "
-                                    "spans array<struct<start:bigint,len:bigint>>, kept binary"))
-    if ids is None:
+    result = ("n_bytes", "n_removed", "spans", "kept")
+    if own is not None:
+        found = own.join(found, "rid", "left")
+    carried = [] if own is None else [f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[1:]]
+    out = (known.join(found, "rid", "left").select("rid", "text", "settled", "found", *([] if own is None else own.columns[1:]))
+           .mapInArrow(_final_rows, ", ".join(["rid bigint", *carried]) + ", n_bytes bigint, n_removed bigint, "
+                       "spans array<struct<start:bigint,len:bigint>>, kept binary"))
+    if own is None:
         return out.withColumnRenamed("rid", "doc_id")
-    return out.join(ids, "rid").select("doc_id", "n_bytes", "n_removed", "spans", "kept")
+    return out.select("doc_id", *keep, *result)
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
