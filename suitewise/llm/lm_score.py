@@ -33,7 +33,7 @@ from suitewise.llm.near_dedup import Shingler, lower_bytes, spans
 
 ORDER = 2
 ALPHA = 0.4
-BLOCK_BYTES = 1 << 24
+BLOCK_BYTES = 1 << 23
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
