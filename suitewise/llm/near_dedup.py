@@ -1,18 +1,19 @@
 """Operator 8: near-duplicate groups by bottom-k sketches of one hash function.
 
 Texts become sets of five-word shingles, hashed to 64 bits; the sketch of a set is
-its ``K`` smallest hashes. Retained values make inverted lists. Two sets of Jaccard
-0.75 share about three quarters of the sketch values; ``SHARED`` is a bound that
-such a pair falls below with a probability of about 1e-9, so a pair meets in the
-lists of the values left when the SHARED - 1 most frequent of each sketch are left
-out (rare values first, the prefix principle). The union sketch of a pair estimates
-its similarity; pairs well below the threshold are dropped, and all others are
-verified by exact Jaccard on the full sets.
+its ``K`` smallest hashes. Retained values make inverted lists. Sketches of two sets of
+Jaccard 0.75 share 55 of 64 values on average if the sets are of one size and 48 if
+one holds the other; fewer than ``SHARED`` has a probability of about 1e-11 and 3e-4.
+So a pair meets in the lists of the values left when the SHARED - 1 most frequent of
+each sketch are left out (rare values first, the prefix principle). The union sketch
+of a pair estimates its similarity; pairs well below the threshold are dropped, and
+all others are verified by exact Jaccard on the full sets.
 
 Only connectivity is asked for, so lists are first linked as stars: every member
-with the member whose values are shared most. Groups found so are contracted, and
-lists that still hold several groups compare members of different groups inside
-tasks, in blocks of ``BLOCK`` x ``BLOCK``; only pairs that pass the estimate leave a
+with the list's head, the member whose values are shared most. Groups found so are
+contracted. Two sets that share a list share its head; so the members of all lists of
+one head are compared across groups, inside tasks, in blocks of ``BLOCK`` x ``BLOCK``:
+first by sketch, then by full sets. Only a spanning forest of the links found leaves a
 task. No list is capped. Equal word sequences meet as one class from the start.
 
 Edge cases: null or wordless texts have an empty set and are groups of their own;
@@ -35,8 +36,8 @@ from suitewise.llm.common import cut, shared_path
 
 WORDS = 5
 PERCENT = 75
-K = 48
-SHARED = 18
+K = 64
+SHARED = 36
 LEAST_ESTIMATE = 0.4
 BLOCK = 256
 STAR = 256
@@ -172,6 +173,8 @@ def _check_rows(batches):
                 if keys[at + i][0] == node[at + i]:
                     group, center, size = keys[at + i], own, len(own)
                 elif group == keys[at + i]:
+                    if estimate(center[:K], own[:K]) < LEAST_ESTIMATE:
+                        continue
                     both = np.searchsorted(center, own)
                     both[both == size] = 0
                     common = int((center[both] == own).sum()) if size else 0
@@ -187,42 +190,83 @@ def estimate(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.isin(union, np.intersect1d(a, b, assume_unique=True)).mean()) if len(union) else 0.0
 
 
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by matrix products over slices of the values that occur twice."""
+    values, at, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(df > 1) - 1
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    twice = df[at] > 1
+    row, column = row[twice], column[at[twice]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int((df > 1).sum()), 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        member = np.zeros((len(sets), 4096), np.float32)
+        member[row[a:b], column[a:b] - lo] = 1
+        out += member @ member.T
+    return out.astype(np.int64)
+
+
+def links_between(comp: np.ndarray, block: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the exact links between members of different groups (and blocks, if there are two)."""
+    n = np.array([len(s) for s in sets])
+    apart = comp[:, None] != comp
+    if block.min() != block.max():
+        apart &= block[:, None] != block
+    apart &= 100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n)
+    least = np.where(n <= K * PERCENT // 100, -(-n * PERCENT // 100), SHARED)
+    apart &= _overlaps([s[:K] for s in sets]) >= np.minimum(least[:, None], least)
+    some = np.flatnonzero(apart.any(axis=1))
+    if not len(some):
+        return []
+    common = _overlaps([sets[i] for i in some])
+    size = n[some]
+    linked = np.triu(apart[np.ix_(some, some)] & (100 * common >= PERCENT * (size[:, None] + size - common)), 1)
+    root = {c: c for c in comp.tolist()}
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out = []
+    for x, y in zip(*np.nonzero(linked)):
+        a, b = find(int(comp[some[x]])), find(int(comp[some[y]]))
+        if a != b:
+            root[a] = b
+            out.append((int(some[x]), int(some[y])))
+    return out
+
+
 def _block_rows(batches):
-    """Pairs of different groups inside (value, i, j) blocks that pass the union-sketch estimate."""
-    held, group = [], None
-
-    def pairs(rows):
-        if len(rows) < 2:
-            return
-        node, comp, n, block, sketch = zip(*rows)
-        sketches = [np.sort(np.array(s, np.int64).view(np.uint64)) for s in sketch]
-        comp, n, block = np.array(comp), np.array(n), np.array(block)
-        values, at = np.unique(np.concatenate(sketches), return_inverse=True)
-        member = np.zeros((len(rows), len(values)), np.float32)
-        member[np.repeat(np.arange(len(rows)), [len(s) for s in sketches]), at] = 1
-        shared = member @ member.T
-        ok = (shared > 0) & (comp[:, None] != comp) & (100 * np.minimum(n[:, None], n) >= PERCENT * np.maximum(n[:, None], n))
-        if group[1] != group[2]:
-            ok &= block[:, None] != block
-        for x, y in zip(*np.nonzero(np.triu(ok, 1))):
-            if estimate(sketches[x], sketches[y]) >= LEAST_ESTIMATE:
-                yield (node[x], node[y]) if node[x] < node[y] else (node[y], node[x])
+    """Links (u, v) found inside the blocks (center, i, j)."""
+    shingler = Shingler()
+    group, held = None, []
 
-    for batch in batches:
-        out = []
-        for *key, block, node, comp, n, sketch in zip(*(batch[c].to_pylist() for c in (
-                "value", "i", "j", "block", "node", "comp", "n", "sketch"))):
-            if key != group:
-                out.extend(pairs(held))
-                held, group = [], key
-            held.append((node, comp, n, block, sketch))
-        yield _pairs_batch(out)
-    yield _pairs_batch(list(pairs(held)))
+    def links():
+        if len({h[1] for h in held}) < 2:
+            return []
+        node, comp, block, sets = zip(*held)
+        return [(node[x], node[y]) for x, y in links_between(np.array(comp), np.array(block), list(sets))]
 
+    def edges(pairs):
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()),
+                                           pa.array([p[1] for p in pairs], pa.int64())], names=["u", "v"])
 
-def _pairs_batch(pairs: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([p[1] for p in pairs], pa.int64()),
-                                       pa.array([p[0] for p in pairs], pa.int64())], names=["node", "center"])
+    for batch in batches:
+        keys = list(zip(*(batch[c].to_pylist() for c in ("center", "i", "j"))))
+        rows_of = list(zip(*(batch[c].to_pylist() for c in ("node", "comp", "block"))))
+        out = []
+        for at, rows, _, _, hashes, offsets in shingler.slices(batch["text"]):
+            for i in range(rows):
+                if keys[at + i] != group:
+                    out += links()
+                    group, held = keys[at + i], []
+                held.append((*rows_of[at + i], hashes[offsets[i]:offsets[i + 1]].copy()))
+        yield edges(out)
+    yield edges(links())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -288,24 +332,21 @@ def near_groups(docs: DataFrame) -> DataFrame:
     bodies = spark.read.parquet(path)
 
     heads = lists.groupBy("value").agg(F.max(F.struct("weight", -F.col("node"))).alias("top"), F.count("*").alias("m"))
-    stars = (lists.join(heads.where("m > 1"), "value")
-             .select("node", (-F.col("top.col2")).alias("center")))
+    stars = cut(lists.join(heads.where("m > 1"), "value").select("node", (-F.col("top.col2")).alias("center")).distinct())
     edges = cut(_verified(stars, bodies))
     roots = cut(components(edges))
-    # lists that still hold members of several groups
-    open_ = lists.join(roots, "node", "left").select(
-        "value", "node", "n", F.coalesce("root", "node").alias("comp"))
-    several = open_.groupBy("value").agg(
+    # heads whose lists still hold members of several groups
+    members = stars.join(roots, "node", "left").select("center", "node", F.coalesce("root", "node").alias("comp"))
+    several = members.groupBy("center").agg(
         F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high")
-    blocks = (open_.join(several.select("value", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "value")
+    blocks = (members.join(several.select("center", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "center")
               .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
               .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-              .select("value", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block",
-                      "node", "comp", "n")
-              .join(classes.select("node", "sketch"), "node"))
-    pairs = (blocks.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-             .mapInArrow(_block_rows, "node bigint, center bigint"))
-    more = _verified(cut(pairs.distinct()), bodies)
+              .select("center", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block",
+                      "node", "comp")
+              .join(bodies, "node"))
+    more = (blocks.repartition("center", "i", "j").sortWithinPartitions("center", "i", "j")
+            .mapInArrow(_block_rows, "u bigint, v bigint"))
     roots = cut(components(edges.unionByName(more)))
 
     grouped = classes.select("node", "first_id", "w1", "w2").join(roots, "node", "left").withColumn(
