@@ -1,8 +1,8 @@
 """suitewise: test-history analytics on Spark.
 
 Every operator is a function ``DataFrame(s) + parameters -> DataFrame`` (column
-functions are ``Column -> Column``). Nothing inside an operator triggers an
-action; callers decide when to materialise.
+functions are ``Column -> Column``). Operators are lazy but for checkpoints:
+model fits and the global-order helper write one to the shared folder.
 """
 
 import sys

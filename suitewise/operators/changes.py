@@ -88,10 +88,11 @@ def hunk_ranges(typed: DataFrame) -> DataFrame:
 
 
 def hunk_changes(typed: DataFrame) -> DataFrame:
-    """Per hunk, the ordered (op, text) changes as count and joined text."""
-    ch = typed.where(F.col("kind").isin("add", "remove") & (F.col("hunk") > 0))
+    """Per hunk, the ordered (op, text) changes as count and joined text; hunks without changes included."""
+    ch = typed.where(F.col("hunk") > 0)
     g = ch.groupBy("file_path", "hunk").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "kind", F.expr("substring(line, 2)").alias("text"))))
+        F.array_sort(F.collect_list(F.when(F.col("kind").isin("add", "remove"), F.struct(
+            "pos", "kind", F.expr("substring(line, 2)").alias("text")))))
         .alias("c"))
     return g.select("file_path", "hunk", F.size("c").cast("bigint").alias("n_changes"),
                     F.array_join(F.transform("c", lambda x: F.concat(x["kind"], F.lit(":"), x["text"])), "\n")

@@ -17,9 +17,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
-from suitewise.operators.features import FEATURE_NAMES, KEY
+from suitewise.operators.features import FEATURE_NAMES, KEY, NEW_TEST_DEFAULTS
 from suitewise.operators.ordered import global_rank
 from suitewise.operators.risk import classification_metrics, roc_auc
 from suitewise.session import ensure_checkpoint_dir
@@ -114,7 +113,7 @@ def make_classifier(algorithm: str, n_rows: int | None = None, **params):
 
 def make_pipeline(algorithm: str, n_rows: int | None = None, **params) -> Pipeline:
     assembler = VectorAssembler(inputCols=list(FEATURE_NAMES), outputCol="raw_features",
-                                handleInvalid="skip")
+                                handleInvalid="error")
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
     return Pipeline(stages=[assembler, scaler, make_classifier(algorithm, n_rows, **params)])
 
@@ -135,16 +134,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def fit(train_rows: DataFrame, algorithm: str = "random_forest", **params) -> PipelineModel:
-    """F8 fit on prepared rows (the train split)."""
-    rows = materialise(train_rows)
+def fit(rows: DataFrame, algorithm: str = "random_forest", **params) -> PipelineModel:
+    """F8 fit on prepared rows (the train split), which the caller has materialised."""
     n = rows.count() if algorithm == "logistic_regression" else None
     return make_pipeline(algorithm, n, **params).fit(rows)
 
 
 def failure_probability(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """P(failed) per row; the class itself when the model gives no probabilities."""
-    scored = model.transform(features)
+    """P(failed) per row; the class itself when the model gives no probabilities.
+
+    Every row is scored: a missing feature takes the default of a test without history (E21), or 0.
+    """
+    scored = model.transform(features.fillna({c: NEW_TEST_DEFAULTS.get(c, 0) for c in FEATURE_NAMES}))
     if "probability" in scored.columns:
         p = vector_to_array(F.col("probability"))[1]
     else:
@@ -213,7 +214,10 @@ def load_model(path: str) -> PipelineModel:
     """Load; a missing model raises a clear error."""
     try:
         return PipelineModel.load(path)
-    except (AnalysisException, Exception) as e:  # noqa: BLE001 - Py4J surfaces several types
+    except Exception as e:
+        # a reader of a missing folder raises one of several types; any other fault is passed on
+        if not any(x in str(e) for x in ("does not exist", "PATH_NOT_FOUND", "FileNotFound")):
+            raise
         raise FileNotFoundError(f"Trained model not found at {path}; train the model first") from e
 
 

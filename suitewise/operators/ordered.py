@@ -5,11 +5,10 @@ partitioned by a key puts all rows of a hot key into one task. For ranks,
 running sums over a global order we instead:
 
 1. range-partition on the order (Spark samples the keys, so even one hot key
-   is cut into several ranges; AQE merges adjacent small ranges) and sort
-   inside each range;
-2. compute the running values inside each range with vectorised cumulative
-   sums over the sorted Arrow batches (``mapInPandas``; no second
-   shuffle);
+   is cut into several ranges) and write each row with the number of its range
+   to the shared checkpoint folder: from there on the range is a plain column,
+   whatever is recomputed or reused later;
+2. compute the running values with native windows partitioned by the range;
 3. add the totals of all earlier ranges, taken from a per-range aggregate
    whose size is bounded by the partition count (so it is safe to broadcast).
 
@@ -22,89 +21,55 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-_PID = "_range_pid"
+from suitewise.session import ensure_checkpoint_dir
 
-
-def _local_running(sums: Sequence[str], flags: Sequence[str] = ()):
-    """Per range: running sums, the local row number, and for each flag the local
-    number of the last flagged row strictly before the current one (-1: none)."""
-    def run(batches):
-        carry = {c: 0 for c in sums}
-        rows = 0
-        last = {f: -1 for f in flags}
-        for pdf in batches:
-            for c in sums:
-                cs = pdf[c].fillna(0).astype("int64").cumsum() + carry[c]
-                if len(cs):
-                    carry[c] = int(cs.iloc[-1])
-                pdf[f"_loc_{c}"] = cs
-            if flags:
-                idx = np.arange(rows + 1, rows + len(pdf) + 1, dtype="int64")
-                pdf["_loc_row"] = idx
-                for f in flags:
-                    hit = np.where(pdf[f].fillna(False).to_numpy(dtype=bool), idx, -1)
-                    inclusive = np.maximum.accumulate(np.concatenate([[last[f]], hit]))
-                    pdf[f"_prev_{f}"] = inclusive[:-1]
-                    last[f] = int(inclusive[-1])
-                rows += len(pdf)
-            yield pdf
-    return run
+_RANGE = "_range"
 
 
 def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str],
                    prefix: str = "cum_", with_index: str | None = None,
                    last_before: Sequence[str] = ()) -> DataFrame:
-    """Inclusive running sums of the non-negative integer columns ``sums`` in the global ``order``.
+    """Inclusive running sums of the integer columns ``sums`` in the global ``order``.
 
     ``order`` must be a total order. ``with_index`` adds a 1-based position.
     ``last_before`` names boolean columns; for each, ``prev_<flag>`` is the global
     1-based position of the last row strictly before this one whose flag is
     true (NULL if none) — the building block for "state since the last X".
+    Writes one checkpoint when called.
     """
     flags = list(last_before)
-    index_name = with_index or ("_gpos" if flags else None)
-    # No fixed range count: AQE sizes the ranges from the data (adjacent ranges are
-    # merged, so partition ids stay in global order).
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
-        _PID, F.spark_partition_id())
-    value_cols = list(sums) + ([index_name] if index_name else [])
-    if index_name:
-        ranged = ranged.withColumn(index_name, F.lit(1).cast("bigint"))
-    schema = StructType(list(ranged.schema.fields)
-                        + [StructField(f"_loc_{c}", LongType()) for c in value_cols]
-                        + ([StructField("_loc_row", LongType())] if flags else [])
-                        + [StructField(f"_prev_{f}", LongType()) for f in flags])
-    local = ranged.mapInPandas(_local_running(value_cols, flags), schema)
-    # Totals come from the same mapInPandas output: both branches then share one
-    # subtree (Python consumes every column, so nothing is pruned below it) and
-    # reuse a single range exchange, i.e. identical range boundaries. With
-    # non-negative values the partition total is the largest running value.
-    # (Relies on spark.sql.exchange.reuse, on by default: one shuffle, one set of bounds.)
-    totals = local.groupBy(_PID).agg(*[F.max(f"_loc_{c}").alias(f"_tot_{c}") for c in value_cols],
-                                     *[F.max(F.when(F.col(f), F.col("_loc_row"))).alias(f"_lastloc_{f}")
-                                       for f in flags])
-    before = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PID, *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0))
-                                    .alias(f"_off_{c}") for c in value_cols],
-                            *[f"_lastloc_{f}" for f in flags])
-    if flags:
-        # global position of each range's last flagged row, then the latest of the earlier ranges
-        offsets = offsets.select("*", *[F.max(F.col(f"_off_{index_name}") + F.col(f"_lastloc_{f}")).over(before)
-                                        .alias(f"_carry_{f}") for f in flags])
-    j = local.join(F.broadcast(offsets), _PID)
-    prev = [F.when(F.col(f"_prev_{f}") >= 0, F.col(f"_off_{index_name}") + F.col(f"_prev_{f}"))
-            .otherwise(F.col(f"_carry_{f}")).cast("bigint").alias(f"prev_{f}") for f in flags]
-    out = j.select(*[F.col(c) for c in df.columns],
-                   *[(F.col(f"_off_{c}") + F.col(f"_loc_{c}")).alias(f"{prefix}{c}") for c in sums],
-                   *([(F.col(f"_off_{index_name}") + F.col(f"_loc_{index_name}")).cast("bigint")
-                      .alias(index_name)] if index_name else []),
-                   *prev)
-    return out
+    index = with_index or ("_gpos" if flags else None)
+    ensure_checkpoint_dir(df.sparkSession)
+    ranged = df.repartitionByRange(*order).withColumn(_RANGE, F.spark_partition_id()).checkpoint()
+    ordered = Window.partitionBy(_RANGE).orderBy(*order)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = ordered.rowsBetween(Window.unboundedPreceding, -1)
+    numbered = ranged.withColumn("_row", F.row_number().over(ordered).cast("bigint"))
+    at_flag = [F.when(F.col(f), F.col("_row")) for f in flags]
+    local = numbered.select(
+        "*", *[F.sum(F.coalesce(F.col(c).cast("bigint"), F.lit(0))).over(upto).alias(f"_run_{c}") for c in sums],
+        *[F.max(x).over(earlier).alias(f"_prev_{f}") for f, x in zip(flags, at_flag)])
+    totals = numbered.groupBy(_RANGE).agg(
+        F.max("_row").alias("_rows"),
+        *[F.sum(F.coalesce(F.col(c).cast("bigint"), F.lit(0))).alias(f"_tot_{c}") for c in sums],
+        *[F.max(x).alias(f"_last_{f}") for f, x in zip(flags, at_flag)])
+    before = Window.orderBy(_RANGE).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = totals.select(
+        _RANGE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_off"),
+        *[F.coalesce(F.sum(f"_tot_{c}").over(before), F.lit(0)).alias(f"_off_{c}") for c in sums],
+        *[f"_last_{f}" for f in flags])
+    offsets = offsets.select("*", *[F.max(F.col("_off") + F.col(f"_last_{f}")).over(before).alias(f"_carry_{f}")
+                                    for f in flags])
+    j = local.join(F.broadcast(offsets), _RANGE)
+    return j.select(
+        *[F.col(c) for c in df.columns],
+        *[(F.col(f"_off_{c}") + F.col(f"_run_{c}")).cast("bigint").alias(f"{prefix}{c}") for c in sums],
+        *([(F.col("_off") + F.col("_row")).cast("bigint").alias(index)] if index else []),
+        *[F.coalesce(F.col("_off") + F.col(f"_prev_{f}"), F.col(f"_carry_{f}")).cast("bigint").alias(f"prev_{f}")
+          for f in flags])
 
 
 def global_rank(df: DataFrame, order: Sequence[Column], name: str = "rank") -> DataFrame:

@@ -23,7 +23,9 @@ def create_table(df: DataFrame, path: str, fmt: str = "parquet") -> bool:
     try:
         df.write.mode("errorifexists").format(fmt).save(path)
         return True
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_ALREADY_EXISTS":
+            raise
         return False
 
 
@@ -31,7 +33,9 @@ def table_count(spark: SparkSession, path: str, fmt: str = "parquet") -> int:
     """K8 for a stored table: row count, 0 when the table does not exist."""
     try:
         return spark.read.format(fmt).load(path).count()
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return 0
 
 

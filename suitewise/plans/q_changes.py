@@ -95,9 +95,10 @@ def diff_hunks(spark, sf_dir):
 
 
 @register("hunk_changes", with_ctes(["tl"], """
-SELECT file_path, hunk, count(*) AS n_changes,
-  string_agg(kind || ':' || substring(line, 2), chr(10) ORDER BY pos) AS changes
-FROM tl WHERE kind IN ('add', 'remove') AND hunk > 0 GROUP BY file_path, hunk"""))
+SELECT file_path, hunk, count(*) FILTER (kind IN ('add', 'remove')) AS n_changes,
+  coalesce(string_agg(kind || ':' || substring(line, 2), chr(10) ORDER BY pos)
+    FILTER (kind IN ('add', 'remove')), '') AS changes
+FROM tl WHERE hunk > 0 GROUP BY file_path, hunk"""))
 def hunk_changes(spark, sf_dir):
     return B.hunk_changes(B.typed_lines(_diff(spark, sf_dir)))
 

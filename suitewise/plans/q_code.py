@@ -61,18 +61,6 @@ SELECT o.file_path, abs(n.total_lines - o.total_lines) AS lines_changed,
 FROM ftot o JOIN ftot n ON o.file_path = n.file_path AND o.version = 'old' AND n.version = 'new'
 """, ("ftot",))
 
-_cte("corpus", """
-SELECT concat('src/f', CAST(f AS STRING), '.py') AS file_path, kind, name, cum - nlines + 1 AS line_start,
-  cum AS line_end, complexity FROM (
-  SELECT *, sum(nlines) OVER (PARTITION BY f ORDER BY o, o2, o3, o4 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
-  FROM (SELECT l_orderkey % 500 AS f, l_orderkey * 10 + l_linenumber AS o, l_partkey AS o2, l_suppkey AS o3,
-      l_extendedprice AS o4, CASE WHEN l_linestatus = 'F' THEN 'class' ELSE 'function' END AS kind,
-      concat('e', CAST(l_partkey % 7 AS STRING)) AS name,
-      2 + CAST(l_quantity AS BIGINT) % 5 AS nlines, 1 + CAST(l_quantity AS BIGINT) % 5 AS complexity
-    FROM lineitem WHERE l_returnflag = 'A') s) c
-""")
-
-
 def _elements(spark, sf_dir):
     return X.code_elements(spark, sf_dir)
 
@@ -170,40 +158,3 @@ def file_comparison(spark, sf_dir):
 @register("changed_elements", with_ctes(["echg"], "SELECT DISTINCT file_path, name FROM echg"))
 def changed_elements(spark, sf_dir):
     return C.changed_elements(_elements(spark, sf_dir))
-
-
-def _corpus_sources(spark, sf_dir):
-    return C.assemble_files(X.source_corpus_snippets(spark, sf_dir), "f", ("o", "o2", "o3", "o4"), "body")
-
-
-@register("corpus_analysis", with_ctes(["corpus"], "SELECT * FROM corpus"))
-def corpus_analysis(spark, sf_dir):
-    e = C.corpus_elements(_corpus_sources(spark, sf_dir))
-    return e.where(F.col("error").isNull()).drop("error")
-
-
-@register("corpus_complexity", with_ctes(["corpus"], """
-SELECT file_path, sum(line_end - line_start + 1) + 1 AS total_lines, sum(complexity) AS complexity_score
-FROM corpus GROUP BY file_path"""))
-def corpus_complexity(spark, sf_dir):
-    return C.corpus_files(_corpus_sources(spark, sf_dir)).select("file_path", "total_lines", "complexity_score")
-
-
-def _import_sources(spark, sf_dir):
-    """One module per file whose text is its 'new' imports, as import statements."""
-    imps = X.code_imports(spark, sf_dir).where(F.col("version") == "new")
-    digit = F.substring("import_name", -1, 1).cast("int")
-    stmt = F.when(digit % 2 == 0, F.concat(F.lit("import "), F.col("import_name"))).otherwise(
-        F.concat(F.lit("from "), F.col("import_name"), F.lit(" import util")))
-    g = imps.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("import_name", stmt.alias("s")))).alias("l"))
-    return g.select("file_path", F.concat(F.array_join(F.transform("l", lambda x: x["s"]), "\n"), F.lit("\n"))
-                    .alias("text"))
-
-
-@register("corpus_imports", with_ctes(["cimp"], """
-SELECT file_path, CASE WHEN CAST(right(import_name, 1) AS INTEGER) % 2 = 0 THEN import_name
-  ELSE import_name || '.util' END AS import_name
-FROM cimp WHERE version = 'new'"""))
-def corpus_imports(spark, sf_dir):
-    f = C.corpus_files(_import_sources(spark, sf_dir))
-    return f.select("file_path", F.explode("imports").alias("import_name"))

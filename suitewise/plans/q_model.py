@@ -78,7 +78,7 @@ def _train_rows(spark, sf_dir):
 def _model_scores(spark, sf_dir, algorithm):
     i = Inputs(spark, sf_dir)
     rows = M._prepare(_train_rows(spark, sf_dir))
-    model = M.fit(M.stratified_split(rows).where(F.col("split") == "train"), algorithm)
+    model = M.fit(M.materialise(M.stratified_split(rows)).where(F.col("split") == "train"), algorithm)
     feats = E.serving_features(i.model_history)
     return M.failure_probability(model, feats).select(E.KEY, "failure_probability")
 
@@ -124,7 +124,7 @@ def failure_probability(spark, sf_dir):
 def batch_scores(spark, sf_dir):
     i = Inputs(spark, sf_dir)
     rows = M._prepare(_train_rows(spark, sf_dir))
-    model = M.fit(M.stratified_split(rows).where(F.col("split") == "train"), "random_forest")
+    model = M.fit(M.materialise(M.stratified_split(rows)).where(F.col("split") == "train"), "random_forest")
     feats = E.default_features(i.candidates, i.model_history, changes=i.change_map)
     return M.failure_probability(model, feats).select(E.KEY, "has_history", "failure_probability")
 

@@ -146,23 +146,6 @@ def code_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).distinct()
 
 
-def source_corpus_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Python snippet per lineitem row; ordered by (o, o2, o3, o4) inside file f."""
-    li = read_table(spark, sf_dir, "lineitem").where(F.col("l_returnflag") == "A")
-    is_class = F.col("l_linestatus") == "F"
-    nl = F.lit("\n")
-    body = F.concat(
-        F.when(is_class, "class").otherwise("def"), F.lit(" e"), _s(F.col("l_partkey") % 7),
-        F.when(is_class, ":").otherwise("(a):"), nl,
-        F.repeat(F.lit("    if 1: pass\n"), (F.col("l_quantity").cast("bigint") % 5).cast("int")),
-        F.lit("    x = 1"), nl)
-    return li.select(
-        (F.col("l_orderkey") % 500).alias("f"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("o"),
-        F.col("l_partkey").alias("o2"), F.col("l_suppkey").alias("o3"),
-        F.col("l_extendedprice").alias("o4"), body.alias("body"))
-
-
 def diff_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unified-diff lines, one row per (file, position)."""
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")

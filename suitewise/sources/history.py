@@ -16,20 +16,27 @@ from suitewise.operators.features import KEY
 from suitewise.operators.selection import HIGH_TIER, LOW_TIER, ranking_order
 
 HISTORY_SCHEMA = ("exec_id bigint, run_id bigint, run_ts timestamp_ntz, test_file string, test_name string, "
-                  "full_test_name string, source_file string, passed boolean, execution_time decimal(12,2), "
-                  "coverage decimal(4,2), lines_changed bigint, functions_changed bigint, files_changed string, "
+                  "full_test_name string, source_file string, passed boolean, execution_time decimal(12,3), "
+                  "coverage decimal(5,3), lines_changed bigint, functions_changed bigint, files_changed string, "
                   "is_flaky boolean")
 
 
 def read_history(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame | None:
-    """A1: the history table, or None when nothing exists at ``path``."""
+    """A1: the history table, or None when nothing exists at ``path``.
+
+    Columns are taken by name, in any order. ``timestamp`` may stand for ``run_ts``, and rows without
+    ``exec_id`` get one that is unique in the table read.
+    """
     try:
-        reader = spark.read.format(fmt)
-        if fmt == "csv":
-            reader = reader.option("header", True).schema(HISTORY_SCHEMA)
-        df = reader.load(path)
-    except AnalysisException:
+        df = spark.read.format(fmt).option("header", True).load(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    if "timestamp" in df.columns and "run_ts" not in df.columns:
+        df = df.withColumnRenamed("timestamp", "run_ts")
+    if "exec_id" not in df.columns:
+        df = df.withColumn("exec_id", F.monotonically_increasing_id())
     missing = [f.split()[0] for f in HISTORY_SCHEMA.split(", ") if f.split()[0] not in df.columns]
     if missing:
         raise ValueError(f"history at {path} lacks columns {missing}")
@@ -58,19 +65,16 @@ def report_lines(priorities: DataFrame, top_n: int = 20) -> DataFrame:
                             F.count_if((s >= LOW_TIER) & (s <= HIGH_TIER)).alias("mid"),
                             F.count_if(s < LOW_TIER).alias("lo"))
     head = counts.select(F.posexplode(F.array(
-        F.lit("# Test Selection Report"), F.lit(""), F.lit("## Summary"), F.lit(""),
-        F.concat(F.lit("- Total tests analyzed: "), F.col("n").cast("string")),
-        F.concat(F.lit("- High priority tests: "), F.col("hi").cast("string")),
-        F.concat(F.lit("- Medium priority tests: "), F.col("mid").cast("string")),
-        F.concat(F.lit("- Low priority tests: "), F.col("lo").cast("string")), F.lit(""),
-        F.lit(f"## Top {top_n} Priority Tests"), F.lit(""),
-        F.lit("| Rank | Test Name | Priority | Failure Prob | Reason |"),
-        F.lit("|------|-----------|----------|--------------|--------|"))).alias("_o", "value"))
+        F.lit("# Ranked tests"), F.lit(""),
+        F.format_string("%d tests scored; %d above the high tier, %d between the tiers, %d below.",
+                        F.col("n"), F.col("hi"), F.col("mid"), F.col("lo")), F.lit(""),
+        F.lit(f"First {top_n}, by score:"), F.lit(""),
+        F.lit("| # | score | P(fail) | test | why |"), F.lit("|-:|-:|-:|:-|:-|"))).alias("_o", "value"))
     head = head.select("value", F.col("_o").cast("bigint").alias("_o"), F.lit(0).alias("_part"))
     top = priorities.orderBy(*ranking_order()).limit(top_n)
     rows = top.select(F.row_number().over(Window.orderBy(*ranking_order())).alias("_r"), "*").select(
-        F.format_string("| %d | `%s` | %.3f | %.3f | %s |", F.col("_r"), F.col(KEY), F.col("priority_score"),
-                        F.col("failure_probability"), F.col("reason")).alias("value"),
+        F.format_string("| %d | %.3f | %.3f | `%s` | %s |", F.col("_r"), F.col("priority_score"),
+                        F.col("failure_probability"), F.col(KEY), F.col("reason")).alias("value"),
         F.col("_r").cast("bigint").alias("_o"), F.lit(1).alias("_part"))
     return head.unionByName(rows)
 

@@ -108,12 +108,12 @@ STREAK_STATE = "streak bigint, since bigint, last_us bigint, last_id bigint, lat
 
 
 def _streak_fn(key, pdfs, state):
-    streak, since, last_us, last_id, late = state.get if state.exists else (0, -1, -1, -1, 0)
+    streak, since, last_us, last_id, late = state.get if state.exists else (0, -1, None, None, 0)
     frames = [p for p in pdfs]
     pdf = pd.concat(frames).sort_values(["us", "exec_id"]) if frames else None
     if pdf is not None:
         for us, eid, ok in zip(pdf["us"].tolist(), pdf["exec_id"].tolist(), pdf["passed"].tolist()):
-            if (us, eid) <= (last_us, last_id):
+            if last_us is not None and (us, eid) <= (last_us, last_id):
                 late += 1
                 continue
             last_us, last_id = us, eid
@@ -141,13 +141,14 @@ def live_streak(history: DataFrame) -> DataFrame:
 def _admit_fn(max_requests: int, win_us: int) -> Callable:
     def fn(key, pdfs, state):
         times = list(state.get[0]) if state.exists else []
-        last = state.get[1] if state.exists else (-1, -1)
+        last = tuple(state.get[1]) if state.exists else ()
         frames = [p for p in pdfs]
         rows = []
         if frames:
             pdf = pd.concat(frames).sort_values(["us", "event_id"])
             for us, eid in zip(pdf["us"].tolist(), pdf["event_id"].tolist()):
-                if (us, eid) <= tuple(last):
+                if last and (us, eid) <= last:
+                    rows.append((key[0], eid, None))
                     continue
                 last = (us, eid)
                 times = [t for t in times if us - t < win_us]
@@ -161,7 +162,10 @@ def _admit_fn(max_requests: int, win_us: int) -> Callable:
 
 
 def stream_rate_admit(events: DataFrame, max_requests: int, window_seconds: int) -> DataFrame:
-    """Admission control with a per-user queue of admitted times."""
+    """Admission control with a per-user queue of admitted times.
+
+    An event older than one already decided is late: its ``admitted`` is NULL.
+    """
     e = events.select("user_id", "event_id", epoch_us(F.col("ts")).alias("us"))
     return e.groupBy("user_id").applyInPandasWithState(
         _admit_fn(max_requests, window_seconds * 1_000_000),
@@ -170,13 +174,14 @@ def stream_rate_admit(events: DataFrame, max_requests: int, window_seconds: int)
 
 
 def _lockout_fn(key, pdfs, state):
-    attempts, active, last_us, last_id = state.get if state.exists else (0, True, -1, -1)
+    attempts, active, last_us, last_id = state.get if state.exists else (0, True, None, None)
     frames = [p for p in pdfs]
     rows = []
     if frames:
         pdf = pd.concat(frames).sort_values(["us", "event_id"])
         for us, eid, kind in zip(pdf["us"].tolist(), pdf["event_id"].tolist(), pdf["event_type"].tolist()):
-            if (us, eid) <= (last_us, last_id):
+            if last_us is not None and (us, eid) <= (last_us, last_id):
+                rows.append((key[0], eid, kind, "late"))
                 continue
             last_us, last_id = us, eid
             if kind == PASSWORD_RESET:
@@ -195,7 +200,10 @@ def _lockout_fn(key, pdfs, state):
 
 
 def stream_lockout(events: DataFrame) -> DataFrame:
-    """Login lockout with per-user (attempts, active) state."""
+    """Login lockout with per-user (attempts, active) state.
+
+    An event older than one already decided has the outcome ``late``.
+    """
     e = events.select("user_id", "event_id", "event_type", epoch_us(F.col("ts")).alias("us"))
     return e.groupBy("user_id").applyInPandasWithState(
         _lockout_fn, "user_id bigint, event_id bigint, event_type string, outcome string",

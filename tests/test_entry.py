@@ -9,7 +9,7 @@ from suitewise.sources.tables import TABLES
 
 FAST_ORACLE_SAMPLE = ["select_tests", "serving_features", "impact_scores", "priority_ranking", "roc_auc",
                       "diff_hunks", "file_comparison", "fn_query_parse", "rate_check", "login_lockout",
-                      "tbl_insert", "scenario_comparison", "corpus_analysis", "rate_admit",
+                      "tbl_insert", "scenario_comparison", "rate_admit",
                       "select_auto_detect", "risk_top", "point_in_time_features"]
 
 

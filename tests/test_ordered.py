@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from suitewise.operators import sequences as L
@@ -28,6 +30,22 @@ def test_running_sums_ranks_and_last_flags(spark):
     assert ranks == expect
 
 
+@pytest.mark.parametrize("coalesce", ["true", "false"])
+def test_ranks_without_exchange_reuse(spark, coalesce):
+    """Ranks of 400,000 rows stay exact when no shuffle is reused."""
+    conf = {"spark.sql.exchange.reuse": "false", "spark.sql.adaptive.coalescePartitions.enabled": coalesce}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(400_000).select("id", F.xxhash64("id").alias("h"), F.lit("x" * 40).alias("pad"))
+        got = global_rank(df, [F.col("h"), F.col("id")]).select("h", "rank").toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert (got.sort_values("h")["rank"].to_numpy() == range(1, 400_001)).all()
+
+
 def test_hot_key_lockout_and_sessions(spark):
     rnd = random.Random(5)
     t0 = dt.datetime(2024, 1, 1)

@@ -3,6 +3,8 @@
 import glob
 import tempfile
 
+import pytest
+
 from suitewise.operators import selection as H
 from suitewise.sources import history as A
 
@@ -34,9 +36,22 @@ def test_selected_and_report_sinks(spark):
     rep = _tmp() + "/report"
     A.write_report(prio, rep, top_n=3)
     text = open(glob.glob(rep + "/part-*")[0]).read().splitlines()
-    assert text[0] == "# Test Selection Report"
     # 0.1 * 7 is just above 0.7 in binary, so 7, 8, 9 are high; 3..6 medium
-    assert "- High priority tests: 3" in text and "- Medium priority tests: 4" in text
-    assert "- Low priority tests: 3" in text
-    assert text[-3] == "| 1 | `tests/t.py::c9` | 0.900 | 0.450 | General testing |"
-    assert len(text) == 13 + 3
+    assert text[2] == "10 tests scored; 3 above the high tier, 4 between the tiers, 3 below."
+    assert text[-3] == "| 1 | 0.900 | 0.450 | `tests/t.py::c9` | General testing |"
+    assert len(text) == 8 + 3
+
+
+def test_history_by_name(spark):
+    path = _tmp() + "/h"
+    head = ("test_name,timestamp,run_id,test_file,full_test_name,source_file,passed,execution_time,coverage,"
+            "lines_changed,functions_changed,files_changed,is_flaky").split(",")
+    row = ["t1", "2024-01-01 00:00:00", "3", "tests/a.py", "tests/a.py::t1", "src/a.py", "True", "1.234", "0.875", "2",
+           "1", "src/a.py", "False"]
+    spark.createDataFrame([row], head).write.option("header", True).csv(path)
+    r = A.read_history(spark, path, fmt="csv").first()
+    assert (r["test_file"], r["passed"], r["run_id"], str(r["execution_time"]), str(r["coverage"])) == (
+        "tests/a.py", True, 3, "1.234", "0.875")
+    spark.createDataFrame([row[1:]], head[1:]).write.option("header", True).csv(path + "2")
+    with pytest.raises(ValueError, match="test_name"):
+        A.read_history(spark, path + "2", fmt="csv")
