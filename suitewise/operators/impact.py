@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from suitewise.operators.features import KEY, RECENT_ROWS, last_rows, test_file_of
-from suitewise.operators.joins import contains_semi_join
+from suitewise.operators.joins import contains_semi_join, within_semi_join
 
 DIRECT_IMPACT = 1.0
 IMPORT_IMPACT = 0.5
@@ -55,15 +55,19 @@ def direct_impact(mapping: DataFrame, changed: DataFrame) -> DataFrame:
             .select("test_file", F.lit(DIRECT_IMPACT).alias("impact")))
 
 
-def import_impact(mapping: DataFrame, imports: DataFrame, changed: DataFrame) -> DataFrame:
+def import_impact(mapping: DataFrame, imports: DataFrame, changed: DataFrame, exact: bool = False) -> DataFrame:
     """Mapped test files importing (by substring, T11) a changed module -> 0.5.
 
+    With ``exact``, a module matches only itself and what lies below it, so that
+    ``src.m1`` does not match ``src.m10``.
+
     The substring match runs over the imports first; the (small) mapping then
     filters the matched test files, so the mapping plan is not repeated inside
     the match.
     """
     modules = changed.select(path_to_module(F.col("file_path")).alias("module")).distinct()
-    hit = contains_semi_join(imports, "import_name", modules, "module").select("test_file").distinct()
+    match = within_semi_join if exact else contains_semi_join
+    hit = match(imports, "import_name", modules, "module").select("test_file").distinct()
     mapped = hit.join(mapping.select("test_file"), "test_file", "left_semi")
     return mapped.select("test_file", F.lit(IMPORT_IMPACT).alias("impact"))
 
@@ -120,6 +124,13 @@ def change_summary(changed: DataFrame, diff_stats: DataFrame, scores: DataFrame,
         .alias("high_priority_tests"))
 
 
+def changed_file_list(changed: DataFrame, diff_stats: DataFrame) -> DataFrame:
+    """The changed files as rows, with the lines added and removed in each."""
+    files = changed.select("file_path").distinct()
+    return files.join(diff_stats, "file_path", "left").select(
+        "file_path", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in ("lines_added", "lines_removed")])
+
+
 def related_tests(mapping: DataFrame, sources: DataFrame) -> DataFrame:
     """Test files mapped to each given source file."""
     s = sources.select(F.col(sources.columns[0]).alias("source_file")).distinct()

@@ -49,6 +49,16 @@ def contains_semi_join(left: DataFrame, lcol: str, right: DataFrame, rcol: str)
     return _theta_semi(left, lcol, right, rcol, suffix=False, anti=False)
 
 
+def within_semi_join(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> DataFrame:
+    """Rows of ``left`` whose dotted path ``lcol`` is, or lies below, some non-empty ``right.rcol``."""
+    parts = F.split(F.col("_v"), r"\.")
+    vals = left.select(F.col(lcol).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    heads = vals.select("_v", F.explode(F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("_piece"))
+    hits = heads.join(_keys(right, rcol), "_piece", "left_semi").select("_v").distinct()
+    return left.join(hits, left[lcol] == hits["_v"], "left_semi")
+
+
 def endswith_semi_join(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> DataFrame:
     """Rows of ``left`` whose ``lcol`` ends with some non-empty ``right.rcol``."""
     return _theta_semi(left, lcol, right, rcol, suffix=True, anti=False)

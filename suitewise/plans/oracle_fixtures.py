@@ -79,8 +79,9 @@ FROM supplier WHERE s_suppkey % 12 IN (1, 4, 7)
 
 _cte("ti", """
 SELECT DISTINCT concat('tests/test_m', CAST(l_suppkey % 12 AS STRING), '.py') AS test_file,
-  concat('src.m', CAST(l_partkey % 12 AS STRING), '.e', CAST(l_linenumber AS STRING)) AS import_name
-FROM lineitem WHERE l_partkey % 12 = (l_suppkey * 5 + 2) % 12
+  concat(CASE WHEN l_partkey % 12 = (l_suppkey * 5 + 2) % 12 THEN 'src.m' ELSE 'lib.m' END,
+    CAST(l_partkey % 12 AS STRING), '.e', CAST(l_linenumber AS STRING)) AS import_name
+FROM lineitem
 """)
 
 _cte("tfiles", "SELECT DISTINCT test_file FROM th", ("th",))
@@ -115,7 +116,7 @@ FROM th GROUP BY full_test_name
 
 _cte("cand", """
 SELECT DISTINCT full_test_name FROM th UNION ALL
-SELECT concat('tests/test_m1.py::test_new', CAST(n_nationkey + 1 AS STRING)) FROM nation WHERE n_nationkey < 5
+SELECT concat('tests/test_m1.py::test_new', CAST(n_nationkey + 1 AS STRING)) FROM nation
 """, ("th",))
 
 _cte("cmap", """

@@ -143,3 +143,13 @@ def change_summary(spark, sf_dir):
     diff = _diff(spark, sf_dir)
     changed = i.changed.unionByName(diff.select("file_path")).distinct()
     return D.change_summary(changed, B.file_diff_stats(diff), i.impact)
+
+
+@register("change_summary_files", with_ctes(["cf", "dl", "fds"], """
+SELECT x.file_path, CAST(coalesce(s.lines_added, 0) AS BIGINT) AS lines_added,
+  CAST(coalesce(s.lines_removed, 0) AS BIGINT) AS lines_removed
+FROM (SELECT file_path FROM cf UNION SELECT file_path FROM dl) x LEFT JOIN fds s USING (file_path)"""))
+def change_summary_files(spark, sf_dir):
+    diff = _diff(spark, sf_dir)
+    changed = Inputs(spark, sf_dir).changed.unionByName(diff.select("file_path"))
+    return D.changed_file_list(changed, B.file_diff_stats(diff))

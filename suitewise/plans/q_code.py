@@ -10,8 +10,8 @@ from suitewise.plans.registry import register
 from suitewise.sources import fixtures as X
 
 _cte("ce", """
-SELECT concat('src/f', CAST(l_orderkey % 500 AS STRING), '.py') AS file_path,
-  CASE WHEN l_returnflag = 'A' THEN 'old' ELSE 'new' END AS version,
+SELECT concat('src/f', CAST(l_orderkey // 16 AS STRING), '.py') AS file_path,
+  version,
   CASE WHEN l_linestatus = 'F' THEN 'class' ELSE 'function' END AS kind,
   concat('e', CAST(l_partkey % 7 AS STRING)) AS name,
   l_orderkey * 10 + l_linenumber AS seq_a, l_partkey AS seq_b, l_suppkey AS seq_c,
@@ -19,14 +19,14 @@ SELECT concat('src/f', CAST(l_orderkey % 500 AS STRING), '.py') AS file_path,
   CAST(l_linenumber AS BIGINT) * 10 AS line_start,
   CAST(l_linenumber AS BIGINT) * 10 + CAST(l_quantity AS BIGINT) AS line_end,
   1 + CAST(l_quantity AS BIGINT) % 5 AS complexity
-FROM lineitem WHERE l_returnflag IN ('A', 'R')
+FROM lineitem JOIN (VALUES ('old', 'R'), ('new', 'A')) AS v(version, absent) ON l_returnflag <> absent
 """)
 
 _cte("cimp", """
-SELECT DISTINCT concat('src/f', CAST(l_orderkey % 500 AS STRING), '.py') AS file_path,
-  CASE WHEN l_returnflag = 'A' THEN 'old' ELSE 'new' END AS version,
+SELECT DISTINCT concat('src/f', CAST(l_orderkey // 16 AS STRING), '.py') AS file_path,
+  version,
   concat('pkg', CAST(l_suppkey % 9 AS STRING)) AS import_name
-FROM lineitem WHERE l_returnflag IN ('A', 'R')
+FROM lineitem JOIN (VALUES ('old', 'R'), ('new', 'A')) AS v(version, absent) ON l_returnflag <> absent
 """)
 
 _cte("el", """

@@ -47,6 +47,15 @@ def import_impact(spark, sf_dir):
     return D.import_impact(i.mapping, i.imports, i.changed)
 
 
+@register("import_impact_exact", with_ctes(["mp", "ti", "mods"], """
+SELECT DISTINCT i.test_file, CAST(0.5 AS DOUBLE) AS impact
+FROM ti i JOIN mods m ON i.import_name = m.module OR starts_with(i.import_name, m.module || '.')
+WHERE i.test_file IN (SELECT test_file FROM mp)"""))
+def import_impact_exact(spark, sf_dir):
+    i = Inputs(spark, sf_dir)
+    return D.import_impact(i.mapping, i.imports, i.changed, exact=True)
+
+
 @register("impact_scores", with_ctes(["imp"], "SELECT test_file, impact FROM imp"))
 def impact_scores(spark, sf_dir):
     return Inputs(spark, sf_dir).impact
@@ -85,7 +94,7 @@ def _estimate_inputs(spark, sf_dir):
     sizes = (docs.groupBy(F.concat(F.lit("tests/test_m"), (F.col("doc_id") % 14).cast("string"),
                                    F.lit(".py")).alias("test_file"))
              .agg(F.sum("n_chars").alias("size_bytes")))
-    files = read_table(spark, sf_dir, "nation", "n_nationkey").where(F.col("n_nationkey") < 15).select(
+    files = read_table(spark, sf_dir, "nation", "n_nationkey").select(
         F.concat(F.lit("tests/test_m"), F.col("n_nationkey").cast("string"), F.lit(".py")).alias("test_file"))
     return files, sizes
 
@@ -93,7 +102,7 @@ def _estimate_inputs(spark, sf_dir):
 @register("estimated_time", with_ctes(["th"], """
 SELECT round(sum(coalesce(k.avg_time, 0.1 * (CAST(s.size_bytes AS DOUBLE) / 1000.0), 0.0)), 6) AS total_time,
   count(*) AS n_files
-FROM (SELECT concat('tests/test_m', CAST(n_nationkey AS STRING), '.py') AS test_file FROM nation WHERE n_nationkey < 15) f
+FROM (SELECT concat('tests/test_m', CAST(n_nationkey AS STRING), '.py') AS test_file FROM nation) f
 LEFT JOIN (SELECT test_file, CAST(sum(execution_time) AS DOUBLE) / count(*) AS avg_time FROM th GROUP BY test_file) k
   USING (test_file)
 LEFT JOIN (SELECT concat('tests/test_m', CAST(doc_id % 14 AS STRING), '.py') AS test_file, sum(n_chars) AS size_bytes
@@ -135,6 +144,14 @@ def high_risk_tests(spark, sf_dir):
     return G.high_risk_tests(Inputs(spark, sf_dir).scores, 0.25)
 
 
+@register("risk_members", with_ctes(["fs"], """
+SELECT full_test_name, failure_probability,
+  CASE WHEN failure_probability > 0.7 THEN 'high' WHEN failure_probability > 0.3 THEN 'medium' ELSE 'low' END AS risk_tier
+FROM fs"""))
+def risk_members(spark, sf_dir):
+    return G.risk_members(Inputs(spark, sf_dir).scores)
+
+
 @register("risk_summary", with_ctes(["fs"], """
 SELECT t.risk_tier, coalesce(c.n, 0) AS n_tests,
   CAST(coalesce(c.n, 0) AS DOUBLE) / CAST((SELECT count(*) FROM fs) AS DOUBLE) * 100.0 AS percentage

@@ -96,13 +96,21 @@ def tbl_to_json(spark, sf_dir):
     return K.to_json_rows(_base(spark, sf_dir), ["id", "name", "balance", "segment"])
 
 
+def _json_docs(spark, sf_dir):
+    return _base(spark, sf_dir).select(F.when(F.col("id") % 50 == 0, F.to_json(F.struct("id", "name")))
+                                       .otherwise(F.to_json(F.array(F.struct("id", "name")))).alias("json"))
+
+
 @register("tbl_from_json", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey % 50 <> 0")
 def tbl_from_json(spark, sf_dir):
-    b = _base(spark, sf_dir)
-    docs = b.select(F.when(F.col("id") % 50 == 0, F.to_json(F.struct("id", "name")))
-                    .otherwise(F.to_json(F.array(F.struct("id", "name")))).alias("json"))
-    ok, _bad = K.import_json_arrays(docs, "struct<id:bigint,name:string>")
-    return ok
+    return K.import_json_arrays(_json_docs(spark, sf_dir), "struct<id:bigint,name:string>")[0]
+
+
+@register("tbl_from_json_refused", """
+SELECT '{"id":' || CAST(c_custkey AS VARCHAR) || ',"name":"' || c_name || '"}' AS json
+FROM customer WHERE c_custkey % 50 = 0""")
+def tbl_from_json_refused(spark, sf_dir):
+    return K.import_json_arrays(_json_docs(spark, sf_dir), "struct<id:bigint,name:string>")[1]
 
 
 @register("tbl_register", """

@@ -61,3 +61,22 @@ def test_file_priority_is_capped(spark, make_history):
     scores = spark.createDataFrame([("tests/test_a.py", 1.0)], "test_file string, impact double")
     r = D.file_priority(h, scores).collect()[0]
     assert r["priority"] == 1.0 and r["recent_failures"] == 10
+
+
+def test_exact_import_match_stops_at_module_boundary(spark):
+    mapping = spark.createDataFrame([("t1", "s"), ("t2", "s"), ("t3", "s"), ("t4", "s")], "test_file string, source_file string")
+    imports = spark.createDataFrame(
+        [("t1", "src.m1"), ("t2", "src.m10.e1"), ("t3", "src.m1.e1"), ("t4", None), ("t5", "src.m1")],
+        "test_file string, import_name string")
+    changed = spark.createDataFrame([("src/m1.py",), (None,)], "file_path string")
+    loose = D.import_impact(mapping, imports, changed)
+    exact = D.import_impact(mapping, imports, changed, exact=True)
+    assert {r["test_file"] for r in loose.collect()} == {"t1", "t2", "t3"}
+    assert {r["test_file"] for r in exact.collect()} == {"t1", "t3"}
+
+
+def test_changed_file_list_keeps_files_without_a_diff(spark):
+    changed = spark.createDataFrame([("a.py",), ("a.py",), ("b.py",)], "file_path string")
+    stats = spark.createDataFrame([("a.py", 3, 1)], "file_path string, lines_added bigint, lines_removed bigint")
+    rows = {tuple(r) for r in D.changed_file_list(changed, stats).collect()}
+    assert rows == {("a.py", 3, 1), ("b.py", 0, 0)}
