@@ -27,7 +27,7 @@ BUCKETS = 1 << 15
 EM_STEPS = 10
 PENALTY = 6.0  # price of one more language, times log(trigrams)
 SMOOTHING = 0.5
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 19
 
 # every ASCII byte that is no letter counts as a blank, so marks and digits carry no language
 _BLANK = np.arange(256, dtype=np.uint8)
