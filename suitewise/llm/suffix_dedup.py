@@ -50,6 +50,7 @@ _BASE = 0x9E3779B97F4A7C15
 _SLICE = 1 << 18
 _PLACE = 28  # low bits that hold the position while the smallest hash is sought
 _MEMBERS = 100_000
+_HASHED = 10_000  # windows hashed at a time
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -283,8 +284,8 @@ def _window_rows(batches):
             yield _batch(["split", "w1", "w2", "rid", "place"],
                          [np.zeros(len(head), bool), zero, zero, rid[m[head]], x[head] << 16 | run - 1])
         m, x = member[apart], at[apart]
-        for a in range(0, len(m), 50_000):
-            who, where = m[a:a + 50_000], x[a:a + 50_000]
+        for a in range(0, len(m), _HASHED):
+            who, where = m[a:a + _HASHED], x[a:a + _HASHED]
             window = data[(offsets[who] + where - first[who])[:, None] + np.arange(LENGTH)].astype(np.uint64)
             w1 = _mix(((window + np.uint64(1)) * _WEIGHTS[0]).sum(axis=1, dtype=np.uint64))
             w2 = _mix(((window + np.uint64(1)) * _WEIGHTS[1]).sum(axis=1, dtype=np.uint64))
