@@ -1,17 +1,25 @@
 """Operator 2: soft-membership mixing of documents to target domain weights.
 
 A classifier learned from the labelled table (at most ``LABELLED`` labelled rows,
-those of smallest hashed id; multinomial logistic regression over hashed words)
+those of smallest hashed id; multinomial logistic regression over hashed words, its
+sparse (L1) penalty chosen among ``PENALTIES`` by log loss on a tenth of them held out)
 gives every document a posterior over domains. Document i with t_i tokens and
-posterior p_i gets a nonnegative rate r_i such that the expected domain totals
-sum_i r_i t_i p_id match the targets: projected gradient descent on
+memberships p_i gets a nonnegative rate r_i such that the expected domain totals
+sum_i r_i t_i p_id match the targets T_d, as the minimiser of
 
     sum_d (sum_i r_i t_i p_id - T_d)^2 / (2 S m_d)  +  RIDGE / 2 sum_i t_i (r_i - 1)^2
 
-(S all tokens, m_d the share of domain d) in the metric of the tokens, so that a
-step is  r_i <- max(0, r_i - STEP (sum_d p_id e_d / m_d + RIDGE (r_i - 1)))  with the
-relative residuals e_d. One step is one distributed sum; only the residuals, one
-number per domain, reach the driver, and rates are folded from their history.
+(S all tokens, m_d the share of domain d). A projected gradient step leaves the rates
+as they are exactly if  r_i = max(0, 1 - sum_d l_d p_id)  with one multiplier a domain,
+l_d = (sum_i r_i t_i p_id - T_d) / (RIDGE S m_d). So the descent is made on the
+multipliers: Newton steps with halving on the dual, a convex function of k numbers.
+One step is one distributed sum of k + k^2 numbers. It ends when every domain is
+stationary to ``CLOSE`` of its own target (of its supply if the target is 0), and
+fails if that is not reached; the residuals are returned.
+
+For ``weights`` memberships are the posteriors. For ``keep`` they are decided: the
+label of a labelled document, else the domain of largest posterior. So the totals can
+be met, and whether a document stays depends on neither steps nor other documents.
 
 Edge cases: null text has no tokens; a document without tokens keeps rate and
 posterior like any other; a domain without tokens or labels is left out; without
@@ -23,7 +31,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -33,10 +42,10 @@ from suitewise.llm.common import cut
 
 LABELLED = 20_000
 FEATURES = 1 << 13
-STEPS = 40
-STEP = 0.9
+PENALTIES = (1e-3, 3e-3, 1e-2)
+STEPS = 200
 RIDGE = 0.001
-CLOSE = 1e-4
+CLOSE = 1e-6
 DOMAINS = ("high", "low", "toxic")
 
 
@@ -50,6 +59,23 @@ def _features(docs: DataFrame) -> DataFrame:
     return Normalizer(inputCol="_tf", outputCol="_features", p=2.0).transform(counted)
 
 
+def _learn(train: DataFrame, penalty: float) -> LogisticRegressionModel:
+    return LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", family="multinomial",
+                              maxIter=30, regParam=penalty, elasticNetParam=1.0).fit(train)
+
+
+def _penalty(train: DataFrame, classes: int) -> float:
+    """The penalty of least log loss on a tenth of the labelled rows that is not learned from."""
+    tenth = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(10))
+    rest, held = train.where(tenth > 0), train.where(tenth == 0)
+    if rest.select("label").distinct().count() < classes or held.isEmpty():
+        return PENALTIES[1]  # too few labels to hold any out
+    own = vector_to_array("_p")[F.col("label").cast("int")]
+    losses = [_learn(rest, c).transform(held).agg(F.avg(-F.log(F.greatest(own, F.lit(1e-15))))).first()[0]
+              for c in PENALTIES]
+    return PENALTIES[int(np.argmin(losses))]
+
+
 def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...]) -> DataFrame:
     """``docs`` with n_tokens and ``posterior`` (array in the order of ``domains``).
 
@@ -59,7 +85,7 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...]) -
     known = (docs.select("doc_id", "text").join(
         labelled.where(F.col("domain").isin(*domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "doc_id")
         .where(F.col("text").isNotNull()))
-    train = cut(_features(known).select("_features", numbers[F.col("domain")].alias("label")))
+    train = cut(_features(known).select("doc_id", "_features", numbers[F.col("domain")].alias("label")))
     seen = sorted(r["label"] for r in train.select("label").distinct().collect())  # one per domain
     added = ("n_tokens", "posterior")
     own = [F.col(f"`{c}`") for c in docs.columns if c not in added]
@@ -70,46 +96,70 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...]) -
         return full.select(*own, n_tokens, F.array(*[F.lit(float(i == only)) for i in range(len(domains))]).alias("posterior"))
     # classes are numbered 0..n-1 among the domains that occur
     dense = F.create_map(*[F.lit(x) for i, v in enumerate(seen) for x in (v, float(i))])
-    model = LogisticRegression(featuresCol="_features", labelCol="label", probabilityCol="_p", family="multinomial",
-                               maxIter=30, regParam=1e-4).fit(train.select("_features", dense[F.col("label")].alias("label")))
+    train = train.select("doc_id", "_features", dense[F.col("label")].alias("label"))
+    model = _learn(train, _penalty(train, len(seen)))
     p = vector_to_array("_p")
     spread = F.array(*[p[seen.index(float(i))] if float(i) in seen else F.lit(0.0) for i in range(len(domains))])
     return model.transform(full).select(*own, n_tokens, spread.alias("posterior"))
 
 
-def fit_rates(docs: DataFrame, targets: list[float]) -> tuple[Column, list[list[float]]]:
-    """The rate of a document as an expression, and the relative residuals of every step.
+def fit_rates(docs: DataFrame, targets: list[float], member: str = "posterior") -> tuple[Column, list[list[float]]]:
+    """The rate of a document as an expression, and the residuals of every step, relative to the domain's own target
+    (its supply if the target is 0; 0 for a domain with neither).
 
-    ``docs``: n_tokens, posterior. ``targets``: tokens wanted per domain.
+    ``docs``: n_tokens, ``member``. ``targets``: tokens wanted per domain.
     """
     k = len(targets)
     t = F.col("n_tokens").cast("double")
-    supply = docs.agg(F.sum(t).alias("all"), *[F.sum(t * F.col("posterior")[d]).alias(f"d{d}") for d in range(k)]).first()
+    p = [F.col(member)[d] for d in range(k)]
+    supply = docs.agg(F.sum(t).alias("all"), *[F.sum(t * p[d]).alias(f"d{d}") for d in range(k)]).first()
     tokens = supply["all"] or 0.0
     if not tokens:
         return F.lit(1.0), []
-    shares = [(supply[f"d{d}"] or 0.0) / tokens for d in range(k)]
-    live = [d for d in range(k) if shares[d] > 0]
-    history: list[list[float]] = []
-
-    def rate() -> Column:
-        if not history:
-            return F.lit(1.0)
-        steps = F.array(*[F.array(*[F.lit(x) for x in row]) for row in history])
-        return F.aggregate(steps, F.lit(1.0), lambda r, g: F.greatest(F.lit(0.0), r - STEP * (
-            sum((F.col("posterior")[d] * g[i] for i, d in enumerate(live)), F.lit(0.0)) + RIDGE * (r - 1.0))))
-
-    residuals = []
+    share = np.array([(supply[f"d{d}"] or 0.0) / tokens for d in range(k)])
+    target = np.array(targets) / tokens
+    goal = np.where(target > 0, target, share)
+    live = np.flatnonzero(share > 0).tolist()
+    pairs = [(i, j) for i in range(len(live)) for j in range(i, len(live))]
+
+    def pull(at: np.ndarray) -> Column:
+        return sum((F.lit(float(x)) * p[d] for x, d in zip(at, live)), F.lit(0.0))
+
+    def rate(at: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - pull(at))
+
+    def dual(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """Value, gradient and curvature at the multipliers, and the residuals there."""
+        a, r = pull(at), rate(at)
+        got = docs.agg(
+            F.sum(t * F.when(a < 1, a - a * a / 2).otherwise(0.5)).alias("h"),
+            *[F.sum(r * t * p[d]).alias(f"d{d}") for d in live],
+            *[F.sum(F.when(a < 1, t * p[live[i]] * p[live[j]]).otherwise(0.0)).alias(f"c{i}_{j}") for i, j in pairs]).first()
+        off = -target
+        off[live] += [got[f"d{d}"] / tokens for d in live]
+        curve = np.diag(RIDGE * share[live])
+        for i, j in pairs:
+            curve[i, j] += got[f"c{i}_{j}"] / tokens
+            curve[j, i] = curve[i, j]
+        value = RIDGE / 2 * float(share[live] @ at ** 2) + float(target[live] @ at) - got["h"] / tokens
+        return value, RIDGE * share[live] * at - off[live], curve, off
+
+    least = np.maximum(CLOSE * goal[live], 1e-12 * share[live])
+    at, scale, residuals = np.zeros(len(live)), 1.0, []
+    now = dual(at)
     for _ in range(STEPS):
-        got = docs.withColumn("_r", rate()).agg(
-            *[F.sum(F.col("_r") * t * F.col("posterior")[d]).alias(f"d{d}") for d in live]).first()
-        error = [(got[f"d{d}"] - targets[d]) / tokens for d in live]
-        residuals.append(error)
-        steady = len(residuals) > 1 and max(abs(a - b) for a, b in zip(residuals[-1], residuals[-2])) < CLOSE / 10
-        if max(map(abs, error)) < CLOSE or steady:
-            break
-        history.append([e / shares[d] for e, d in zip(error, live)])
-    return rate(), residuals
+        if scale == 1.0:
+            residuals.append([float(x / g) if g > 0 else 0.0 for x, g in zip(now[3], goal)])
+            if (np.abs(now[1]) <= least).all():
+                return rate(at), residuals
+            step = np.linalg.solve(now[2], -now[1])
+        new = dual(at + scale * step)
+        falls = new[0] <= now[0] + 1e-4 * scale * float(now[1] @ step)
+        if falls or np.max(np.abs(new[1]) / least) < 0.5 * np.max(np.abs(now[1]) / least):
+            at, now, scale = at + scale * step, new, 1.0
+        else:
+            scale /= 2
+    raise RuntimeError(f"rates not stationary after {STEPS} sums; residuals {residuals[-1]}")
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -124,22 +174,42 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(domain).alias("domain")).where("doc_id is not null and domain is not null")
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None,
-        keep: dict[str, float] | None = None) -> DataFrame:
-    """``docs`` with n_tokens, posterior, rate and copies.
+def _decided(soft: DataFrame, known: DataFrame) -> DataFrame:
+    """``soft`` with ``member``: all of the labelled domain, else of that of largest posterior (ties: the first)."""
+    best = F.array_position("posterior", F.array_max("posterior"))
+    return soft.join(known.withColumnRenamed("domain", "_domain"), "doc_id", "left").withColumn("member", F.array(*[
+        F.when(F.col("_domain").isNotNull(), F.col("_domain") == d).otherwise(best == i + 1).cast("double")
+        for i, d in enumerate(DOMAINS)])).drop("_domain")
+
+
+def mix_balanced(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None,
+                 keep: dict[str, float] | None = None) -> tuple[DataFrame, list[dict]]:
+    """``docs`` with n_tokens, posterior, member, rate and copies; and per domain its target and total in tokens and
+    the residual, (total - target) / target, or / supply if the target is 0.
 
     ``weights``: share of all tokens wanted per domain, for as many tokens as there are; or ``keep``: share of each
-    domain's own expected tokens that stays.
+    domain's own tokens that stays.
     """
-    soft = cut(posteriors(docs.select("doc_id", "text"), label_domains(labels), DOMAINS).drop("text"))
+    known = label_domains(labels)
+    soft = posteriors(docs.select("doc_id", "text"), known, DOMAINS).drop("text")
+    soft = cut(soft.withColumn("member", F.col("posterior")) if weights else _decided(soft, known))
     t = F.col("n_tokens")
-    totals = soft.agg(F.sum(t).alias("all"), *[F.sum(t * F.col("posterior")[i]).alias(d)
+    totals = soft.agg(F.sum(t).alias("all"), *[F.sum(t * F.col("member")[i]).alias(d)
                                                for i, d in enumerate(DOMAINS)]).first()
     scale = math.fsum(weights.values()) if weights else 1.0
     targets = [(weights.get(d, 0.0) / scale * (totals["all"] or 0) if weights
                 else (keep or {}).get(d, 1.0) * (totals[d] or 0)) for d in DOMAINS]
-    rate, _ = fit_rates(soft, targets)
-    return soft.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    rate, residuals = fit_rates(soft, targets, "member")
+    off = residuals[-1] if residuals else [0.0] * len(DOMAINS)
+    balance = [{"domain": d, "target": float(w), "total": float(w + e * (w or totals[d] or 0)), "residual": e}
+               for d, w, e in zip(DOMAINS, targets, off)]
+    return soft.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), balance
+
+
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None,
+        keep: dict[str, float] | None = None) -> DataFrame:
+    """The documents of ``mix_balanced``."""
+    return mix_balanced(docs, labels, weights, keep)[0]
 
 
 WEIGHTS = {"high": 0.6, "low": 0.38, "toxic": 0.02}

@@ -5,7 +5,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from suitewise.llm import bpe
+from suitewise.llm import bpe, mixing
 
 SF = "/root/testdata/sf0.001"
 
@@ -40,6 +40,20 @@ def test_stages_keep_columns_and_take_effect(spark):
         assert r["intact"] and r["ids"] == usual.encode_ordinary(texts[r["doc_id"]])
 
 
+def test_mixing_keeps_clean_documents_left_out_of_the_fit(spark, monkeypatch):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.xxhash64("doc_id", F.lit("test")), F.lit(10)) == 0
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: labels.where(~held))
+    kept = corpus_pipeline.clean_mix(spark, docs, sf).select("doc_id", F.lit(True).alias("stays"))
+    found = mixing.label_domains(labels.where(held)).join(docs, "doc_id").join(kept, "doc_id", "left").withColumn(
+        "marked", F.lower("text").rlike("trash|pathetic|idiot|worthless|stupid|clown|loser|scum|moron"))
+    share = {(r["domain"], r["marked"]): r["s"] for r in found.groupBy("domain", "marked").agg(
+        F.avg(F.coalesce("stays", F.lit(False)).cast("int")).alias("s")).collect()}
+    print("stay, left out of the fit:", share)
+    assert share["high", False] > 0.97 and share["low", False] > 0.9 and share["toxic", True] < 0.4
+
+
 def test_stage_names_and_oracle():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeats", "mixing", "encoding"]
     assert corpus_pipeline.ORACLE_SQL is None

@@ -268,6 +268,29 @@ def test_rates_meet_targets(spark):
     assert got[0] >= 0 and abs(got[1] - targets[0]) < 0.03 * total and abs(got[3] - targets[2]) < 0.03 * total
 
 
+def test_rates_are_stationary_and_small_domains_count(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(400):
+        toxic = rng.random() ** 4 * (2e-4 if i % 5 else 0.9)
+        rows.append((i, rng.randint(1, 40), [0.7 * (1 - toxic), 0.3 * (1 - toxic), toxic]))
+    docs = spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint, posterior array<double>")
+    t, p = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows])
+    supply, m = t @ p, t @ p / t.sum()
+    for targets in ([supply[0], supply[1], 0.0], [0.5 * t.sum(), 0.4 * t.sum(), 0.1 * t.sum()]):
+        rate, residuals = mixing.fit_rates(docs, targets)
+        r = np.array([x["r"] for x in docs.orderBy("doc_id").select(rate.alias("r")).collect()])
+        off = (r * t) @ p - targets
+        moved = np.maximum(0, r - 0.9 * (p @ (off / t.sum() / m) + mixing.RIDGE * (r - 1)))
+        assert np.abs(moved - r).max() < 1e-5  # a projected gradient step leaves the rates as they are
+        assert np.allclose(residuals[-1], off / np.where(np.array(targets) > 0, targets, supply), atol=1e-9)
+    few = [(i, 10, [1.0, 0.0, 0.0] if i else [0.0, 0.0, 1.0]) for i in range(20_000)]  # toxic: 5e-5 of all tokens
+    docs = spark.createDataFrame(few, "doc_id bigint, n_tokens bigint, posterior array<double>")
+    rate, residuals = mixing.fit_rates(docs, [199_990.0, 0.0, 0.0])
+    got = docs.select(rate.alias("r")).agg(F.min("r"), F.max("r")).first()
+    assert got[0] < 1e-3 and abs(got[1] - 1) < 1e-6 and abs(residuals[-1][2]) < 1e-3
+
+
 def test_mix_separates_toxic(spark):
     sf = "/root/testdata/sf0.01"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
