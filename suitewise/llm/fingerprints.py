@@ -7,9 +7,11 @@ edit and write mostly equal symbols, so edit distance becomes Hamming distance.
 fingerprint samples ``SLOTS`` steps of the walk (shared random choices that depend
 on the length alone, and agree for most slots when lengths are close) and keeps
 four hashed bits of each symbol. Likeness of two fingerprints is their share of
-equal slots, corrected for chance. Near pairs come from bands of sampled slots,
-each member linked to the band's smallest id (never all pairs), and are verified by
-likeness.
+equal slots, corrected for chance. Near pairs come from bands of sampled slots, longer
+and more for larger tables: members of a band are first compared with its first member
+and groups found so contracted; then all members of different groups are compared, in
+blocks of ``BLOCK`` x ``BLOCK`` inside tasks. A verified spanning forest leaves a task,
+and ``near_id`` is the smallest id of a document's group. No band is capped.
 
 Edge cases: null text is empty; an empty text has the fingerprint of pads only;
 texts of any length are walked whole; equal ids are ordered by text; null ids come
@@ -20,6 +22,7 @@ empty result; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from suitewise.llm.common import width
+from suitewise.llm.common import cut, width
+from suitewise.llm.near_dedup import components
 
 SLOTS = 128
 _PERIOD = 4096  # the shared bits repeat after so many steps
@@ -36,6 +40,8 @@ _CLASSES = 256
 _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 CHUNK_CHARS = 1 << 22
 CHUNK_ROWS = 4096
+BLOCK = 512
+MISS = 3e-5  # chance that a pair of the least likeness shares no band
 
 
 def _moves() -> np.ndarray:
@@ -219,23 +225,128 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("fingerprint", "string"))
 
 
-def near_links(prints: DataFrame, bands: int = 24, per_band: int = 5, least: float = 0.8) -> DataFrame:
-    """Verified links (doc_id, center_id, likeness) to the smallest id that shares a band of sampled slots.
+def banding(n: int, least: float) -> tuple[int, int]:
+    """Number of bands and slots of each for ``n`` fingerprints: few strangers share a band (slots of real letters
+    agree by chance for about one pair in eight), and a pair of likeness ``least`` misses all with chance ``MISS``."""
+    per_band = max(5, math.ceil(math.log(max(n, 1), 8)))
+    hit = (least * 15 / 16 + 1 / 16) ** per_band
+    return math.ceil(math.log(MISS) / math.log1p(-hit)), per_band
 
-    Rows of one fingerprint meet as one: the links hold one row per fingerprint, from its smallest id.
-    """
+
+def _codes(column: pa.Array) -> np.ndarray:
+    raw = "".join(column.to_pylist()).encode()
+    return np.frombuffer(raw, np.uint8).reshape(-1, SLOTS)
+
+
+def _corrected(same: np.ndarray) -> np.ndarray:
+    return np.maximum(0.0, (same / SLOTS - 1 / 16) / (15 / 16))
+
+
+_LINK = "u bigint, v bigint, likeness double"
+
+
+def _links(u, v, alike) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(alike, pa.float64())],
+                                      names=["u", "v", "likeness"])
+
+
+def forest(node: np.ndarray, comp: np.ndarray, block: np.ndarray, codes: np.ndarray, least: float) -> list[tuple]:
+    """A spanning forest (u, v, likeness) of the links between members of different groups (and blocks, if two)."""
+    root, out = comp.copy(), []
+    two = block.min() != block.max()
+    for x in range(len(node) - 1):
+        apart = root[x + 1:] != root[x]
+        if two:
+            apart &= block[x + 1:] != block[x]
+        other = np.flatnonzero(apart) + x + 1
+        if not len(other):
+            continue
+        alike = _corrected((codes[other] == codes[x]).sum(axis=1))
+        for y, how in zip(other[alike >= least].tolist(), alike[alike >= least].tolist()):
+            if root[y] != root[x]:
+                out.append((int(node[x]), int(node[y]), how))
+                root[root == root[y]] = root[x]
+    return out
+
+
+def _node_links(nodes: DataFrame, bands: int | None, per_band: int | None, least: float) -> tuple[DataFrame, DataFrame]:
+    """Links (u, v, likeness) between the rows (node, fingerprint), and the group (node, root) of each linked node."""
+    if bands is None or per_band is None:
+        bands, per_band = banding(nodes.count(), least)
     rng = np.random.default_rng(24)
     picks = [sorted(rng.choice(SLOTS, per_band, replace=False).tolist()) for _ in range(bands)]
-    distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id"))
-    key = [F.concat(F.lit(f"{b}:"), *[F.substring("fingerprint", p + 1, 1) for p in pick])
-           for b, pick in enumerate(picks)]
-    banded = distinct.select("doc_id", "fingerprint", F.explode(F.array(*key)).alias("band"))
-    centers = banded.groupBy("band").agg(F.min("doc_id").alias("center_id"), F.count("*").alias("n")).where("n > 1")
-    pairs = banded.join(centers, "band").where("doc_id <> center_id").select(
-        "doc_id", "fingerprint", "center_id").distinct()
-    other = distinct.select(F.col("doc_id").alias("center_id"), F.col("fingerprint").alias("_other"))
-    same = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda n, i: n + F.when(
-        F.substring("fingerprint", i, F.lit(1)) == F.substring("_other", i, F.lit(1)), 1).otherwise(0))
-    return (pairs.join(other, "center_id")
-            .withColumn("likeness", F.greatest(F.lit(0.0), (same / SLOTS - 1 / 16) / (15 / 16)))
-            .where(F.col("likeness") >= least).select("doc_id", "center_id", "likeness"))
+    key = [F.xxhash64(F.lit(b), *[F.substring("fingerprint", p + 1, 1) for p in pick]) for b, pick in enumerate(picks)]
+    banded = nodes.select("node", F.explode(F.array(*key)).alias("band"))
+    first = banded.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
+    shared = cut(banded.join(first, "band"))
+
+    def star(batches):
+        for batch in batches:
+            alike = _corrected((_codes(batch["fingerprint"]) == _codes(batch["other"])).sum(axis=1)) \
+                if batch.num_rows else np.zeros(0)
+            near = alike >= least
+            yield _links(batch["node"].to_numpy()[near], batch["center"].to_numpy()[near], alike[near])
+
+    def block_rows(batches):
+        group, held = None, []
+
+        def links():
+            if len({h[1] for h in held}) < 2:
+                return _links([], [], [])
+            node, comp, block, prints = zip(*held)
+            found = forest(np.array(node), np.array(comp), np.array(block), _codes(pa.array(prints)), least)
+            return _links(*(list(c) for c in zip(*found))) if found else _links([], [], [])
+
+        for batch in batches:
+            for row in zip(*(batch[c].to_pylist() for c in ("band", "i", "j", "node", "comp", "block", "fingerprint"))):
+                if row[:3] != group:
+                    yield links()
+                    group, held = row[:3], []
+                held.append(row[3:])
+        yield links()
+
+    other = nodes.select(F.col("node").alias("center"), F.col("fingerprint").alias("other"))
+    edges = cut(shared.where("node <> center").select("node", "center").distinct().join(nodes, "node")
+                .join(other, "center").mapInArrow(star, _LINK))
+    roots = cut(components(edges.select("u", "v")))
+    members = shared.select("band", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
+    several = members.groupBy("band").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")
+                                          ).where("low <> high")
+    blocks = (members.join(several.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "band")
+              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+              .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block",
+                      "node", "comp").join(nodes, "node"))
+    more = (blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(block_rows, _LINK))
+    edges = cut(edges.unionByName(more))
+    return edges, components(edges.select("u", "v"))
+
+
+def _nodes(prints: DataFrame) -> DataFrame:
+    return cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn(
+        "node", F.monotonically_increasing_id()))
+
+
+def near_links(prints: DataFrame, bands: int | None = None, per_band: int | None = None,
+               least: float = 0.8) -> DataFrame:
+    """Verified links (doc_id, center_id, likeness), the smaller id second, that connect all fingerprints of one
+    group: those joined by pairs of likeness ``least`` that share a band.
+
+    Rows of one fingerprint meet as one, by their smallest id.
+    """
+    nodes = _nodes(prints)
+    edges, _ = _node_links(nodes.select("node", "fingerprint"), bands, per_band, least)
+    u, v = (nodes.select(F.col("node").alias(c), F.col("doc_id").alias(f"{c}_id")) for c in "uv")
+    return edges.groupBy("u", "v").agg(F.max("likeness").alias("likeness")).join(u, "u").join(v, "v").select(
+        F.greatest("u_id", "v_id").alias("doc_id"), F.least("u_id", "v_id").alias("center_id"), "likeness")
+
+
+def fingerprint_groups(docs: DataFrame) -> DataFrame:
+    """``edit_fingerprints`` with ``near_id``, the smallest id of the group of near fingerprints."""
+    prints = cut(edit_fingerprints(docs))
+    nodes = _nodes(prints.select("fingerprint", "doc_id"))
+    _, roots = _node_links(nodes.select("node", "fingerprint"), None, None, 0.8)
+    found = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    least = found.groupBy("root").agg(F.min("doc_id").alias("near_id"))
+    return prints.join(found.join(least, "root").select("fingerprint", "near_id"), "fingerprint").select(
+        *prints.columns, "near_id")

@@ -64,7 +64,7 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edit_fingerprints(table(spark, sf_dir, "documents"))
+    return fingerprints.fingerprint_groups(table(spark, sf_dir, "documents"))
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

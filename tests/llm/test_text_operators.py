@@ -216,6 +216,39 @@ def test_near_links_find_edited_copies(spark):
     assert [(r["doc_id"], r["center_id"]) for r in links] == [(2, 1)]
 
 
+def test_near_links_when_the_smallest_id_of_a_band_is_unrelated(spark, empty):
+    rng = random.Random(3)
+    like = "".join(rng.choice("0123456789abcdef") for _ in range(128))
+    near = like[:126] + ("0" if like[126] != "0" else "1") + like[127]
+    rng24 = np.random.default_rng(24)
+    picks = [sorted(rng24.choice(128, 5, replace=False).tolist()) for _ in range(24)]
+    # a stranger per band: equal to both in that band's slots alone, of smaller id
+    rows = [(b, "".join(like[i] if i in pick else rng.choice("0123456789abcdef".replace(like[i], "")) for i in range(128)))
+            for b, pick in enumerate(picks)]
+    rows += [(100, like), (101, near)]
+    prints = spark.createDataFrame(rows, "doc_id bigint, fingerprint string")
+    links = fingerprints.near_links(prints, 24, 5).collect()
+    assert [(r["doc_id"], r["center_id"]) for r in links] == [(101, 100)]
+    assert fingerprints.banding(10 ** 7, 0.8)[1] > fingerprints.banding(10 ** 5, 0.8)[1] >= 5
+    assert "near_id" in fingerprints.fingerprint_groups(empty).columns and fingerprints.fingerprint_groups(empty).count() == 0
+
+
+def test_near_groups_of_fingerprints_match_brute_force(corpus):
+    docs, _ = corpus
+    rows = fingerprints.fingerprint_groups(docs).collect()
+    root = {r["doc_id"]: r["doc_id"] for r in rows}
+
+    def find(d):
+        return d if root[d] == d else find(root[d])
+
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if fingerprints.likeness(a["fingerprint"], b["fingerprint"]) >= 0.8:
+                x, y = find(a["doc_id"]), find(b["doc_id"])
+                root[max(x, y)] = min(x, y)
+    assert all(r["near_id"] == find(r["doc_id"]) for r in rows) and len({r["near_id"] for r in rows}) < len(rows)
+
+
 def test_language_by_mixture(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = langid.identify_documents(docs).join(docs.select("doc_id", "lang"), "doc_id")
