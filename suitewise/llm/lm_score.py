@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from suitewise.llm.common import cut
 from suitewise.llm.near_dedup import Shingler, lower_bytes, spans
 
-ORDER = 2
+ORDER = 3  # of the registered query
 ALPHA = 0.4
 BLOCK_BYTES = 1 << 23
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -79,7 +79,21 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
 
 
-def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
+def _packed(grams: np.ndarray) -> bytes:
+    """Rising hashes as the first of them and the gaps, in as few bytes each as they need."""
+    gaps = np.diff(grams)
+    size = next(s for s in range(1, 9) if s == 8 or not len(gaps) or int(gaps.max()) < 1 << 8 * s)
+    return bytes([size]) + grams[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    size = raw[0]
+    gaps = np.zeros((len(raw) - 9) // size * 8, np.uint8).reshape(-1, 8)
+    gaps[:, :size] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, size)
+    return np.cumsum(np.r_[np.frombuffer(raw, np.uint64, 1, 1), gaps.reshape(-1).view(np.uint64)], dtype=np.uint64)
+
+
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, n_words, log_score (sum of natural logarithms), per_word, n_backoffs."""
     rows = docs.select("doc_id", "text")
     ids = rows.schema["doc_id"].dataType.simpleString()
@@ -98,12 +112,12 @@ def score_documents(docs: DataFrame, order: int = ORDER) -> DataFrame:
             cuts = [0, *np.searchsorted(own, edges, side="left").tolist(), len(own)]
             for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
                 if a < b:
-                    for c, v in zip(out, (p, key[0].as_py(), n, own[a:b].tobytes(), _narrow(count[a:b]))):
+                    for c, v in zip(out, (p, key[0].as_py(), n, _packed(own[a:b]), _narrow(count[a:b]))):
                         out[c].append(v)
         return pa.table({c: pa.array(v, pa.binary() if c in ("grams", "counts") else pa.int64()) for c, v in out.items()})
 
     def add_up(key, table):
-        grams = [np.frombuffer(g, np.uint64) for g in table["grams"].to_pylist()]
+        grams = [_unpacked(g) for g in table["grams"].to_pylist()]
         every, at = np.unique(np.concatenate(grams), return_inverse=True)
         totals = np.zeros(len(every), np.int64)
         np.add.at(totals, at, np.concatenate([_wide(c) for c in table["counts"].to_pylist()]))

@@ -20,6 +20,7 @@ from suitewise.llm import (
     lm_score,
     mixing,
     near_dedup,
+    queries,
     sharding,
     suffix_dedup,
     topk,
@@ -169,6 +170,32 @@ def test_lm_scores_match_brute_force(corpus):
         assert r["n_words"] == len(w) and math.isclose(r["log_score"], want, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_registered_lm_scores_use_two_words_of_context(corpus, monkeypatch):
+    docs, texts = corpus
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in texts.items()}
+    counts = [collections.Counter(), *(collections.Counter() for _ in range(3))]
+    own = {d: [collections.Counter(zip(*(w[j:] for j in range(n)))) for n in range(4)] for d, w in words.items()}
+    for d in words:
+        for n in (1, 2, 3):
+            counts[n].update(own[d][n])
+    total = sum(counts[1].values())
+    monkeypatch.setattr(queries, "table", lambda *_: docs)
+    for r in queries.op7_lm_score(docs.sparkSession, "").collect():
+        w, mine, want = words[r["doc_id"]], own[r["doc_id"]], 0.0
+        for i, x in enumerate(w):
+            for n in range(min(3, i + 1), 0, -1):
+                gram = tuple(w[i - n + 1:i + 1])
+                seen = counts[n][gram] - mine[n][gram]
+                if n > 1 and seen:
+                    want += math.log(seen / (counts[n - 1][gram[:-1]] - mine[n - 1][gram[:-1]]))
+                    break
+                want += math.log(0.4) if n > 1 else math.log(max(seen, 1) / (total - len(w)))
+        assert math.isclose(r["log_score"], want, rel_tol=1e-9, abs_tol=1e-9)
+    for some in ([5], [0, 2 ** 64 - 1], sorted(random.Random(1).getrandbits(64) for _ in range(500))):
+        some = np.array(some, np.uint64)
+        assert (lm_score._unpacked(lm_score._packed(some)) == some).all()
+
+
 def test_bpe_equals_the_library_and_round_trips(corpus):
     docs, texts = corpus
     path = public_tokenizers.path(bpe.VOCABULARY)
