@@ -3,7 +3,7 @@
 Texts become sets of five-word shingles, hashed to 64 bits; the sketch of a set is
 its ``K`` smallest hashes. Retained values make inverted lists. Sketches of two sets of
 Jaccard 0.75 share 55 of 64 values on average if the sets are of one size and 48 if
-one holds the other; fewer than ``SHARED`` has a probability of about 1e-11 and 3e-4.
+one holds the other; fewer than ``SHARED`` has a probability of about 1e-19 and 5e-11.
 So a pair meets in the lists of the values left when the SHARED - 1 most frequent of
 each sketch are left out (rare values first, the prefix principle). The union sketch
 of a pair estimates its similarity; pairs well below the threshold are dropped, and
@@ -37,7 +37,7 @@ from suitewise.llm.common import cut, shared_path
 WORDS = 5
 PERCENT = 75
 K = 64
-SHARED = 36
+SHARED = 24
 LEAST_ESTIMATE = 0.4
 BLOCK = 256
 STAR = 256

@@ -150,6 +150,19 @@ def test_links_between_blocks_match_brute_force():
                 assert root[x] == root[y]
 
 
+def test_contained_sets_meet_although_sketches_share_few_values():
+    rng = random.Random(12)
+    values = rng.sample(range(1 << 20, 1 << 40), 336)
+    small = np.array(sorted(rng.sample(range(1 << 20), 64)), np.uint64)
+    own = small[rng.sample(range(64), 30)]
+    one = np.unique(np.r_[own, np.array(values[:270], np.uint64)])
+    whole = np.unique(np.r_[one, small, np.array(values[270:], np.uint64)])
+    assert len(one) == 300 and len(whole) == 400 and len(np.intersect1d(one[:64], whole[:64])) == 30
+    assert near_dedup.links_between(np.array([0, 1]), np.array([0, 0]), [one, whole]) == [(0, 1)]
+    miss = sum(math.comb(near_dedup.K, i) * 0.75 ** i * 0.25 ** (near_dedup.K - i) for i in range(near_dedup.SHARED))
+    assert miss < 1e-8
+
+
 def test_lm_scores_match_brute_force(corpus):
     docs, texts = corpus
     words = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in texts.items()}
