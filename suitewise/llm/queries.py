@@ -11,14 +11,17 @@ from pyspark.sql import functions as F
 from suitewise.llm import (
     bpe,
     chat,
+    codes,
     fingerprints,
     langid,
     lm_score,
     mixing,
     near_dedup,
+    resample,
     sharding,
     suffix_dedup,
     topk,
+    vector_dedup,
 )
 from suitewise.llm.common import table
 
@@ -72,6 +75,18 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                               public_tokenizers.PATTERN)
 
 
+def op11_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 CHAT_ORACLE = """
 WITH m AS (
   SELECT conv_id, turn, role, text FROM conversations
@@ -122,6 +137,10 @@ GROUP BY d.doc_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sharding, op2_mixing, op3_topk, op4_language_id, op5_chat_format, op6_suffix_dedup,
-                            op7_lm_score, op8_minhash_dedup, op9_fingerprints, op10_bpe)}
+                            op7_lm_score, op8_minhash_dedup, op9_fingerprints, op10_bpe, op11_code_compression,
+                            op12_embedding_dedup, op13_importance_resampling)}
 
-ORACLE: dict[str, str] = {"op3_topk": topk.ORACLE, "op5_chat_format": CHAT_ORACLE, "op8_minhash_dedup": NEAR_ORACLE}
+ORACLE: dict[str, str] = {
+    "op3_topk": topk.ORACLE, "op5_chat_format": CHAT_ORACLE, "op8_minhash_dedup": NEAR_ORACLE,
+    "op11_code_compression": codes.ORACLE, "op12_embedding_dedup": vector_dedup.ORACLE,
+    "op13_importance_resampling": resample.ORACLE}
