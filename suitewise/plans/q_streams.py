@@ -12,8 +12,8 @@ from suitewise.plans.registry import ORACLE, register
 from suitewise.streaming import streams as S
 
 
-def _history(spark, sf_dir):
-    return S.history_stream(spark, sf_dir, "events.parquet")
+def _history(spark, sf_dir, closing=None):
+    return S.history_stream(spark, sf_dir, "events.parquet", closing)
 
 
 @register("stream_test_stats", with_ctes(["th"], """
@@ -28,29 +28,32 @@ def stream_test_stats(spark, sf_dir):
 
 
 @register("stream_failures_daily", with_ctes(["th"], """
-SELECT strftime(run_ts, '%Y-%m-%d') AS day, test_file, count(*) AS runs, count_if(NOT passed) AS failures
+SELECT strftime(run_ts, '%Y-%m-%d') AS day, test_file, count(*) AS runs, count_if(NOT passed) AS failures,
+  CAST(0 AS BIGINT) AS late_rows
 FROM th GROUP BY 1, 2"""))
 def stream_failures_daily(spark, sf_dir):
-    return S.run_to_table(S.daily_failures(_history(spark, sf_dir)), "failures_daily", "update",
-                          ["day", "test_file"])
+    return S.daily_failures_with_late(_history(spark, sf_dir), "failures_daily")
 
 
 @register("stream_streak", with_ctes(["ptf"], """
 SELECT full_test_name, failure_streak, time_since_last_failure, CAST(0 AS BIGINT) AS late_rows FROM ptf"""))
 def stream_streak(spark, sf_dir):
-    return S.run_to_table(S.live_streak(_history(spark, sf_dir)), "streak", "update", ["full_test_name"])
+    end = S.closing_folder(spark)
+    return S.run_to_table(S.live_streak(_history(spark, sf_dir, end)), "streak", "update", ["full_test_name"], end)
 
 
 @register("stream_rate_admit", q_sequences.ADMIT_SQL)
 def stream_rate_admit(spark, sf_dir):
-    ev = S.event_stream(spark, sf_dir, "events.parquet")
-    return S.run_to_table(S.stream_rate_admit(ev, MAX_REQ, WINDOW_S), "rate_admit", "append")
+    end = S.closing_folder(spark)
+    ev = S.event_stream(spark, sf_dir, "events.parquet", closing=end)
+    return S.run_to_table(S.stream_rate_admit(ev, MAX_REQ, WINDOW_S), "rate_admit", "append", closing=end)
 
 
 @register("stream_lockout")
 def stream_lockout(spark, sf_dir):
-    ev = S.event_stream(spark, sf_dir, "events.parquet")
-    return S.run_to_table(S.stream_lockout(ev), "lockout", "append")
+    end = S.closing_folder(spark)
+    ev = S.event_stream(spark, sf_dir, "events.parquet", closing=end)
+    return S.run_to_table(S.stream_lockout(ev), "lockout", "append", closing=end)
 
 
 # the stream must give exactly the batch twin's answer (L4)

@@ -1,6 +1,9 @@
 """Streaming = batch on the same rows, with the events split over several files
 so that state really crosses micro-batches."""
 
+import datetime as dt
+import itertools
+import os
 import tempfile
 
 import pytest
@@ -25,6 +28,7 @@ def event_folder(spark):
     # four files in time order: each micro-batch continues the state of the previous one
     for p in range(4):
         pq.write_table(table.slice(p * n // 4, (p + 1) * n // 4 - p * n // 4), f"{folder}/events_{p}.parquet")
+        os.utime(f"{folder}/events_{p}.parquet", (1000 + p, 1000 + p))
     assert pc.sum(pc.is_valid(table["event_id"])).as_py() == n
     return folder, read_table(spark, SF_SMALL, "events")
 
@@ -47,22 +51,98 @@ def test_running_stats_match_batch(spark, event_folder):
 
 def test_streak_matches_batch(spark, event_folder):
     folder, ev = event_folder
-    got = _rows(S.run_to_table(S.live_streak(S.history_stream(spark, folder)), "t2", "update", [E.KEY]), [E.KEY])
+    end = S.closing_folder(spark)
+    got = _rows(S.run_to_table(S.live_streak(S.history_stream(spark, folder, closing=end)), "t2", "update", [E.KEY], end),
+                [E.KEY])
     want = _rows(E.per_test_features(history_from_events(ev)), [E.KEY])
     assert {k: (v["failure_streak"], v["time_since_last_failure"]) for k, v in got.items()} == \
         {k: (v["failure_streak"], v["time_since_last_failure"]) for k, v in want.items()}
     assert all(v["late_rows"] == 0 for v in got.values())
 
 
+def _drained(spark, folder, operator, *args, **kw):
+    end = S.closing_folder(spark)
+    return S.run_to_table(operator(S.event_stream(spark, folder, closing=end), *args, **kw), "d", "append", closing=end)
+
+
 def test_lockout_and_admission_match_batch(spark, event_folder):
     folder, ev = event_folder
-    lock = S.run_to_table(S.stream_lockout(S.event_stream(spark, folder)), "t3", "append")
+    lock = _drained(spark, folder, S.stream_lockout)
     assert _rows(lock, ["event_id"]) == _rows(L.login_lockout(ev, "user_id"), ["event_id"])
-    adm = S.run_to_table(S.stream_rate_admit(S.event_stream(spark, folder), 5, 2 * 24 * 3600), "t4", "append")
+    adm = _drained(spark, folder, S.stream_rate_admit, 5, 2 * 24 * 3600)
     want = L.rate_admit(ev, "user_id", 5, 2 * 24 * 3600)
     assert _rows(adm, ["event_id"]) == _rows(want, ["event_id"])
 
 
+T0 = dt.datetime(2024, 1, 1)
+
+
+def _write_events(folder, files):
+    """Files of (event_id, hour, user, kind), picked up in the order given."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+    for i, rows in enumerate(files):
+        ids, hours, users, kinds = zip(*rows)
+        n = len(rows)
+        pq.write_table(pa.table({
+            "event_id": pa.array(ids, pa.int64()),
+            "ts": pa.array([T0 + dt.timedelta(hours=h) for h in hours], pa.timestamp("us")),
+            "user_id": pa.array(users, pa.int64()), "event_type": pa.array(kinds), "value": pa.array([1.0] * n),
+            "props": pa.array(['{"k": 1}'] * n)}), f"{folder}/events_{i}.parquet")
+        os.utime(f"{folder}/events_{i}.parquet", (1000 + i, 1000 + i))
+
+
+PARTS = [[(10 * p + i, 6 * p + i, (p + i) % 2, ("error", "error", "click", "signup", "error")[(p * 2 + i) % 5])
+          for i in range(6)] for p in range(4)]
+
+
+@pytest.mark.parametrize("order", [o for i, o in enumerate(itertools.permutations(range(4))) if i % 8 == 7])
+def test_order_of_files_does_not_matter(spark, order):
+    folder = tempfile.mkdtemp(prefix="suitewise-order-", dir="/tmp")
+    _write_events(folder, [PARTS[p] for p in order])
+    ev = spark.read.schema(S.EVENTS_SCHEMA).parquet(folder)
+    lock = _drained(spark, folder, S.stream_lockout)
+    assert _rows(lock, ["event_id"]) == _rows(L.login_lockout(ev, "user_id"), ["event_id"])
+
+
+def test_order_of_files_does_not_matter_to_streaks_and_admission(spark):
+    folder = tempfile.mkdtemp(prefix="suitewise-order-", dir="/tmp")
+    _write_events(folder, [PARTS[p] for p in (2, 0, 3, 1)])
+    ev = spark.read.schema(S.EVENTS_SCHEMA).parquet(folder)
+    adm = _drained(spark, folder, S.stream_rate_admit, 2, 3 * 3600)
+    assert _rows(adm, ["event_id"]) == _rows(L.rate_admit(ev, "user_id", 2, 3 * 3600), ["event_id"])
+    end = S.closing_folder(spark)
+    got = S.run_to_table(S.live_streak(S.history_stream(spark, folder, closing=end)), "o", "update", [E.KEY], end)
+    want = _rows(E.per_test_features(history_from_events(ev)), [E.KEY])
+    assert {k: (v["failure_streak"], v["time_since_last_failure"], v["late_rows"]) for k, v in _rows(got, [E.KEY]).items()} == \
+        {k: (v["failure_streak"], v["time_since_last_failure"], 0) for k, v in want.items()}
+
+
+def test_rows_behind_the_watermark_are_marked(spark):
+    """Three files: hours 48 and 50, then 10 and 49 (10 is late by a day and more), then 47 and 51 (in time)."""
+    folder = tempfile.mkdtemp(prefix="suitewise-late-", dir="/tmp")
+    _write_events(folder, [[(1, 48, 7, "error"), (2, 50, 7, "error")], [(3, 10, 7, "error"), (4, 49, 7, "error")],
+                           [(5, 47, 7, "signup"), (6, 51, 7, "click")]])
+    lock = {r["event_id"]: r["outcome"] for r in _drained(spark, folder, S.stream_lockout).collect()}
+    assert lock == {3: "late", 5: "reset", 1: "wrong", 4: "wrong", 2: "wrong", 6: "locked"}
+    adm = {r["event_id"]: r["admitted"] for r in _drained(spark, folder, S.stream_rate_admit, 2, 2 * 3600).collect()}
+    assert adm == {3: None, 5: True, 1: True, 4: True, 2: True, 6: True}
+    end = S.closing_folder(spark)
+    r, = S.run_to_table(S.live_streak(S.history_stream(spark, folder, closing=end)), "late", "update", [E.KEY], end).collect()
+    assert (r["failure_streak"], r["time_since_last_failure"], r["late_rows"]) == (0, 1, 1)
+
+
+def test_daily_counts_and_late_rows_add_up(spark):
+    folder = tempfile.mkdtemp(prefix="suitewise-daily-", dir="/tmp")
+    _write_events(folder, [[(1, 60, 7, "error"), (2, 61, 7, "click")], [(3, 10, 7, "error"), (4, 30, 7, "error")],
+                           [(5, 100, 7, "click")], [(6, 50, 7, "error"), (7, 70, 7, "click"), (8, 73, 7, "click")]])
+    got = {r["day"]: (r["runs"], r["failures"], r["late_rows"])
+           for r in S.daily_failures_with_late(S.history_stream(spark, folder), "daily").collect()}
+    # behind hour 61 less a day: day 1; behind hour 100 less a day: day 3 (its end is hour 72), not day 4
+    assert got == {"2024-01-01": (0, 0, 1), "2024-01-02": (1, 1, 0), "2024-01-03": (2, 1, 2), "2024-01-04": (1, 0, 0),
+                   "2024-01-05": (1, 0, 0)}
+
+
 def test_daily_failures_match_batch(spark, event_folder):
     folder, ev = event_folder
     got = _rows(S.run_to_table(S.daily_failures(S.history_stream(spark, folder)), "t5", "update",
@@ -71,28 +151,3 @@ def test_daily_failures_match_batch(spark, event_folder):
     want = _rows(h.groupBy(F.date_format("run_ts", "yyyy-MM-dd").alias("day"), "test_file").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("passed")).alias("failures")), ["day", "test_file"])
     assert got == want
-
-
-def test_late_rows_are_counted_not_applied(spark):
-    import datetime as dt
-
-    import pyarrow as pa
-    import pyarrow.parquet as pq
-    folder = tempfile.mkdtemp(prefix="suitewise-late-", dir="/tmp")
-    t0 = dt.datetime(2024, 1, 1)
-
-    def write(name, rows):
-        cols = list(zip(*rows))
-        pq.write_table(pa.table({"event_id": pa.array(cols[0], pa.int64()), "ts": pa.array(cols[1], pa.timestamp("us")),
-                                 "user_id": pa.array(cols[2], pa.int64()), "event_type": pa.array(cols[3]),
-                                 "value": pa.array(cols[4], pa.float64()), "props": pa.array(cols[5])}),
-                       f"{folder}/{name}")
-    # user 7: pass, fail at 10:00 and 11:00; the second file brings a failure from 09:00 (late)
-    write("events_1.parquet", [(1, t0.replace(hour=10), 7, "error", 1.0, '{"k": 1}'),
-                               (2, t0.replace(hour=11), 7, "click", 1.0, '{"k": 1}')])
-    write("events_2.parquet", [(3, t0.replace(hour=9), 7, "error", 1.0, '{"k": 1}'),
-                               (4, t0.replace(hour=12), 7, "error", 1.0, '{"k": 1}')])
-    got = S.run_to_table(S.live_streak(S.history_stream(spark, folder)), "late", "update", [E.KEY]).collect()
-    assert len(got) == 1
-    r = got[0]
-    assert (r["failure_streak"], r["time_since_last_failure"], r["late_rows"]) == (1, 0, 1)
