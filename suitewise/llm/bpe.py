@@ -22,9 +22,11 @@ import hashlib
 import heapq
 import itertools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -69,14 +71,24 @@ class Codec:
 
     def one_word(self, word: bytes) -> list[int]:
         """The usual rule: join the leftmost pair of lowest rank until none is left."""
-        parts = [bytes([b]) for b in word]
-        while len(parts) > 1:
-            ranked = [(self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.ranks]
-            if not ranked:
-                break
-            i = min(ranked)[1]
-            parts[i:i + 2] = [parts[i] + parts[i + 1]]
-        return [self.ranks[p] for p in parts]
+        n = len(word)
+        token = [bytes([b]) for b in word]
+        after, before = [*range(1, n), _NONE], [_NONE, *range(n - 1)]
+        heap = [(r, i) for i in range(n - 1) if (r := self.ranks.get(token[i] + token[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if token[i] else _NONE
+            if j == _NONE or self.ranks.get(token[i] + token[j]) != rank:
+                continue  # one of the two has been joined since
+            token[i], token[j] = token[i] + token[j], b""
+            after[i] = after[j]
+            if after[j] != _NONE:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k != _NONE and after[k] != _NONE and (r := self.ranks.get(token[k] + token[after[k]])) is not None:
+                    heapq.heappush(heap, (r, k))
+        return [self.ranks[t] for t in token if t]
 
     def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all (non-empty) words one after the other, and the number of ids of each word."""
@@ -181,7 +193,9 @@ class _Numbered(dict):
 
 # a blank after white space and before white space or the end: there a cut could split one match
 _RUN_OF_BLANKS = re.compile(r"\s (?:\s|\Z)")
-MAX_PIECES = 1_000_000  # distinct pieces held at a time; encoding simply starts a new table beyond
+TABLE_BYTES = 48 << 20  # distinct pieces, words and pairs held at a time; encoding simply starts new tables beyond
+ENTRY_BYTES = 150  # what a key of a table takes besides its text
+SLICE_BYTES = 1 << 20  # text encoded at a time; a longer text is a slice of its own
 
 
 class _Pieces:
@@ -192,7 +206,7 @@ class _Pieces:
         self.clear()
 
     def clear(self) -> None:
-        self.number, self.known = _Numbered(), 0
+        self.number, self.known, self.text_bytes = _Numbered(), 0, 0
         self.words, self.word_ids, self.word_counts = _Numbered(), np.zeros(0, np.int32), np.zeros(0, np.int64)
         self.ids, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
 
@@ -210,6 +224,7 @@ class _Pieces:
 
         def matches():
             for piece in itertools.islice(self.number, self.known, None):
+                self.text_bytes += 2 * len(piece)  # in the piece and in its words
                 # pieces hold no blank; one put before them marks those that do not follow a blank
                 found = self.find(piece[1:] if piece[:1] == " " else " " + piece)
                 sizes_of.append(len(found))
@@ -218,7 +233,7 @@ class _Pieces:
         of = np.fromiter(map(self.words.__getitem__, matches()), np.int64)
         sizes = np.array(sizes_of, np.int64)
         self.known = len(self.number)
-        new = list(self.words)[len(self.word_counts):]
+        new = list(itertools.islice(self.words, len(self.word_counts), None))
         ids, counts = self.codec.encode_words([w.encode() for w in new])
         self.word_ids = np.concatenate([self.word_ids, ids.astype(np.int32)])
         self.word_counts = np.concatenate([self.word_counts, counts])
@@ -229,6 +244,11 @@ class _Pieces:
         self.counts = np.concatenate([self.counts, per_word[ends] - per_word[ends - sizes]])
         self.starts = np.cumsum(self.counts) - self.counts
 
+    def size(self) -> int:
+        """About how many bytes the tables take."""
+        entries = len(self.number) + len(self.words) + len(self.codec.merged)
+        return ENTRY_BYTES * entries + self.text_bytes + 4 * (len(self.ids) + len(self.word_ids))
+
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode: bool = True) -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and, on demand, ``decoded`` (bytes of those ids)."""
@@ -241,7 +261,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", decode:
     def run(batches):
         for batch, ids_of, codec in _encoded(batches, at, path, pattern):
             ids = [ids_of(i) for i in range(batch.num_rows)]
-            columns = [*batch.columns, pa.array(ids, pa.list_(pa.int32()))]
+            offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+            columns = [*batch.columns, pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))]
             if decode:
                 columns.append(pa.array([codec.decode(x) for x in ids], pa.binary()))
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -269,15 +290,28 @@ def encode_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
              "decoded_sha256 string")
 
 
+def _slices(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``SLICE_BYTES`` of text."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    upto = np.cumsum(sizes.astype(np.int64) + 1)
+    start = 0
+    while start < len(upto):
+        end = int(np.searchsorted(upto, (upto[start - 1] if start else 0) + SLICE_BYTES, "right"))
+        yield start, max(start + 1, end)
+        start = max(start + 1, end)
+
+
 def _encoded(batches, at: int, path: str, pattern: str):
-    """(slice, ids of its i-th text, codec) for slices of a task's batches; the piece table lives as long as the task."""
+    """(slice, ids of its i-th text, codec) for slices of a task's batches; the tables live as long as the task
+    or until they reach ``TABLE_BYTES``."""
     codec = Codec(load_ranks(path))
     table = _Pieces(codec, pattern)
     for whole in batches:
-        for start in range(0, whole.num_rows, SLICE_ROWS):
-            batch = whole.slice(start, SLICE_ROWS)
-            if len(table.number) > MAX_PIECES:
+        for start, end in _slices(whole.column(at)):
+            batch = whole.slice(start, end - start)
+            if table.size() > TABLE_BYTES:
                 table.clear()
+                codec.merged.clear()
             pieces = [table.split(x.as_py() or "") for x in batch.column(at)]
             table.encode_new()
 
@@ -285,6 +319,3 @@ def _encoded(batches, at: int, path: str, pattern: str):
                 return table.ids[gather(table.starts[pieces[i]], table.counts[pieces[i]])]
 
             yield batch, ids_of, codec
-
-
-SLICE_ROWS = 5000

@@ -7,7 +7,8 @@ list records kind, reference, turn, part and expanded token count. A turn become
 ``<|im_start|>role NEWLINE body<|im_end|> NEWLINE``.
 
 Escaping is reversible: a backslash becomes ``\\b``, the opening ``<|`` of every
-control string ``\\l`` and, in roles, a newline ``\\n``. So no text can hold a marker.
+control string ``\\l`` and, in roles, a newline ``\\n``. The opening is looked for in the
+joined body, so no text can hold a marker, nor can several parts that follow each other.
 
 Edge cases: null text, role or parts count as empty; an unknown or null kind is
 kept as a document part; a null token count is 0; rows with equal turn numbers are
@@ -39,11 +40,20 @@ def _escape_role(role: Column) -> Column:
 
 
 def _visit(part: Column) -> Column:
-    """What a part leaves in the flat body."""
-    seen = F.when(part["kind"] == "text", escape(part["text"]))
+    """What a part leaves in the flat body before openings are escaped: a placeholder is a code that no text
+    can hold, as every backslash of a text is followed by ``b``."""
+    seen = F.when(part["kind"] == "text", F.replace(F.coalesce(part["text"], F.lit("")), F.lit("\\"), F.lit("\\b")))
     for kind in ("image", "audio"):
-        seen = seen.when(part["kind"] == kind, F.lit(PLACEHOLDERS[kind]))
-    return seen.otherwise(F.lit(PLACEHOLDERS["document"]))
+        seen = seen.when(part["kind"] == kind, F.lit(f"\\{kind[0]}"))
+    return seen.otherwise(F.lit("\\d"))
+
+
+def _body(parts: Column) -> Column:
+    """The flat body of a message: texts joined and escaped, placeholders in their places."""
+    body = F.replace(F.array_join(F.transform(parts, _visit), ""), F.lit("<|"), F.lit("\\l"))
+    for kind, shown in PLACEHOLDERS.items():
+        body = F.replace(body, F.lit(f"\\{kind[0]}"), F.lit(shown))
+    return body
 
 
 def text_parts(text: Column) -> Column:
@@ -62,7 +72,7 @@ def format_chats(messages: DataFrame, learn_role: str = "assistant") -> DataFram
     role = F.coalesce("role", F.lit(""))
     turns = messages.select(
         "conv_id", "turn", role.alias("role"),
-        F.array_join(F.transform(parts, _visit), "").alias("body"),
+        _body(parts).alias("body"),
         F.transform(F.filter(F.transform(parts, lambda p, i: F.struct(
             F.when(p["kind"].isin(*PLACEHOLDERS), p["kind"]).otherwise(F.lit("document")).alias("kind"),
             p["ref"].alias("ref"), F.coalesce(p["n_tokens"], F.lit(0)).alias("n_tokens"), i.alias("part"),
