@@ -9,27 +9,31 @@ sum_i r_i t_i p_id match the targets T_d, as the minimiser of
 
     sum_d (sum_i r_i t_i p_id - T_d)^2 / (2 S m_d)  +  RIDGE / 2 sum_i t_i (r_i - 1)^2
 
-(S all tokens, m_d the share of domain d). A projected gradient step leaves the rates
-as they are exactly if  r_i = max(0, 1 - sum_d l_d p_id)  with one multiplier a domain,
-l_d = (sum_i r_i t_i p_id - T_d) / (RIDGE S m_d). So the descent is made on the
-multipliers: Newton steps with halving on the dual, a convex function of k numbers.
-One step is one distributed sum of k + k^2 numbers. It ends when every domain is
-stationary to ``CLOSE`` of its own target (of its supply if the target is 0), and
-fails if that is not reached; the residuals are returned.
-
-For ``weights`` memberships are the posteriors. For ``keep`` they are decided: the
-label of a labelled document, else the domain of largest posterior. So the totals can
-be met, and whether a document stays depends on neither steps nor other documents.
+(S all tokens, m_d the share of domain d). This is solved by projected gradient steps. The gradient of the rates,
+divided by t_i, is  sum_d p_id off_d / (S m_d) + RIDGE (r_i - 1)  with off_d = sum_i r_i t_i p_id - T_d, so rates that
+begin at 1 stay  1 - sum_d l_d p_id  before they are projected to 0 and above, and a step of length a moves the k
+numbers l by  a (off_d / (S m_d) - RIDGE l_d). One step is one distributed sum of k numbers; rates are projected when
+they are read and never stored. Step lengths are spectral (Barzilai and Borwein): the inverse of the curvature met by
+the last step. When the gradient grows ``GROWTH``-fold over the least so far, the descent restarts from there with the
+safe length 1 / (1 + RIDGE). It ends when every domain is stationary to ``CLOSE`` of its own target (of its supply if
+the target is 0), or after ``STEPS`` sums; the residuals and whether that was reached are returned, never raised.
+
+Memberships are soft: the posteriors, or for ``keep`` and ``drop`` the label of a labelled document. ``drop`` names
+a domain to take out: the targets are the soft totals of the documents that are not of this domain by label or
+largest posterior, which leaves the soft share that such documents hold anyway.
+
+With too few labels to hold any out, or a domain that the other nine tenths lack, the middle penalty is taken.
 
 Edge cases: null text has no tokens; a document without tokens keeps rate and
 posterior like any other; a domain without tokens or labels is left out; without
 any label all documents share one domain; equal rows get equal rates; an empty
-table gives an empty result; extra columns pass through.
+table gives an empty result; of the documents' columns only doc_id is returned.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -46,6 +50,7 @@ PENALTIES = (1e-3, 3e-3, 1e-2)
 STEPS = 200
 RIDGE = 0.001
 CLOSE = 1e-6
+GROWTH = 10.0
 DOMAINS = ("high", "low", "toxic")
 
 
@@ -82,8 +87,8 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...]) -
     ``labelled``: (doc_id, domain). Documents are labelled through their id.
     """
     numbers = F.create_map(*[F.lit(x) for i, d in enumerate(domains) for x in (d, float(i))])
-    known = (docs.select("doc_id", "text").join(
-        labelled.where(F.col("domain").isin(*domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED), "doc_id")
+    known = (docs.select("doc_id", "text").join(F.broadcast(  # LABELLED ids
+        labelled.where(F.col("domain").isin(*domains)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)), "doc_id")
         .where(F.col("text").isNotNull()))
     train = cut(_features(known).select("doc_id", "_features", numbers[F.col("domain")].alias("label")))
     seen = sorted(r["label"] for r in train.select("label").distinct().collect())  # one per domain
@@ -103,63 +108,68 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: tuple[str, ...]) -
     return model.transform(full).select(*own, n_tokens, spread.alias("posterior"))
 
 
-def fit_rates(docs: DataFrame, targets: list[float], member: str = "posterior") -> tuple[Column, list[list[float]]]:
-    """The rate of a document as an expression, and the residuals of every step, relative to the domain's own target
-    (its supply if the target is 0; 0 for a domain with neither).
+class Rates(NamedTuple):
+    """The rate of a document as an expression; the residuals of every step, relative to the domain's own target
+    (its supply if the target is 0; 0 for a domain with neither); whether the last step is stationary."""
 
-    ``docs``: n_tokens, ``member``. ``targets``: tokens wanted per domain.
-    """
+    rate: Column
+    residuals: list[list[float]]
+    stationary: bool
+
+
+def descend(docs: DataFrame, targets: list[float], member: str = "posterior") -> Rates:
+    """Projected gradient descent on the rates. ``docs``: n_tokens, ``member``. ``targets``: tokens wanted per domain."""
     k = len(targets)
     t = F.col("n_tokens").cast("double")
     p = [F.col(member)[d] for d in range(k)]
     supply = docs.agg(F.sum(t).alias("all"), *[F.sum(t * p[d]).alias(f"d{d}") for d in range(k)]).first()
     tokens = supply["all"] or 0.0
     if not tokens:
-        return F.lit(1.0), []
+        return Rates(F.lit(1.0), [], True)
     share = np.array([(supply[f"d{d}"] or 0.0) / tokens for d in range(k)])
     target = np.array(targets) / tokens
     goal = np.where(target > 0, target, share)
-    live = np.flatnonzero(share > 0).tolist()
-    pairs = [(i, j) for i in range(len(live)) for j in range(i, len(live))]
-
-    def pull(at: np.ndarray) -> Column:
-        return sum((F.lit(float(x)) * p[d] for x, d in zip(at, live)), F.lit(0.0))
-
-    def rate(at: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) - pull(at))
-
-    def dual(at: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
-        """Value, gradient and curvature at the multipliers, and the residuals there."""
-        a, r = pull(at), rate(at)
-        got = docs.agg(
-            F.sum(t * F.when(a < 1, a - a * a / 2).otherwise(0.5)).alias("h"),
-            *[F.sum(r * t * p[d]).alias(f"d{d}") for d in live],
-            *[F.sum(F.when(a < 1, t * p[live[i]] * p[live[j]]).otherwise(0.0)).alias(f"c{i}_{j}") for i, j in pairs]).first()
-        off = -target
-        off[live] += [got[f"d{d}"] / tokens for d in live]
-        curve = np.diag(RIDGE * share[live])
-        for i, j in pairs:
-            curve[i, j] += got[f"c{i}_{j}"] / tokens
-            curve[j, i] = curve[i, j]
-        value = RIDGE / 2 * float(share[live] @ at ** 2) + float(target[live] @ at) - got["h"] / tokens
-        return value, RIDGE * share[live] * at - off[live], curve, off
-
-    least = np.maximum(CLOSE * goal[live], 1e-12 * share[live])
-    at, scale, residuals = np.zeros(len(live)), 1.0, []
-    now = dual(at)
+    live = np.flatnonzero(share > 0)
+    m = share[live]
+
+    def rate(pulls: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) - sum((F.lit(float(x)) * p[d] for x, d in zip(pulls, live.tolist())), F.lit(0.0)))
+
+    def off(pulls: np.ndarray) -> np.ndarray:
+        """Totals less targets, in shares of all tokens: the one distributed sum of a step."""
+        got = docs.agg(*[F.sum(rate(pulls) * t * p[d]).alias(f"d{d}") for d in live.tolist()]).first()
+        out = -target
+        out[live] += [got[f"d{d}"] / tokens for d in live.tolist()]
+        return out
+
+    enough = np.maximum(CLOSE * goal[live], 1e-12 * m)
+    safe = 1.0 / (1.0 + RIDGE)  # no curvature exceeds 1 + RIDGE, as memberships add up to 1
+    at, length, residuals = np.zeros(len(live)), safe, []
+    best, best_at, last = math.inf, at, None
     for _ in range(STEPS):
-        if scale == 1.0:
-            residuals.append([float(x / g) if g > 0 else 0.0 for x, g in zip(now[3], goal)])
-            if (np.abs(now[1]) <= least).all():
-                return rate(at), residuals
-            step = np.linalg.solve(now[2], -now[1])
-        new = dual(at + scale * step)
-        falls = new[0] <= now[0] + 1e-4 * scale * float(now[1] @ step)
-        if falls or np.max(np.abs(new[1]) / least) < 0.5 * np.max(np.abs(now[1]) / least):
-            at, now, scale = at + scale * step, new, 1.0
-        else:
-            scale /= 2
-    raise RuntimeError(f"rates not stationary after {STEPS} sums; residuals {residuals[-1]}")
+        now = off(at)
+        residuals.append([float(x / g) if g > 0 else 0.0 for x, g in zip(now, goal)])
+        gradient = now[live] / m - RIDGE * at
+        if (np.abs(gradient) * m <= enough).all():
+            return Rates(rate(at), residuals, True)
+        size = float(m @ gradient ** 2)
+        if size < best:
+            best, best_at = size, at
+        if size > GROWTH ** 2 * best:  # restart
+            at, length, last = best_at, safe, None
+            continue
+        if last is not None:
+            moved, bent = at - last[0], last[1] - gradient
+            met = float(m @ (moved * bent))
+            length = min(max(float(m @ moved ** 2) / met, safe), 1.0 / RIDGE) if met > 0 else safe
+        last = at, gradient
+        at = at + length * gradient
+    return Rates(rate(best_at), residuals, False)
+
+
+def fit_rates(docs: DataFrame, targets: list[float], member: str = "posterior") -> tuple[Column, list[list[float]]]:
+    """Rate and residuals of ``descend``."""
+    return descend(docs, targets, member)[:2]
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -174,36 +184,41 @@ def label_domains(labels: DataFrame) -> DataFrame:
     return labels.groupBy("doc_id").agg(F.min(domain).alias("domain")).where("doc_id is not null and domain is not null")
 
 
-def _decided(soft: DataFrame, known: DataFrame) -> DataFrame:
-    """``soft`` with ``member``: all of the labelled domain, else of that of largest posterior (ties: the first)."""
-    best = F.array_position("posterior", F.array_max("posterior"))
-    return soft.join(known.withColumnRenamed("domain", "_domain"), "doc_id", "left").withColumn("member", F.array(*[
-        F.when(F.col("_domain").isNotNull(), F.col("_domain") == d).otherwise(best == i + 1).cast("double")
-        for i, d in enumerate(DOMAINS)])).drop("_domain")
+def _members(soft: DataFrame, known: DataFrame) -> DataFrame:
+    """``soft`` with ``member``, its label's domain or else the posterior, and ``decided``, the domain of largest
+    membership (ties: the first)."""
+    own = F.when(F.col("_domain").isNotNull(), F.array(*[(F.col("_domain") == d).cast("double") for d in DOMAINS]))
+    return (soft.join(known.withColumnRenamed("domain", "_domain"), "doc_id", "left")
+            .withColumn("member", F.coalesce(own, "posterior")).drop("_domain")
+            .withColumn("decided", F.element_at(F.array(*map(F.lit, DOMAINS)), F.array_position(
+                "member", F.array_max("member")).cast("int"))))
 
 
 def mix_balanced(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None,
-                 keep: dict[str, float] | None = None) -> tuple[DataFrame, list[dict]]:
-    """``docs`` with n_tokens, posterior, member, rate and copies; and per domain its target and total in tokens and
-    the residual, (total - target) / target, or / supply if the target is 0.
+                 keep: dict[str, float] | None = None, drop: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """``docs`` with n_tokens, posterior, member, decided, rate and copies; and per domain its target and total in
+    tokens, the residual, (total - target) / target, or / supply if the target is 0, and ``stationary``.
 
-    ``weights``: share of all tokens wanted per domain, for as many tokens as there are; or ``keep``: share of each
-    domain's own tokens that stays.
+    ``weights``: share of all tokens wanted per domain, for as many tokens as there are; ``keep``: share of each
+    domain's own tokens that stays; or ``drop``: a domain whose documents are to go.
     """
     known = label_domains(labels)
-    soft = posteriors(docs.select("doc_id", "text"), known, DOMAINS).drop("text")
-    soft = cut(soft.withColumn("member", F.col("posterior")) if weights else _decided(soft, known))
+    soft = _members(posteriors(docs.select("doc_id", "text"), known, DOMAINS).drop("text"), known)
+    soft = cut(soft.withColumn("member", F.col("posterior")) if weights else soft)
     t = F.col("n_tokens")
-    totals = soft.agg(F.sum(t).alias("all"), *[F.sum(t * F.col("member")[i]).alias(d)
-                                               for i, d in enumerate(DOMAINS)]).first()
-    scale = math.fsum(weights.values()) if weights else 1.0
-    targets = [(weights.get(d, 0.0) / scale * (totals["all"] or 0) if weights
-                else (keep or {}).get(d, 1.0) * (totals[d] or 0)) for d in DOMAINS]
-    rate, residuals = fit_rates(soft, targets, "member")
-    off = residuals[-1] if residuals else [0.0] * len(DOMAINS)
-    balance = [{"domain": d, "target": float(w), "total": float(w + e * (w or totals[d] or 0)), "residual": e}
-               for d, w, e in zip(DOMAINS, targets, off)]
-    return soft.withColumn("rate", rate).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), balance
+    stays = F.when(F.col("decided") != F.lit(drop), t).otherwise(0) if drop else t
+    totals = soft.agg(F.sum(t).alias("all"), *[F.sum(t * F.col("member")[i]).alias(d) for i, d in enumerate(DOMAINS)],
+                      *[F.sum(stays * F.col("member")[i]).alias(f"stays_{d}") for i, d in enumerate(DOMAINS)]).first()
+    if weights:
+        scale = math.fsum(weights.values())
+        targets = [weights.get(d, 0.0) / scale * (totals["all"] or 0) for d in DOMAINS]
+    else:
+        targets = [(keep or {}).get(d, 1.0) * (totals[f"stays_{d}"] or 0) for d in DOMAINS]
+    fit = descend(soft, targets, "member")
+    off = fit.residuals[-1] if fit.residuals else [0.0] * len(DOMAINS)
+    balance = [{"domain": d, "target": float(w), "total": float(w + e * (w or totals[d] or 0)), "residual": e,
+                "stationary": fit.stationary} for d, w, e in zip(DOMAINS, targets, off)]
+    return soft.withColumn("rate", fit.rate).withColumn("copies", copies(F.col("rate"), F.col("doc_id"))), balance
 
 
 def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None,

@@ -97,9 +97,11 @@ def shard_rows(df: DataFrame, key: Column, tie: Column, shards: int, vnodes: int
         F.col("cell").alias("_cell"), F.col("lo").cast("decimal(20,0)").alias("_lo"),
         F.col("hi").alias("_hi"), F.col("arc").alias("_arc"))
     added = ("shard", "slot", "home_shard")
-    kept = [F.col(f"`{c}`") for c in df.columns if c not in added]
+    names = [c for c in df.columns if c not in added]
+    # the rows' own columns wait in one struct, so that no helper's name can clash with theirs
     placed = (
-        df.select(*kept, F.xxhash64(key, tie).alias("_pos"))
+        df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.xxhash64(key, tie).alias("_pos"),
+                  key.alias("_key"), tie.alias("_tie"))
         .withColumn("_cell", F.shiftright("_pos", 64 - _CELL_BITS))
         .join(F.broadcast(cells), "_cell")
         .where((F.col("_pos") > F.col("_lo")) & (F.col("_pos") <= F.col("_hi")))
@@ -119,7 +121,7 @@ def shard_rows(df: DataFrame, key: Column, tie: Column, shards: int, vnodes: int
                           "arc int, first bigint, last bigint, shard int, slot0 bigint").select(
         F.col("arc").alias("_arc"), F.col("first").alias("_first"), F.col("last").alias("_last"),
         "shard", F.col("slot0").alias("_slot0"))
-    order = Window.partitionBy("_arc", "_sub").orderBy("_pos", key, tie)
+    order = Window.partitionBy("_arc", "_sub").orderBy("_pos", "_key", "_tie")
     ranked = (
         placed.withColumn("_n", F.row_number().over(order) - 1)
         .join(F.broadcast(base), ["_arc", "_sub"])
@@ -127,7 +129,7 @@ def shard_rows(df: DataFrame, key: Column, tie: Column, shards: int, vnodes: int
         .join(F.broadcast(dealt), "_arc")
         .where((F.col("_rank") >= F.col("_first")) & (F.col("_rank") <= F.col("_last")))
         .join(F.broadcast(homes), "_arc"))
-    return ranked.select(*kept, "shard", (F.col("_slot0") + F.col("_rank") - F.col("_first")).alias("slot"),
+    return ranked.select(*[F.col("_row")[c].alias(c) for c in names], "shard", (F.col("_slot0") + F.col("_rank") - F.col("_first")).alias("slot"),
                          "home_shard")
 
 

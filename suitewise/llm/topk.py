@@ -15,10 +15,11 @@ Pruning only saves work: every pair that could reach the top k is scored, exactl
 in integers (components are floor(256 x); scores must stay below 2**53).
 
 Edge cases: rows with a null id, a null or empty vector or a null or non-finite
-component take no part; vectors of another length than the sample's majority are
-searched among their own length; equal vectors make one leaf; ties go to the
-smaller id; with fewer than k candidates all are returned; an empty table gives an
-empty result; extra columns are ignored.
+component take no part; components saturate at 2**23 either way; vectors of different lengths
+are searched among their own length; equal vectors make one leaf; ties go to the
+smaller id; with fewer than k candidates all are returned. Rows that repeat an id are
+rows of their own: each query row has its own k results, in which only the row itself
+is left out. An empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -38,14 +39,16 @@ CELLS = 48
 CHUNK = 4096
 QUERY_GROUP = 256
 QUERY_PART = 4096
-LEAF = 64
+LEAF = 256
+LIMIT = float(1 << 23)
 
 
 def quantise(vector: Column) -> Column:
     """floor(256 x) of every component; null unless all are finite numbers."""
     doubles = F.transform(vector, lambda x: x.cast("double"))
     usable = (F.size(vector) > 0) & F.forall(doubles, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.when(usable, F.transform(doubles, lambda x: F.floor(x * 256).cast("double")))
+    return F.when(usable, F.transform(doubles, lambda x: F.greatest(F.lit(-LIMIT), F.least(
+        F.lit(LIMIT), F.floor(x * 256).cast("double")))))
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -91,12 +94,15 @@ def bound(q: dict, d: dict) -> float:
     return top + 1e-6 * (1 + abs(top))
 
 
-def dual_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray, data: np.ndarray, ids: np.ndarray,
-                k: int) -> list[tuple[int, int, int]]:
-    """(query_id, vec_id, score) of the best k in ``data`` per query, leaving out scores below its floor."""
-    best: list[list[tuple[int, int]]] = [[] for _ in query_ids]
+def dual_search(q_tree: CoverTree, query_rows: np.ndarray, floors: np.ndarray, d_tree: CoverTree, rows: np.ndarray,
+                ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(query row, vec_id, score) of the best k in the data per query, leaving out scores below its floor.
+
+    ``query_rows`` and ``rows`` number the rows of queries and data, ``ids`` are the data's vec_ids.
+    """
+    queries, data = q_tree.points, d_tree.points
+    best: list[list[tuple[int, int, int]]] = [[] for _ in query_rows]
     worst = floors.astype(float).copy()
-    q_tree, d_tree = CoverTree(queries), CoverTree(data)
     heap = [(-bound(q_tree.root, d_tree.root), 0, q_tree.root, d_tree.root)]
     n = 1
     while heap:
@@ -111,27 +117,33 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, floors: np.ndarray,
                     n += 1
             continue
         scores = queries[q["rows"]] @ data[d["rows"]].T
-        for i, row in zip(q["rows"].tolist(), scores):
-            hits = np.flatnonzero(row >= worst[i])
-            found = [(-int(row[h]), int(ids[d["rows"][h]])) for h in hits if ids[d["rows"][h]] != query_ids[i]]
-            if found:
-                best[i] = heapq.nsmallest(k, best[i] + found)
-                if len(best[i]) == k:
-                    worst[i] = max(worst[i], -best[i][-1][0])
-    return [(int(q), v, -s) for q, own in zip(query_ids, best) for s, v in own]
+        at, hits = np.nonzero(scores >= worst[q["rows"]][:, None])
+        hit_rows = d["rows"][hits]
+        for i, score, v, r in zip(q["rows"][at].tolist(), scores[at, hits].tolist(), ids[hit_rows].tolist(),
+                                  rows[hit_rows].tolist()):
+            if score < worst[i] or r == query_rows[i]:
+                continue
+            own = best[i]
+            if len(own) < k:
+                heapq.heappush(own, (score, -v, r))
+            else:
+                heapq.heappushpop(own, (score, -v, r))
+            if len(own) == k:
+                worst[i] = max(worst[i], own[0][0])
+    return [(int(q), -v, int(s)) for q, own in zip(query_rows, best) for s, v, _ in own]
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score. ``vectors``: vec_id and a column ``vec`` from ``quantise``."""
     usable = vectors.where(F.col("vec_id").isNotNull() & F.col("vec").isNotNull()).select(
         F.col("vec_id").cast("bigint").alias("vec_id"), "vec", F.size("vec").alias("dim"), is_query.alias("q"))
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    schema = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
     parts = [_of_length(usable.where(F.col("dim") == r["dim"]), r["dim"], k, schema)
              for r in usable.groupBy("dim").count().orderBy("dim").collect()]  # one per vector length
     found = parts[0] if parts else usable.sparkSession.createDataFrame([], schema)
     for p in parts[1:]:
         found = found.unionByName(p)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
@@ -157,7 +169,8 @@ def _of_length(rows: DataFrame, dim: int, k: int, schema: str) -> DataFrame:
                 [batch.column("vec_id"), batch.column("vec"), batch.column("q"), pa.array(cell.astype(np.int32)),
                  pa.array(radius)], names=["vec_id", "vec", "q", "cell", "away"])
 
-    placed = cut(rows.mapInArrow(assign, "vec_id bigint, vec array<double>, q boolean, cell int, away double"))
+    placed = cut(rows.mapInArrow(assign, "vec_id bigint, vec array<double>, q boolean, cell int, away double")
+                 .withColumn("row", F.monotonically_increasing_id()))
     cells = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"),
                                        F.count_if("q").alias("nq")).collect()  # CELLS rows
     chunks = {r["cell"]: math.ceil(r["n"] / CHUNK) for r in cells}
@@ -167,12 +180,12 @@ def _of_length(rows: DataFrame, dim: int, k: int, schema: str) -> DataFrame:
     norms = np.sqrt((centres ** 2).sum(axis=1))
 
     def dealt(counts):
-        return F.pmod(F.xxhash64("vec_id"), F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]),
+        return F.pmod(F.xxhash64("row"), F.element_at(F.create_map(*[F.lit(x) for kv in counts.items() for x in kv]),
                                                          F.col("cell"))).cast("int")
 
     def groups(key, table):
         """The surviving (cell, chunk) of one query group, with the queries and their floors."""
-        points, ids = _matrix(table["vec"], dim), table["vec_id"].to_numpy()
+        points, ids, own = _matrix(table["vec"], dim), table["vec_id"].to_numpy(), table["row"].to_numpy()
         mine = int(key[0].as_py())
         scores = points @ sample.T
         scores[ids[:, None] == sample_ids] = -np.inf
@@ -188,24 +201,28 @@ def _of_length(rows: DataFrame, dim: int, k: int, schema: str) -> DataFrame:
         return pa.table({
             "cell": pa.array([c for c, _ in out], pa.int32()), "chunk": pa.array([c for _, c in out], pa.int32()),
             "part": pa.array([part] * size, pa.int32()), "ids": pa.array([ids.tolist()] * size, pa.list_(pa.int64())),
+            "own": pa.array([own.tolist()] * size, pa.list_(pa.int64())),
             "points": pa.array([points.ravel().tolist()] * size, pa.list_(pa.float64())),
             "floors": pa.array([floors.tolist()] * size, pa.list_(pa.float64()))})
 
-    pairs = (placed.where("q").withColumn("chunk", dealt(asked)).select("vec_id", "vec", "cell", "chunk")
+    pairs = (placed.where("q").withColumn("chunk", dealt(asked)).select("vec_id", "row", "vec", "cell", "chunk")
              .groupBy("cell", "chunk").applyInArrow(
-                 groups, "cell int, chunk int, part int, ids array<bigint>, points array<double>, floors array<double>"))
-    data = (placed.withColumn("chunk", dealt(chunks)).select("cell", "chunk", "vec_id", "vec")
+                 groups, "cell int, chunk int, part int, ids array<bigint>, own array<bigint>, points array<double>, "
+                         "floors array<double>"))
+    data = (placed.withColumn("chunk", dealt(chunks)).select("cell", "chunk", "vec_id", "row", "vec")
             .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))) if query_parts > 1 else
-            placed.withColumn("chunk", dealt(chunks)).select("cell", "chunk", "vec_id", "vec", F.lit(0).alias("part")))
+            placed.withColumn("chunk", dealt(chunks)).select("cell", "chunk", "vec_id", "row", "vec", F.lit(0).alias("part")))
 
     def search(key, left, right):
         out = []
         if left.num_rows and right.num_rows:
-            points, ids = _matrix(left["vec"], dim), left["vec_id"].to_numpy()
-            for q, p, f in zip(*(right[c].to_pylist() for c in ("ids", "points", "floors"))):
-                out += dual_search(np.array(p).reshape(-1, dim), np.array(q), np.array(f), points, ids, k)
+            tree, ids, own = CoverTree(_matrix(left["vec"], dim)), left["vec_id"].to_numpy(), left["row"].to_numpy()
+            for q, of, p, f in zip(*(right[c].to_pylist() for c in ("ids", "own", "points", "floors"))):
+                name = dict(zip(of, q))
+                found = dual_search(CoverTree(np.array(p).reshape(-1, dim)), np.array(of), np.array(f), tree, own, ids, k)
+                out += [(r, name[r], v, s) for r, v, s in found]
         return pa.table({n: pa.array([r[i] for r in out], pa.int64())
-                         for i, n in enumerate(("query_id", "vec_id", "score"))})
+                         for i, n in enumerate(("query_row", "query_id", "vec_id", "score"))})
 
     keys = ("cell", "chunk", "part")
     return data.groupBy(*keys).cogroup(pairs.groupBy(*keys)).applyInArrow(search, schema)

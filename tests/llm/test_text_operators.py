@@ -442,6 +442,75 @@ def test_top_k_matches_brute_force(spark, n):
         assert got[q] == {k: (i, -s) for k, (s, i) in enumerate(best, 1)}
 
 
+def test_top_k_of_repeated_ids_and_huge_components(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.5, 0.5]), (1, [1.0, 1.0]), (2, [1e200, -1e200]), (3, [0.25, 0.0]), (4, [0.0, 0.25])]
+    got = {}
+    for r in topk.embedding_neighbours(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    big = 1 << 23
+    first = [(1, 2, 256 * big), (2, 1, 65536), (3, 0, 32768), (4, 3, 16384), (5, 4, 0)]
+    second = [(1, 1, 65536), (2, 0, 32768), (3, 3, 8192), (4, 4, 8192), (5, 2, 0)]
+    assert list(got) == [0] and sorted(got[0]) == sorted(first + second)
+
+
+def test_shards_with_clashing_columns(spark):
+    names = ["_arc", "_lo", "_hi", "_base", "_first", "_slot0", "_row", "_pos", "_key", "_n", "shard"]
+    df = spark.range(200).select("id", *[F.lit(7).alias(c) for c in names])
+    out = sharding.shard_rows(df, F.col("id"), F.col("_arc"), 4)
+    assert out.columns == ["id", *names[:-1], "shard", "slot", "home_shard"]
+    rows = out.collect()
+    assert sorted(r["id"] for r in rows) == list(range(200)) and {r["_lo"] for r in rows} == {7}
+    assert sorted((r["shard"], r["slot"]) for r in rows) == [(s, i) for s in range(4) for i in range(50)]
+
+
+def _replayed(positions, points, shards):
+    """The ring walked row by row: rows in order of arc and position fill their shard, overflow goes on clockwise."""
+    n = len(positions)
+    room = {s: n // shards + (s < n % shards) for s in range(shards)}
+    hashes = [h for h, _ in points]
+    out, waiting = {}, []
+    arcs = {i: [] for i in range(len(points))}
+    for row, h in positions:
+        arcs[next((i for i, p in enumerate(hashes) if h <= p), 0)].append(row)
+    for _ in range(2):  # what the last arcs could not place goes round once more
+        for i, (_, s) in enumerate(points):
+            waiting += arcs.pop(i, [])
+            while waiting and room[s]:
+                out[waiting.pop(0)] = s
+                room[s] -= 1
+    return out
+
+
+def test_full_shards_pass_rows_on_clockwise(spark):
+    points = sharding.ring_points(4)
+    df = spark.range(500).select("id", F.xxhash64(F.col("id"), F.lit(1)).alias("h"))
+    got = sharding.shard_rows(df, F.col("id"), F.lit(1), 4).collect()
+    home = {r["id"]: points[next((i for i, (p, _) in enumerate(points) if r["h"] <= p), 0)][1] for r in got}
+    assert all(r["home_shard"] == home[r["id"]] for r in got)
+    replayed = _replayed([(r["id"], r["h"]) for r in got], points, 4)
+    moved = sum(r["shard"] != r["home_shard"] for r in got)
+    assert moved <= sum(replayed[i] != home[i] for i in home)  # no more rows leave home than on the plain walk
+    full = {s for s in range(4) if sum(1 for i in home if home[i] == s) >= 125}
+    assert all(r["home_shard"] in full for r in got if r["shard"] != r["home_shard"])
+
+
+def test_rates_match_least_squares_by_brute_force(spark):
+    rng = np.random.default_rng(3)
+    p = rng.dirichlet([0.5, 0.5, 0.2], 150)
+    t = rng.integers(1, 50, 150)
+    docs = spark.createDataFrame([(i, int(t[i]), p[i].tolist()) for i in range(150)],
+                                 "doc_id bigint, n_tokens bigint, posterior array<double>")
+    supply, total = t @ p, t.sum()
+    targets = [0.2 * total, 0.7 * total, 0.1 * total]
+    fit = mixing.descend(docs, targets)
+    r = np.ones(150)
+    for _ in range(60_000):  # plain projected gradient on the rates themselves
+        r = np.maximum(0, r - (p @ (((r * t) @ p - targets) / supply) + mixing.RIDGE * (r - 1)) / (1 + mixing.RIDGE))
+    got = np.array([x["r"] for x in docs.orderBy("doc_id").select(fit.rate.alias("r")).collect()])
+    assert fit.stationary and np.abs(got - r).max() < 1e-4 and (r == 0).any()
+    assert len(fit.residuals) < 60
+
+
 def test_empty_tables(spark, empty):
     path = public_tokenizers.path(bpe.VOCABULARY)
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
