@@ -195,7 +195,7 @@ class _Numbered(dict):
 _RUN_OF_BLANKS = re.compile(r"\s (?:\s|\Z)")
 TABLE_BYTES = 48 << 20  # distinct pieces, words and pairs held at a time; encoding simply starts new tables beyond
 ENTRY_BYTES = 150  # what a key of a table takes besides its text
-SLICE_BYTES = 1 << 20  # text encoded at a time; a longer text is a slice of its own
+SLICE_BYTES = 4 << 20  # text encoded at a time; a longer text is a slice of its own
 
 
 class _Pieces:
