@@ -55,9 +55,9 @@ def typed_lines(diff: DataFrame) -> DataFrame:
     """Kind per line and hunk number = headers seen so far in the file (0 before the first).
 
     A running count per file without a window per file: one global order
-    (file, pos) with a start marker per file; hunk = headers counted up to the
-    line minus headers counted at the file's start marker (an equi-join on
-    the unique position), so one huge diff is still split across tasks.
+    (file, pos) with a start marker per file; hunk = headers counted since the
+    file's start marker, a segmented prefix sum carried in the same pass, so one
+    huge diff is split across tasks and no line is joined to its file's start.
     """
     k = diff.select("file_path", "pos", "line", line_kind(F.col("line")).alias("kind"))
     real = k.select("*", F.lit(1).alias("_kind"), (F.col("kind") == "header").cast("int").alias("_h"),
@@ -66,10 +66,9 @@ def typed_lines(diff: DataFrame) -> DataFrame:
         "file_path", F.lit(None).cast(diff.schema["pos"].dataType).alias("pos"), F.lit(None).cast("string").alias("line"),
         F.lit(None).cast("string").alias("kind"), F.lit(0).alias("_kind"), F.lit(0).alias("_h"), F.lit(True).alias("_sf"))
     c = running_totals(real.unionByName(start), [F.col("file_path"), F.col("_kind"), F.col("pos")], ["_h"],
-                       with_index="_p", last_before=["_sf"])
-    at_start = c.select(F.col("_p").alias("_sp"), F.col("cum__h").alias("_sh"))
-    j = c.where(F.col("_kind") == 1).join(at_start, F.col("prev__sf") == F.col("_sp"))
-    return j.select("file_path", "pos", "kind", (F.col("cum__h") - F.col("_sh")).cast("bigint").alias("hunk"), "line")
+                       at_last={"_sf": ["_h"]})
+    return c.where(F.col("_kind") == 1).select(
+        "file_path", "pos", "kind", (F.col("cum__h") - F.col("_sf__h")).cast("bigint").alias("hunk"), "line")
 
 
 def header_lines(diff: DataFrame) -> DataFrame:

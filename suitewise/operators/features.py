@@ -12,11 +12,12 @@ history:
   map task cross the shuffle.
 * ``since_last_failure``: the last failure position per test comes from the
   aggregate; the rows after it are counted by a second partial aggregation
-  over history joined to that one-row-per-test table (AQE broadcasts it when
-  it is small and splits skewed partitions when it is not).
+  over history to which that position is attached.
 
-The train-form matrix attaches these per-test values to every row with an
-equi-join on the test key instead of a window partitioned by test.
+Per-test values are attached to rows (``attach``) without shuffling the rows of
+a busy test: at most ``HOT`` tests can hold more than 1 / ``HOT`` of all rows
+each, so these go by a broadcast of that proven size; the rest is an equi-join
+in which no key is hot.
 """
 
 from __future__ import annotations
@@ -74,6 +75,21 @@ def within_lookback(history: DataFrame, lookback: int | None) -> DataFrame:
     return last_rows(history, lookback).drop("rn")
 
 
+HOT = 256  # tests with more than 1 / HOT of all rows; there are fewer than HOT of them
+
+
+def attach(rows: DataFrame, per_test: DataFrame, n: str) -> DataFrame:
+    """Rows with the values of their test (inner join on the test id); ``n`` is a test's number of rows.
+
+    Rows of hot tests stay in the tasks that read them.
+    """
+    all_rows = per_test.agg(F.sum(n)).scalar()
+    hot = F.broadcast(per_test.where(F.col(n) * HOT > all_rows))
+    rest = per_test.where(F.col(n) * HOT <= all_rows)
+    cold = rows.join(hot.select(KEY), KEY, "left_anti")
+    return rows.join(hot, KEY).unionByName(cold.join(rest, KEY))
+
+
 def test_stats(history: DataFrame) -> DataFrame:
     """One row per test: counts, sums and the latest / last-failed positions."""
     failed = _failed()
@@ -107,10 +123,10 @@ def recent_stats(history: DataFrame, n: int = RECENT_ROWS) -> DataFrame:
 def since_last_failure(history: DataFrame, stats: DataFrame) -> DataFrame:
     """Rows after each test's last failure (tests that failed at least once)."""
     lf = stats.where(F.col("last_failure").isNotNull()).select(
-        KEY, F.col("last_failure.run_ts").alias("lf_ts"), F.col("last_failure.exec_id").alias("lf_id"))
+        KEY, F.col("last_failure.run_ts").alias("lf_ts"), F.col("last_failure.exec_id").alias("lf_id"), "n")
     after = (F.col("run_ts") > F.col("lf_ts")) | (
         (F.col("run_ts") == F.col("lf_ts")) & (F.col("exec_id") > F.col("lf_id")))
-    return (history.select(KEY, *ORDER).join(lf, KEY)
+    return (attach(history.select(KEY, *ORDER), lf, "n")
             .groupBy(KEY).agg(F.count_if(after).alias("time_since_last_failure")))
 
 
@@ -192,6 +208,11 @@ def default_features(candidates: DataFrame, history: DataFrame,
 
 
 def feature_matrix(history: DataFrame) -> DataFrame:
+    """E14 (train form), see ``_matrix``."""
+    return _matrix(history).drop("passed")
+
+
+def _matrix(history: DataFrame) -> DataFrame:
     """E14 (train form): per-test values broadcast onto every execution row.
 
     Mirrors the reference's training matrix: whole-history per-test values
@@ -202,12 +223,12 @@ def feature_matrix(history: DataFrame) -> DataFrame:
     per_test = per_test_features(history).select(
         KEY, "historical_failure_rate", "recent_failures", "avg_execution_time",
         "execution_time_variance", "code_change_frequency", "failure_streak",
-        "time_since_last_failure", "first_run_id")
+        "time_since_last_failure", "first_run_id", F.col("test_age").alias("_rows"))
     rows = history.select(KEY, "exec_id", "run_id", "passed", "lines_changed", "functions_changed",
                           "is_flaky", "coverage")
-    j = rows.join(per_test, KEY)
+    j = attach(rows, per_test, "_rows")
     return j.select(
-        KEY, "exec_id", "historical_failure_rate", "recent_failures", "avg_execution_time",
+        KEY, "exec_id", "passed", "historical_failure_rate", "recent_failures", "avg_execution_time",
         "execution_time_variance", "code_change_frequency", "lines_changed", "functions_changed",
         F.when((F.col("lines_changed") > 0) & ~F.col("passed"), 1.0).otherwise(0.0).alias("test_coupling"),
         F.col("is_flaky").cast("bigint").alias("is_flaky"),
@@ -219,9 +240,8 @@ def feature_matrix(history: DataFrame) -> DataFrame:
 
 def training_rows(history: DataFrame) -> DataFrame:
     """Feature matrix plus label (1 = failed), rows with any null dropped."""
-    m = feature_matrix(history)
-    labels = history.select("exec_id", F.when(F.col("passed"), 0).otherwise(1).cast("bigint").alias("label"))
-    return m.join(labels, "exec_id").dropna(subset=list(FEATURE_NAMES) + ["label"])
+    label = F.when(F.col("passed"), 0).otherwise(1).cast("bigint")
+    return _matrix(history).withColumn("label", label).drop("passed").dropna(subset=list(FEATURE_NAMES) + ["label"])
 
 
 def point_in_time_features(history: DataFrame) -> DataFrame:
@@ -233,10 +253,10 @@ def point_in_time_features(history: DataFrame) -> DataFrame:
     just before it (at most 10) and runs since the last earlier failure.
 
     No window per test: one global order (test, run_ts, exec_id) with a start
-    marker per test carries running sums (times in cents, so sums are exact
-    integers) and the positions of the last failure / pass / start before each
-    row; values at the start and 11 rows back are equi-join lookups on the
-    unique position.
+    marker per test carries running sums (times and coverage in thousandths, so
+    sums are exact integers), the sums at the test's start, and the positions of
+    the last failure / pass / start before each row; the value 11 rows back is an
+    equi-join lookup on the unique position.
     """
     failed = _failed()
     cents = (F.col("execution_time") * 100).cast("bigint")
@@ -255,13 +275,11 @@ def point_in_time_features(history: DataFrame) -> DataFrame:
         F.lit(False).alias("_ff"), F.lit(False).alias("_pf"), F.lit(True).alias("_sf"))
     order = [F.col(KEY), F.col("_t").asc_nulls_first(), F.col("_kind"), F.col("exec_id")]
     c = running_totals(real.unionByName(start), order, list(sums), with_index="_pos",
-                       last_before=["_ff", "_pf", "_sf"])
-    at_start = c.select(F.col("_pos").alias("_spos"), *[F.col(f"cum_{k}").alias(f"_s{k}") for k in sums])
+                       last_before=["_ff", "_pf", "_sf"], at_last={"_sf": list(sums)})
     back = c.select(F.col("_pos").alias("_bpos"), F.col("cum__f").alias("_bf"))
     rows = c.where(F.col("_kind") == 1)
-    j = (rows.join(at_start, F.col("prev__sf") == F.col("_spos"))
-         .join(back, F.greatest(F.col("_pos") - (RECENT_ROWS + 1), F.col("prev__sf")) == F.col("_bpos")))
-    prior = {k: F.col(f"cum_{k}") - F.col(k) - F.col(f"_s{k}") for k in sums}
+    j = rows.join(back, F.greatest(F.col("_pos") - (RECENT_ROWS + 1), F.col("prev__sf")) == F.col("_bpos"))
+    prior = {k: F.col(f"cum_{k}") - F.col(k) - F.col(f"_sf_{k}") for k in sums}
     n = prior["_one"]
     nd = n.cast("double")
     has = n > 0
@@ -297,26 +315,24 @@ def rolling_failures(history: DataFrame, rows: int = RECENT_ROWS) -> DataFrame:
 
     Skew-tolerant form of a per-test row frame: one global order (test, run_ts,
     exec_id) with a start marker per test, range partitioned, carries running
-    counts c (rows) and f (failures). For a row, rn = c - c(start) and the
-    result is f - f(row c - rows) when rn > rows, else f - f(start). The start
-    values come from a one-row-per-test table (broadcast by AQE when small,
-    skew-split when not); the earlier row is an equi-join on the unique c.
+    counts c (rows) and f (failures), and both as they were at the test's start.
+    For a row, rn = c - c(start) and the result is f - f(row c - rows) when rn >
+    rows, else f - f(start); the earlier row is an equi-join on the unique c.
     """
     real = history.select(KEY, F.col("run_ts").alias("_t"), F.lit(1).alias("_kind"),
                           F.col("exec_id").alias("_ref"), F.lit(1).alias("_one"),
-                          F.when(_failed(), 1).otherwise(0).alias("_fail"))
+                          F.when(_failed(), 1).otherwise(0).alias("_fail"), F.lit(False).alias("_sf"))
     start = history.select(KEY).distinct().select(
         KEY, F.lit(None).cast(history.schema["run_ts"].dataType).alias("_t"), F.lit(0).alias("_kind"),
-        F.lit(None).cast("bigint").alias("_ref"), F.lit(0).alias("_one"), F.lit(0).alias("_fail"))
+        F.lit(None).cast("bigint").alias("_ref"), F.lit(0).alias("_one"), F.lit(0).alias("_fail"), F.lit(True).alias("_sf"))
     c = running_totals(real.unionByName(start),
                        [F.col(KEY), F.col("_t").asc_nulls_first(), F.col("_kind"), F.col("_ref")],
-                       ["_one", "_fail"])
-    marks = c.where(F.col("_kind") == 0).select(KEY, F.col("cum__one").alias("c0"), F.col("cum__fail").alias("f0"))
-    body = c.where(F.col("_kind") == 1).select(KEY, F.col("_ref").alias("exec_id"),
-                                               F.col("cum__one").alias("c"), F.col("cum__fail").alias("f"))
+                       ["_one", "_fail"], at_last={"_sf": ["_one", "_fail"]})
+    body = c.where(F.col("_kind") == 1).select(
+        KEY, F.col("_ref").alias("exec_id"), F.col("cum__one").alias("c"), F.col("cum__fail").alias("f"),
+        F.col("_sf__one").alias("c0"), F.col("_sf__fail").alias("f0"))
     back = body.select(F.col("c").alias("c_back"), F.col("f").alias("f_back"))
-    j = (body.join(marks, KEY)
-         .join(back, F.col("c") - rows == F.col("c_back"), "left"))
+    j = body.join(back, F.col("c") - rows == F.col("c_back"), "left")
     earlier = F.when(F.col("c") - F.col("c0") > rows, F.col("f_back")).otherwise(F.col("f0"))
     return j.select(KEY, "exec_id", (F.col("f") - earlier).cast("bigint").alias("rolling_failures"))
 

@@ -5,10 +5,10 @@ event_id). L1, L3, L4 and L5 use no window partitioned by the key: they run
 over one range-partitioned global order (``operators/ordered.py``), so a key
 with a third of all events is still cut across many tasks, and every lookup is
 an equi-join on a unique id or position. L2 is order dependent in a way no
-prefix formula expresses (only admitted requests count), so it streams each
-key's sorted rows through a small state machine in ``mapInPandas``: rows are
-hash-partitioned by key and sorted inside partitions, so the function holds
-one key's recent admissions at a time, never a whole group.
+prefix formula expresses (only admitted requests count); it is cut at gaps of a
+whole window, where the state is empty, and streams each segment's sorted rows
+through a small state machine in ``mapInPandas``, which holds one segment's
+recent admissions at a time, never a whole group.
 """
 
 from __future__ import annotations
@@ -65,11 +65,12 @@ def _admit_batches(key: str, max_requests: int, win: int):
     def run(batches):
         current, admitted = object(), deque()
         for pdf in batches:
-            keys, uss, ids = pdf[key].tolist(), pdf["us"].tolist(), pdf["event_id"].tolist()
+            keys, segments = pdf[key].tolist(), pdf["_segment"].tolist()
+            uss, ids = pdf["us"].tolist(), pdf["event_id"].tolist()
             out = []
-            for k, us, eid in zip(keys, uss, ids):
-                if k != current:
-                    current, admitted = k, deque()
+            for k, segment, us, eid in zip(keys, segments, uss, ids):
+                if segment != current:
+                    current, admitted = segment, deque()
                 while admitted and us - admitted[0] >= win:
                     admitted.popleft()
                 ok = len(admitted) < max_requests
@@ -82,13 +83,35 @@ def _admit_batches(key: str, max_requests: int, win: int):
 
 def rate_admit(events: DataFrame, key: str, max_requests: int, window_seconds: int,
                partitions: int | None = None) -> DataFrame:
-    """L2: admission control; only admitted requests occupy the window."""
+    """L2: admission control; only admitted requests occupy the window.
+
+    At a request that comes a whole window or more after the key's one before, nothing is left in the window:
+    the state is empty, whatever was admitted. Requests are cut there into segments (numbered in one global order
+    (key, time, id), without a window per key), and only a segment is sequential: segments, not keys, are dealt over
+    the tasks. A segment of ``max_requests`` or fewer needs no state at all, so it is admitted whole.
+    """
     win = window_seconds * US_PER_SECOND
     n = partitions or int(events.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    e = (events.select(key, "event_id", epoch_us(F.col("ts")).alias("us"))
-         .repartition(n, key).sortWithinPartitions(key, "us", "event_id"))
+    e = events.select(key, "event_id", epoch_us(F.col("ts")).alias("us"))
+    # every request also stands a window later as a mark that opens a segment if no request lies in between
+    real = e.select(key, "us", F.lit(1).alias("_kind"), "event_id")
+    marks = e.select(key, (F.col("us") + F.lit(win)).alias("us"), F.lit(0).alias("_kind"), "event_id")
+    both = real.unionByName(marks).select(
+        "*", (F.col("_kind") == 1).cast("int").alias("_real"), (F.col("_kind") == 0).cast("int").alias("_mark"))
+    c = running_totals(both, [F.col(key), F.col("us"), F.col("_kind"), F.col("event_id")], ["_real", "_mark"])
+    # in the order (key, time) all earlier requests of a row have expired when as many marks as requests precede it
+    opened = c.where("_kind = 1").select(
+        key, "us", "event_id", ((F.col("cum__real") - 1) == F.col("cum__mark")).cast("int").alias("_opens"))
+    numbered = running_totals(opened, [F.col(key), F.col("us"), F.col("event_id")], ["_opens"]).select(
+        key, "us", "event_id", F.col("cum__opens").alias("_segment"))
+    sizes = numbered.groupBy("_segment").agg(F.count("*").alias("_size")).where(F.col("_size") > max_requests)
     schema = f"{key} {dict(events.dtypes)[key]}, event_id bigint, admitted boolean"
-    return e.mapInPandas(_admit_batches(key, max_requests, win), schema)
+    full = (numbered.join(sizes.select("_segment"), "_segment", "left_semi")
+            .repartition(n, "_segment").sortWithinPartitions("_segment", "us", "event_id")
+            .mapInPandas(_admit_batches(key, max_requests, win), schema))
+    free = numbered.join(sizes.select("_segment"), "_segment", "left_anti").select(
+        key, "event_id", F.lit(True).alias("admitted"))
+    return full.unionByName(free)
 
 
 # Event roles of the lockout state machine (fixed values)
@@ -113,25 +136,21 @@ def login_lockout(events: DataFrame, key: str, max_attempts: int = MAX_ATTEMPTS)
     """L4: wrong logins lock after ``max_attempts`` in a row; locked refuses all; reset unlocks.
 
     Without a window per key: in one global order (key, ts, event_id) with a
-    start marker per key acting as a reset, each row learns the position of
-    the last reset and the last right password before it; the streak of a
-    wrong password is the wrong count since the later of the two (a lookup on
-    the unique position). A second pass finds the last row that reached the
-    limit; a row is locked when that row lies inside its own epoch.
+    start marker per key acting as a reset, the streak of a wrong password is
+    the wrong count since the last reset or right password (a segmented prefix
+    sum, carried in the pass, without a join to the island's start). A second
+    pass finds the last row that reached the limit; a row is locked when that
+    row lies inside its own epoch.
     """
     is_reset = F.col("event_type") == PASSWORD_RESET
     is_wrong = F.col("event_type") == WRONG_PASSWORD
     u, order = _with_start_markers(events, key, {
-        "_reset": (is_reset, True), "_succ": (~is_reset & ~is_wrong, False),
-        "_wrong": (is_wrong.cast("int"), 0)})
-    c = running_totals(u, order, ["_wrong"], with_index="_pos", last_before=["_reset", "_succ"])
+        "_reset": (is_reset, True), "_ends": (~is_wrong, True), "_wrong": (is_wrong.cast("int"), 0)})
+    c = running_totals(u, order, ["_wrong"], with_index="_pos", last_before=["_reset"], at_last={"_ends": ["_wrong"]})
     epoch_start = F.when(F.col("_reset"), F.col("_pos")).otherwise(F.col("prev__reset"))
-    island_start = F.greatest(epoch_start, F.coalesce(F.col("prev__succ"), F.lit(0)))
-    c = c.select("*", epoch_start.alias("_epoch"), island_start.alias("_island"))
-    back = c.select(F.col("_pos").alias("_ipos"), F.col("cum__wrong").alias("_iwrong"))
-    s = c.join(back, F.col("_island") == F.col("_ipos"), "left")
-    streak = F.col("cum__wrong") - F.col("_iwrong")
-    s = s.select(*u.columns, "_epoch", ((F.col("_wrong") == 1) & (streak >= max_attempts)).alias("_lock"))
+    streak = F.col("cum__wrong") - F.col("_ends__wrong")
+    s = c.select(*u.columns, epoch_start.alias("_epoch"),
+                 ((F.col("_wrong") == 1) & (streak >= max_attempts)).alias("_lock"))
     c2 = running_totals(s, order, [], with_index="_pos2", last_before=["_lock"])
     locked_before = F.coalesce(F.col("prev__lock") >= F.col("_epoch"), F.lit(False))
     outcome = (F.when(F.col("_reset"), "reset").when(locked_before, "locked")

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from suitewise.operators import sequences as L
 from suitewise.operators.ordered import global_rank, running_totals
-from test_sequences import machine_lockout
+from suitewise.operators import features as E
+from test_sequences import brute_rate, machine_lockout
 
 
 def test_running_sums_ranks_and_last_flags(spark):
@@ -66,3 +67,61 @@ def test_hot_key_lockout_and_sessions(spark):
             state[user] = "out"
     got = {r["event_id"]: r["session_valid"] for r in L.session_validity(ev, "user_id").collect()}
     assert got == valid
+
+
+def test_sums_since_the_last_flag(spark):
+    """Segmented prefix sums, with segments that span many ranges and rows before any flag."""
+    rnd = random.Random(3)
+    rows = [(i, rnd.randint(0, 5), rnd.random() < 0.01, rnd.random() < 0.3) for i in range(4000)]
+    rows[0] = (0, 2, False, False)
+    df = spark.createDataFrame(rows, "o bigint, v bigint, f boolean, g boolean").repartition(7)
+    got = running_totals(df, [F.col("o")], ["v"], at_last={"f": ["v"], "g": ["v"]}).orderBy("o").collect()
+    total, last = 0, {"f": None, "g": None}
+    for r, (_, v, f, g) in zip(got, rows):
+        total += v
+        last = {"f": total if f else last["f"], "g": total if g else last["g"]}
+        assert (r["cum_v"], r["f_v"], r["g_v"]) == (total, last["f"], last["g"])
+
+
+def _rows_per_task(df) -> list[int]:
+    return [r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+
+
+def test_admission_of_a_hot_user_runs_in_many_tasks(spark):
+    rnd = random.Random(8)
+    t0 = dt.datetime(2024, 1, 1)
+    rows, clock = [], 0
+    for i in range(3000):
+        clock += rnd.choice([1, 2, 5, 61, 400])
+        rows.append((i, t0 + dt.timedelta(seconds=clock), 0 if i % 3 else rnd.randint(1, 5), "click"))
+    ev = spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string")
+    got = L.rate_admit(ev, "user_id", 3, 60)
+    assert {r["event_id"]: r["admitted"] for r in got.collect()} == brute_rate(rows, 3, 60, admit_only=True)
+    conf = "spark.sql.adaptive.enabled"
+    old = spark.conf.get(conf)
+    try:
+        spark.conf.set(conf, "false")  # as dealt, before small partitions are put together
+        tasks = _rows_per_task(L.rate_admit(ev.where("user_id = 0"), "user_id", 3, 60))
+    finally:
+        spark.conf.set(conf, old)
+    assert len(tasks) > 4 and max(tasks) < 0.5 * sum(tasks)
+
+
+def test_rows_of_a_hot_test_stay_in_their_tasks(spark):
+    """A third of the rows on one test, broadcast joins off: no task gets them all, and none is shuffled by test."""
+    h = spark.range(0, 6000, 1, 12).select(
+        F.when(F.col("id") % 3 == 0, "t::hot").otherwise(F.concat(F.lit("t::"), F.col("id").cast("string"))).alias(E.KEY), "id")
+    per_test = h.groupBy(E.KEY).agg(F.count("*").alias("n"), F.max("id").alias("top"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        out = E.attach(h, per_test, "n")
+        tasks = _rows_per_task(out.where(F.col(E.KEY) == "t::hot"))
+        got = {(r[E.KEY], r["id"]): r["top"] for r in out.collect()}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert len(tasks) == 12 and max(tasks) < 200
+    assert len(got) == 6000 and got["t::hot", 3] == 5997 and got["t::7", 7] == 7
