@@ -12,7 +12,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -108,6 +108,9 @@ def make_classifier(algorithm: str, n_rows: int | None = None, **params):
         reg = 1.0 / n_rows if n_rows else 0.0
         return LogisticRegression(regParam=reg, elasticNetParam=0.0, standardization=False,
                                   maxIter=1000, labelCol="label", featuresCol="features")
+    if algorithm == "linear_svc":  # gives a class, no probabilities
+        return LinearSVC(maxIter=params.get("max_iter", 100), regParam=params.get("reg_param", 0.01),
+                         labelCol="label", featuresCol="features")
     raise ValueError(f"Unknown algorithm: {algorithm}")
 
 
@@ -140,11 +143,13 @@ def fit(rows: DataFrame, algorithm: str = "random_forest", **params) -> Pipeline
     return make_pipeline(algorithm, n, **params).fit(rows)
 
 
-def failure_probability(model: PipelineModel, features: DataFrame) -> DataFrame:
-    """P(failed) per row; the class itself when the model gives no probabilities.
+def failure_probability(model: PipelineModel | None, features: DataFrame) -> DataFrame:
+    """P(failed) per row; the class itself when the model gives no probabilities; an untrained one raises.
 
     Every row is scored: a missing feature takes the default of a test without history (E21), or 0.
     """
+    if not isinstance(model, PipelineModel):
+        raise ValueError("Model not trained: fit or load one first")
     scored = model.transform(features.fillna({c: NEW_TEST_DEFAULTS.get(c, 0) for c in FEATURE_NAMES}))
     if "probability" in scored.columns:
         p = vector_to_array(F.col("probability"))[1]

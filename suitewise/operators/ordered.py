@@ -45,6 +45,7 @@ def running_totals(df: DataFrame, order: Sequence[Column], sums: Sequence[str],
     ``<flag>_<sum>`` is the running sum at the last row up to and including this
     one whose flag is true (NULL if none): the difference of the two is the sum
     since that row, a segmented prefix sum. Writes one checkpoint when called.
+    The names ``_range`` and ``_row`` are its own.
     """
     flags = list(last_before)
     carried = [(f, c) for f, cs in (at_last or {}).items() for c in cs]

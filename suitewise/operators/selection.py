@@ -247,6 +247,41 @@ def scenario_comparison(history: DataFrame, probabilities: DataFrame, scenario_i
     return rows.unionByName(avg)
 
 
+def scenario_selections(history: DataFrame, probabilities: DataFrame, scenario_impact: DataFrame, scenarios: DataFrame,
+                        min_tests: int = 5, max_tests: int = 100, min_score: float = DEFAULT_MIN_SCORE,
+                        time_budget: float | None = None, scenario: str = "scenario_id") -> DataFrame:
+    """The tests each change scenario selects, with rank and score; optionally under a time budget.
+
+    Impact only raises a score, so a test that a scenario does not touch and that is not among the first k of the
+    shared ranking at impact 0 (k = max(min_tests, max_tests)) has k tests before it in every scenario. So a scenario's
+    first k are merged from the k shared rows and the first k of its own impacted tests: no tests x scenarios rows,
+    at most 2 k rows a scenario. The running time is taken over these, and the rule of ``select_tests`` applied.
+    """
+    k = max(min_tests, max_tests)
+    comp = (per_test_features(history).select(KEY, "historical_failure_rate", "recent_failures",
+                                              F.col("avg_execution_time").alias("execution_time"))
+            .join(probabilities.select(KEY, F.col("failure_probability").alias("prob")), KEY, "left")
+            .withColumn("test_file", test_file_of(F.col(KEY))))
+    prob = F.coalesce(F.col("prob"), F.lit(0.0))
+    rate, recent = F.col("historical_failure_rate"), F.col("recent_failures")
+    shared = (comp.select(KEY, priority_expr(prob, F.lit(0.0), rate, recent).alias("priority_score"), "execution_time")
+              .orderBy(*ranking_order()).limit(k).withColumn("_one", F.lit(1)))
+    touched = scenario_impact.join(comp, "test_file").select(
+        scenario, KEY, priority_expr(prob, F.col("impact"), rate, recent).alias("priority_score"), "execution_time")
+    per_scenario = Window.partitionBy(scenario).orderBy(*ranking_order())
+    own = touched.withColumn("_n", F.row_number().over(per_scenario)).where(F.col("_n") <= k).drop("_n")
+    others = (scenarios.select(scenario).distinct().withColumn("_one", F.lit(1)).join(F.broadcast(shared), "_one").drop("_one")
+              .join(touched.select(scenario, KEY), [scenario, KEY], "left_anti"))  # at most k shared rows
+    merged = own.unionByName(others).select(
+        "*", F.row_number().over(per_scenario).cast("bigint").alias("rank"),
+        F.sum("execution_time").over(per_scenario.rowsBetween(Window.unboundedPreceding, 0)).alias("cum_time"))
+    keep = (F.col("rank") <= max_tests) & (F.col("priority_score") >= F.lit(min_score))
+    if time_budget:
+        keep = keep & (F.col("cum_time") <= F.lit(float(time_budget)))
+    return merged.where((F.col("rank") <= min_tests) | keep).select(
+        F.col(scenario).cast("string").alias("scenario"), "rank", KEY, "priority_score")
+
+
 def selection_backtest(history: DataFrame, impact: DataFrame, probability_fn,
                        min_tests: int = 5, max_tests: int = 100,
                        min_score: float = DEFAULT_MIN_SCORE) -> DataFrame:

@@ -86,8 +86,12 @@ def functions_removed(spark, sf_dir):
     return C.elements_removed(_latest(spark, sf_dir), "function")
 
 
-@register("functions_modified", with_ctes(["echg"], """
-SELECT file_path, name FROM echg WHERE kind = 'function' AND status = 'modified'"""))
+@register("functions_modified", with_ctes(["el"], """
+SELECT file_path, name FROM (
+  SELECT file_path, name, max(line_end - line_start) FILTER (WHERE version = 'old') AS old_span,
+    max(line_end - line_start) FILTER (WHERE version = 'new') AS new_span
+  FROM el WHERE kind = 'function' GROUP BY file_path, name) x
+WHERE old_span <> new_span"""))
 def functions_modified(spark, sf_dir):
     return C.elements_modified(_latest(spark, sf_dir), "function")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from suitewise.operators import features as E
@@ -9,6 +11,7 @@ from suitewise.operators import modeling as M
 from suitewise.plans.inputs import Inputs
 from suitewise.plans.oracle_fixtures import with_ctes
 from suitewise.plans.registry import register
+from suitewise.session import ensure_checkpoint_dir
 
 _COLS = E.FEATURE_NAMES
 
@@ -79,7 +82,7 @@ def _model_scores(spark, sf_dir, algorithm):
     i = Inputs(spark, sf_dir)
     rows = M._prepare(_train_rows(spark, sf_dir))
     model = M.fit(M.materialise(M.stratified_split(rows)).where(F.col("split") == "train"), algorithm)
-    feats = E.serving_features(i.model_history)
+    feats = E.serving_features(i.model_history, i.change_map)  # T8: the current change sizes of a test's file
     return M.failure_probability(model, feats).select(E.KEY, "failure_probability")
 
 
@@ -117,7 +120,18 @@ def cross_validation(spark, sf_dir):
 
 @register("failure_probability")
 def failure_probability(spark, sf_dir):
-    return rf_scores(spark, sf_dir)
+    """Scores of a stored logistic model, read back, and the classes of one without probabilities."""
+    i = Inputs(spark, sf_dir)
+    train = M.materialise(M.stratified_split(M._prepare(_train_rows(spark, sf_dir)))).where(F.col("split") == "train")
+    feats = E.serving_features(i.model_history, i.change_map)
+    out = None
+    for algorithm in ("logistic_regression", "linear_svc"):
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/models/{algorithm}-{uuid.uuid4().hex}"
+        M.save_model(M.fit(train, algorithm), path)
+        scored = M.failure_probability(M.load_model(path), feats).select(
+            F.lit(algorithm).alias("model"), E.KEY, "failure_probability", "prediction")
+        out = scored if out is None else out.unionByName(scored)
+    return out
 
 
 @register("batch_scores")
@@ -133,4 +147,5 @@ def batch_scores(spark, sf_dir):
 def select_tests_model(spark, sf_dir):
     from suitewise.plans.flagship import selection_plan
     probs = rf_scores(spark, sf_dir)
-    return selection_plan(spark, sf_dir, min_tests=5, max_tests=40, probabilities=probs)
+    return selection_plan(spark, sf_dir, min_tests=5, max_tests=40, probabilities=probs,
+                          history=Inputs(spark, sf_dir).model_history)

@@ -408,6 +408,36 @@ def scenario_comparison(spark, sf_dir):
     return r.select("scenario", "total_tests", "selected", F.round("reduction", 6).alias("reduction"))
 
 
+SCENARIO_BUDGET = 60.0  # seconds of tests per scenario
+
+
+def _scenario_tests_sql(budget: float | None) -> str:
+    head = _SCENARIO_SQL[:_SCENARIO_SQL.index("per AS (SELECT scenario_id AS scenario")]
+    within = f" AND cum_time <= {budget}" if budget else ""
+    return head + f"""st AS (SELECT sp.*, f.avg_execution_time AS t FROM sp JOIN ptf f USING (full_test_name)),
+rk AS (SELECT *, row_number() OVER w AS rank, sum(t) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum_time
+  FROM st WINDOW w AS (PARTITION BY scenario_id ORDER BY score DESC, full_test_name))
+SELECT scenario_id AS scenario, rank, full_test_name, score AS priority_score FROM rk
+WHERE rank <= 5 OR (rank <= 100 AND score >= 0.3{within})"""
+
+
+def _scenario_tests(spark, sf_dir, budget=None):
+    i = Inputs(spark, sf_dir)
+    sc = _scenarios(spark, sf_dir)
+    simp = D.impact_scores_by(i.mapping, i.imports, sc, ["scenario_id"])
+    return H.scenario_selections(i.history, i.scores, simp, sc, time_budget=budget)
+
+
+@register("scenario_selections", _scenario_tests_sql(None))
+def scenario_selections(spark, sf_dir):
+    return _scenario_tests(spark, sf_dir)
+
+
+@register("scenario_selections_budget", _scenario_tests_sql(SCENARIO_BUDGET))
+def scenario_selections_budget(spark, sf_dir):
+    return _scenario_tests(spark, sf_dir, SCENARIO_BUDGET)
+
+
 def _backtest_sql() -> str:
     import re
 

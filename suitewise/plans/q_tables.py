@@ -73,6 +73,30 @@ def tbl_update(spark, sf_dir):
     return K.update_fields(_base(spark, sf_dir), feed, ["balance", "segment"], ["ts", "event_id"])
 
 
+_LAST_SQL = f"(SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq DESC) AS back FROM {_INSERTED_SQL} t)"
+
+
+@register("tbl_update_last", f"""
+SELECT l.id, l.name, coalesce(CASE WHEN back = 1 THEN p.v END, l.balance) AS balance, l.segment, l.seq
+FROM {_LAST_SQL} l
+LEFT JOIN (SELECT user_id AS id, value AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id
+    ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE event_type = 'purchase') x WHERE rn = 1) p USING (id)""")
+def tbl_update_last(spark, sf_dir):
+    feed = _events(spark, sf_dir).where(F.col("event_type") == "purchase").select(
+        F.col("user_id").alias("id"), "ts", "event_id", F.col("value").alias("balance"))
+    return K.update_last(_inserted(spark, sf_dir), feed, ["balance"], ["ts", "event_id"])
+
+
+@register("tbl_delete_last", f"""
+SELECT l.id, l.name, l.balance, l.segment, l.seq
+FROM {_LAST_SQL} l LEFT JOIN (SELECT user_id AS id, count(*) AS n FROM events WHERE event_type = 'error'
+  AND event_id % 3 = 0 GROUP BY user_id) d USING (id)
+WHERE back > coalesce(n, 0)""")
+def tbl_delete_last(spark, sf_dir):
+    requests = _events(spark, sf_dir).where((F.col("event_type") == "error") & (F.col("event_id") % 3 == 0)).select("user_id")
+    return K.delete_last(_inserted(spark, sf_dir), requests)
+
+
 @register("tbl_delete", f"""
 SELECT * FROM {_BASE_SQL} b WHERE id NOT IN (SELECT user_id FROM events WHERE event_type = 'error')""")
 def tbl_delete(spark, sf_dir):

@@ -74,3 +74,16 @@ def test_train_score_save_load(spark):
 def test_missing_model_raises():
     with pytest.raises(FileNotFoundError):
         M.load_model("/tmp/suitewise-no-such-model")
+
+
+def test_untrained_model_raises_and_classes_stand_in_for_probabilities(spark):
+    rows = [(f"t::{i}", i, *[float((i * (k + 3)) % 7) for k in range(len(E.FEATURE_NAMES))], float(i % 2)) for i in range(80)]
+    df = spark.createDataFrame(rows, ", ".join([f"{E.KEY} string", "exec_id bigint", *[f"{c} double" for c in E.FEATURE_NAMES],
+                                                "label double"]))
+    with pytest.raises(ValueError, match="not trained"):
+        M.failure_probability(None, df)
+    with pytest.raises(ValueError, match="not trained"):
+        M.failure_probability(M.make_pipeline("logistic_regression"), df)
+    scored = M.failure_probability(M.fit(df, "linear_svc"), df).collect()
+    assert len(scored) == 80 and {r["failure_probability"] for r in scored} <= {0.0, 1.0}
+    assert all(r["failure_probability"] == r["prediction"] for r in scored)

@@ -113,3 +113,23 @@ def test_no_detected_change_gives_empty_selection(spark):
     some = spark.createDataFrame([("src/a.py",)], "file_path string")
     assert H.gate_on_changes(sel, none).count() == 0
     assert H.gate_on_changes(sel, some).count() == 4
+
+
+def test_scenario_selections_equal_a_full_ranking_per_scenario(spark, make_history):
+    import random
+    rnd = random.Random(6)
+    tests = {f"tests/m{i % 9}.py::t{i}": [rnd.random() < 0.7 for _ in range(rnd.randint(1, 12))] for i in range(60)}
+    h = make_history(tests)
+    probs = spark.createDataFrame([(t, rnd.random()) for t in list(tests)[::2]], "full_test_name string, failure_probability double")
+    scenarios = spark.createDataFrame([(s, "f") for s in "ABC"], "scenario_id string, file_path string")
+    impact = spark.createDataFrame([("A", f"tests/m{i}.py", 1.0) for i in range(9)] + [("B", "tests/m3.py", 0.5)],
+                                   "scenario_id string, test_file string, impact double")
+    for budget in (None, 2.5):
+        got = {}
+        for r in H.scenario_selections(h, probs, impact, scenarios, 3, 10, 0.2, budget).collect():
+            got.setdefault(r["scenario"], []).append((r["rank"], r["full_test_name"], round(r["priority_score"], 9)))
+        for s in "ABC":
+            own = impact.where(f"scenario_id = '{s}'").select("test_file", "impact")
+            sel = H.select_tests(H.priority_scores(h, probs, own), 3, 10, 0.2, budget)
+            want = [(r["rank"], r["full_test_name"], round(r["priority_score"], 9)) for r in sel.collect()]
+            assert sorted(got[s]) == sorted(want), (s, budget)

@@ -36,6 +36,22 @@ def test_update_delete_filter_count(spark):
     assert K.count_rows(t).collect()[0][0] == 3
 
 
+def test_update_and_delete_reach_the_last_inserted_of_equal_ids(spark):
+    rows = [(1, "a", 1, 1), (2, "b", 2, 2), (1, "c", 3, 3), (1, "d", 4, 4), (3, "e", 5, 5), (None, "f", 6, 6)]
+    t = spark.createDataFrame(rows, SCHEMA)
+    feed = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 20, 3), (9, 90, 4)], "id bigint, age bigint, pos bigint")
+    got = {r["name"]: r["age"] for r in K.update_last(t, feed, ["age"], ["pos"]).collect()}
+    assert got == {"a": 1, "b": 20, "c": 3, "d": 11, "e": 5, "f": 6}
+    requests = spark.createDataFrame([(1,), (1,), (2,), (2,), (9,)], "id bigint")
+    assert sorted(r["name"] for r in K.delete_last(t, requests).collect()) == ["a", "e", "f"]
+
+
+def test_inserting_twice_goes_on_counting(spark):
+    new = spark.createDataFrame([(None, "Dan", 40, 1), (2, "Bob2", 26, 2)], "id bigint, name string, age bigint, pos bigint")
+    t = K.insert_rows(K.insert_rows(base(spark), new, [F.col("pos")]), new, [F.col("pos")])
+    assert sorted((r["seq"], r["id"]) for r in t.collect() if r["seq"]) == [(1, 4), (2, 2), (3, 6), (4, 2)]
+
+
 def test_create_count_and_json_round_trip(spark):
     folder = tempfile.mkdtemp(prefix="suitewise-test-", dir="/tmp")
     path = f"{folder}/users"
