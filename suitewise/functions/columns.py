@@ -79,6 +79,31 @@ def flatten_struct(df: DataFrame, col: str, sep: str = ".") -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != col], *leaves)
 
 
+def flatten_json(df: DataFrame, col: str, out: str = "flat", sep: str = ".") -> DataFrame:
+    """J7 on JSON records of unknown keys: ``out``, the leaves as array<struct<key, value>>.
+
+    Keys are the joined paths in key order, values JSON text; arrays and nulls are leaves, an empty object has none.
+    Text that is no JSON object gives NULL. Objects are opened a level at a time through VARIANT; one look for an
+    object that is left (not at the rows) ends it, so no depth is assumed. When two paths join to one key, as
+    ``{"a": {"b": 1}, "a.b": 2}``, the later in key order stays.
+    """
+    entries = f"map_entries(try_cast(try_parse_json(`{col}`) AS map<string, variant>))"
+    spread = df.withColumn(out, F.expr(entries))
+    inner = (f"transform(map_entries(cast(e.value AS map<string, variant>)), "
+             f"x -> struct(concat(e.key, {_quoted(sep)}, x.key) AS key, x.value AS value))")
+    is_object = "schema_of_variant(e.value) LIKE 'OBJECT<%'"
+    while not spread.where(F.expr(f"exists(`{out}`, e -> {is_object})")).isEmpty():
+        spread = spread.withColumn(out, F.expr(
+            f"flatten(transform(`{out}`, e -> CASE WHEN {is_object} THEN {inner} ELSE array(struct(e.key AS key, e.value AS value)) END))"))
+    last = (f"filter(`{out}`, (e, i) -> NOT exists(slice(`{out}`, i + 2, greatest(size(`{out}`) - i - 1, 0)), "
+            f"f -> f.key = e.key))")
+    return spread.withColumn(out, F.expr(f"transform({last}, e -> struct(e.key AS key, to_json(e.value) AS value))"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def merge_maps(*maps) -> Column:
     """Later maps win on equal keys (no reliance on the dedup policy)."""
     cols = [_c(m) for m in maps]

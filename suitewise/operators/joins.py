@@ -1,41 +1,73 @@
 """Theta joins turned into equi-joins.
 
-``contains`` and ``endswith`` matches cannot use a hash or sort-merge join.
-Instead of a nested-loop (cross) join or broadcasting a side of unknown size,
-each distinct left string is exploded into exactly the substrings (or
-suffixes) whose lengths occur on the right, and those are joined on
-``(length, text)``. The work per left string is bounded by its length times
-the number of distinct right lengths; the result is exact.
+``contains`` and ``endswith`` matches cannot use a hash or sort-merge join, and a
+nested-loop (cross) join or a broadcast of a side of unknown size do not scale.
+
+* ``contains``: a q-gram index. Every left string is exploded into its distinct
+  runs of ``Q`` characters (and of fewer, where a pattern is shorter): rows linear
+  in its length. A pattern is looked up by only one of its runs, the one that
+  occurs in the fewest left strings, and the candidates are verified.
+* ``endswith``: every left string is exploded into the suffixes whose lengths
+  occur on the right, joined on ``(length, text)``.
+
+Both are exact. An empty pattern is contained in every string and ends it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+Q = 3
+
+
 def _keys(right: DataFrame, rcol: str) -> DataFrame:
-    """Distinct non-empty right values with their lengths (computed once, reused)."""
+    """Distinct right values with their lengths."""
     return (right.select(F.length(rcol).alias("_len"), F.col(rcol).alias("_piece"))
-            .where(F.col("_len") > 0).distinct())
+            .where(F.col("_piece").isNotNull()).distinct())
+
+
+def _values(left: DataFrame, lcol: str) -> DataFrame:
+    return left.select(F.col(lcol).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+
 
+def _grams(text: Column, q: Column) -> Column:
+    """The distinct runs of ``q`` characters of a text."""
+    last = F.length(text) - q + 1
+    runs = F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(text, i, q))
+    return F.when(last >= 1, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
 
-def _lengths(keys: DataFrame) -> DataFrame:
-    return keys.select("_len").distinct()
+
+def _contained(vals: DataFrame, keys: DataFrame) -> DataFrame:
+    """Distinct (_v, _piece) with ``_piece`` inside ``_v``."""
+    q = F.least(F.col("_len"), F.lit(Q))
+    pieces = keys.where(F.col("_len") > 0).select("_piece", q.alias("_q"), F.explode(_grams(F.col("_piece"), q)).alias("_gram"))
+    lengths = F.broadcast(pieces.select("_q").distinct())  # at most Q
+    index = vals.withColumn("_q", F.explode(F.sequence(F.lit(1), F.lit(Q)))).join(lengths, "_q").select(
+        "_v", F.explode(_grams(F.col("_v"), F.col("_q"))).alias("_gram"))
+    often = index.join(pieces.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_df"))
+    rarest = pieces.join(often, "_gram", "left").groupBy("_piece").agg(
+        F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"))
+    found = index.join(rarest, "_gram").where(F.contains(F.col("_v"), F.col("_piece"))).select("_v", "_piece")
+    return found.unionByName(_with_empty(vals, keys))
+
+
+def _with_empty(vals: DataFrame, keys: DataFrame) -> DataFrame:
+    """Every value with the empty pattern, if there is one (a table of at most one row)."""
+    empty = F.broadcast(keys.where(F.col("_len") == 0))
+    return vals.withColumn("_len", F.lit(0)).join(empty, "_len").select("_v", "_piece")
 
 
 def _matched_values(left: DataFrame, lcol: str, right: DataFrame, rcol: str, suffix: bool) -> DataFrame:
-    vals = left.select(F.col(lcol).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    keys = _keys(right, rcol)
+    vals, keys = _values(left, lcol), _keys(right, rcol)
+    if not suffix:
+        return _contained(vals, keys).select("_v").distinct()
     cand = vals.select("_v", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_v"), F.lit(1))))
-                       .alias("_len")).join(_lengths(keys), "_len")
-    if suffix:
-        pieces = cand.select("_v", "_len", F.expr("substring(_v, -_len, _len)").alias("_piece"))
-    else:
-        starts = cand.select("_v", "_len", F.explode(
-            F.sequence(F.lit(1), F.length("_v") - F.col("_len") + 1)).alias("_start"))
-        pieces = starts.select("_v", "_len", F.expr("substring(_v, _start, _len)").alias("_piece"))
-    return pieces.join(keys, ["_len", "_piece"], "left_semi").select("_v").distinct()
+                       .alias("_len")).join(keys.select("_len").distinct(), "_len")
+    pieces = cand.select("_v", "_len", F.expr("substring(_v, -_len, _len)").alias("_piece"))
+    hits = pieces.join(keys.where(F.col("_len") > 0), ["_len", "_piece"], "left_semi").select("_v")
+    return hits.unionByName(_with_empty(vals, keys).select("_v")).distinct()
 
 
 def _theta_semi(left: DataFrame, lcol: str, right: DataFrame, rcol: str, suffix: bool,
@@ -45,7 +77,7 @@ def _theta_semi(left: DataFrame, lcol: str, right: DataFrame, rcol: str, suffix:
 
 
 def contains_semi_join(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> DataFrame:
-    """Rows of ``left`` whose ``lcol`` contains some non-empty ``right.rcol``."""
+    """Rows of ``left`` whose ``lcol`` contains some ``right.rcol``."""
     return _theta_semi(left, lcol, right, rcol, suffix=False, anti=False)
 
 
@@ -55,12 +87,12 @@ def within_semi_join(left: DataFrame, lcol: str, right: DataFrame, rcol: str) ->
     vals = left.select(F.col(lcol).alias("_v")).where(F.col("_v").isNotNull()).distinct()
     heads = vals.select("_v", F.explode(F.transform(
         F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "."))).alias("_piece"))
-    hits = heads.join(_keys(right, rcol), "_piece", "left_semi").select("_v").distinct()
+    hits = heads.join(_keys(right, rcol).where(F.col("_len") > 0), "_piece", "left_semi").select("_v").distinct()
     return left.join(hits, left[lcol] == hits["_v"], "left_semi")
 
 
 def endswith_semi_join(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> DataFrame:
-    """Rows of ``left`` whose ``lcol`` ends with some non-empty ``right.rcol``."""
+    """Rows of ``left`` whose ``lcol`` ends with some ``right.rcol``."""
     return _theta_semi(left, lcol, right, rcol, suffix=True, anti=False)
 
 
@@ -78,14 +110,6 @@ def endswith_flag(left: DataFrame, lcol: str, right: DataFrame, rcol: str, flag:
 def contains_pairs(left: DataFrame, lcol: str, right: DataFrame, rcol: str) -> DataFrame:
     """Distinct (left value, right value) pairs where the right value occurs inside the left one.
 
-    Output columns ``_v`` (left) and ``_piece`` (right). Same exploded equi-join
-    as ``contains_semi_join``, keeping which right value matched.
+    Output columns ``_v`` (left) and ``_piece`` (right), as in ``contains_semi_join``.
     """
-    vals = left.select(F.col(lcol).alias("_v")).where(F.col("_v").isNotNull()).distinct()
-    keys = _keys(right, rcol)
-    cand = vals.select("_v", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_v"), F.lit(1))))
-                       .alias("_len")).join(_lengths(keys), "_len")
-    starts = cand.select("_v", "_len", F.explode(
-        F.sequence(F.lit(1), F.length("_v") - F.col("_len") + 1)).alias("_start"))
-    pieces = starts.select("_v", "_len", F.expr("substring(_v, _start, _len)").alias("_piece"))
-    return pieces.join(keys, ["_len", "_piece"]).select("_v", "_piece").distinct()
+    return _contained(_values(left, lcol), _keys(right, rcol))

@@ -102,6 +102,24 @@ def fn_flatten(spark, sf_dir):
     return J.flatten_struct(nested, "rec", sep=".")
 
 
+@register("fn_flatten_json", """
+SELECT event_id, key, value FROM (
+  SELECT event_id, 'at/user' AS key, CAST(user_id AS VARCHAR) AS value FROM events
+  UNION ALL SELECT event_id, 'at/what/kind', '"' || event_type || '"' FROM events
+  UNION ALL SELECT event_id, 'at/what/list', '[' || CAST(event_id AS VARCHAR) || ',{"deep":1}]' FROM events
+  UNION ALL SELECT event_id, 'props/' || k, json_extract(props, '$."' || k || '"')::VARCHAR
+    FROM (SELECT event_id, props, unnest(json_keys(props)) AS k FROM events) p
+  UNION ALL SELECT event_id, 'none', 'null' FROM events) x""")
+def fn_flatten_json(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", "event_id", "user_id", "event_type", "props")
+    nested = e.select("event_id", F.concat(
+        F.lit('{"at":{"user":'), F.col("user_id").cast("string"), F.lit(',"what":{"kind":"'), F.col("event_type"),
+        F.lit('","list":['), F.col("event_id").cast("string"), F.lit(',{"deep":1}]}},"empty":{},"none":null,"props":'),
+        F.col("props"), F.lit("}")).alias("json"))
+    flat = J.flatten_json(nested, "json", "flat", sep="/")
+    return flat.select("event_id", F.explode("flat").alias("f")).select("event_id", "f.key", "f.value")
+
+
 @register("fn_merge", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
   array_to_string(list_transform(list_sort(map_entries(map_concat(

@@ -105,3 +105,12 @@ def test_response_json(spark):
     df = spark.sql("SELECT 200 AS s, named_struct('id', 1) AS d, map('k', 'v') AS h")
     assert df.select(J.response_json("s", "d", "h")).collect()[0][0] == \
         '{"status_code":200,"data":{"id":1},"headers":{"k":"v"}}'
+
+
+def test_flatten_json_of_unknown_keys(spark):
+    rows = [(1, '{"a": {"b": {"c": 1}, "e": {}}, "d": [{"x": 1}], "n": null}'), (2, "[1]"), (3, "bad"), (4, None), (5, "{}"),
+            (6, '{"a": {"b": 1}, "a::b": 2, "z \'q": "s"}')]
+    got = {r["id"]: r["flat"] and [tuple(x) for x in r["flat"]]
+           for r in J.flatten_json(spark.createDataFrame(rows, "id int, j string"), "j", sep="::").collect()}
+    assert got == {1: [("a::b::c", "1"), ("d", '[{"x":1}]'), ("n", "null")], 2: None, 3: None, 4: None, 5: [],
+                   6: [("a::b", "2"), ("z 'q", '"s"')]}

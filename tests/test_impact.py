@@ -80,3 +80,20 @@ def test_changed_file_list_keeps_files_without_a_diff(spark):
     stats = spark.createDataFrame([("a.py", 3, 1)], "file_path string, lines_added bigint, lines_removed bigint")
     rows = {tuple(r) for r in D.changed_file_list(changed, stats).collect()}
     assert rows == {("a.py", 3, 1), ("b.py", 0, 0)}
+
+
+def test_contains_index_against_brute_force(spark):
+    import random
+
+    from suitewise.operators import joins
+    rnd = random.Random(2)
+    names = ["".join(rnd.choice("abé.") for _ in range(rnd.randint(0, 14))) for _ in range(120)] + [None, "x" * 300]
+    pats = ["".join(rnd.choice("abé.") for _ in range(rnd.randint(1, 6))) for _ in range(40)] + ["zzz", None, "x" * 301]
+    left = spark.createDataFrame([(n,) for n in names], "v string")
+    for some in (pats, [*pats, ""]):
+        right = spark.createDataFrame([(p,) for p in some], "p string")
+        pairs = {(n, p) for n in names if n is not None for p in some if p is not None and p in n}
+        assert {(r["_v"], r["_piece"]) for r in joins.contains_pairs(left, "v", right, "p").collect()} == pairs
+        assert {r["v"] for r in joins.contains_semi_join(left, "v", right, "p").collect()} == {n for n, _ in pairs}
+        ends = {n for n in names if n is not None and any(n.endswith(p) for p in some if p is not None)}
+        assert {r["v"] for r in joins.endswith_semi_join(left, "v", right, "p").collect()} == ends
