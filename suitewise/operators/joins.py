@@ -42,32 +42,24 @@ def _grams(text: Column, q: Column) -> Column:
 def _contained(vals: DataFrame, keys: DataFrame) -> DataFrame:
     """Distinct (_v, _piece) with ``_piece`` inside ``_v``."""
     q = F.least(F.col("_len"), F.lit(Q))
-    pieces = keys.where(F.col("_len") > 0).select("_piece", q.alias("_q"), F.explode(_grams(F.col("_piece"), q)).alias("_gram"))
-    lengths = F.broadcast(pieces.select("_q").distinct())  # at most Q
-    index = vals.withColumn("_q", F.explode(F.sequence(F.lit(1), F.lit(Q)))).join(lengths, "_q").select(
+    pieces = keys.select("_piece", q.alias("_q"), F.explode(_grams(F.col("_piece"), q)).alias("_gram"))
+    lengths = F.broadcast(pieces.select("_q").distinct())  # at most Q + 1; the run of no characters is in every string
+    index = vals.withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(Q)))).join(lengths, "_q").select(
         "_v", F.explode(_grams(F.col("_v"), F.col("_q"))).alias("_gram"))
     often = index.join(pieces.select("_gram").distinct(), "_gram", "left_semi").groupBy("_gram").agg(F.count("*").alias("_df"))
     rarest = pieces.join(often, "_gram", "left").groupBy("_piece").agg(
         F.min_by("_gram", F.struct(F.coalesce("_df", F.lit(0)), "_gram")).alias("_gram"))
-    found = index.join(rarest, "_gram").where(F.contains(F.col("_v"), F.col("_piece"))).select("_v", "_piece")
-    return found.unionByName(_with_empty(vals, keys))
-
-
-def _with_empty(vals: DataFrame, keys: DataFrame) -> DataFrame:
-    """Every value with the empty pattern, if there is one (a table of at most one row)."""
-    empty = F.broadcast(keys.where(F.col("_len") == 0))
-    return vals.withColumn("_len", F.lit(0)).join(empty, "_len").select("_v", "_piece")
+    return index.join(rarest, "_gram").where(F.contains(F.col("_v"), F.col("_piece"))).select("_v", "_piece")
 
 
 def _matched_values(left: DataFrame, lcol: str, right: DataFrame, rcol: str, suffix: bool) -> DataFrame:
     vals, keys = _values(left, lcol), _keys(right, rcol)
     if not suffix:
         return _contained(vals, keys).select("_v").distinct()
-    cand = vals.select("_v", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_v"), F.lit(1))))
-                       .alias("_len")).join(keys.select("_len").distinct(), "_len")
+    cand = vals.select("_v", F.explode(F.sequence(F.lit(0), F.length("_v"))).alias("_len")).join(
+        keys.select("_len").distinct(), "_len")
     pieces = cand.select("_v", "_len", F.expr("substring(_v, -_len, _len)").alias("_piece"))
-    hits = pieces.join(keys.where(F.col("_len") > 0), ["_len", "_piece"], "left_semi").select("_v")
-    return hits.unionByName(_with_empty(vals, keys).select("_v")).distinct()
+    return pieces.join(keys, ["_len", "_piece"], "left_semi").select("_v").distinct()
 
 
 def _theta_semi(left: DataFrame, lcol: str, right: DataFrame, rcol: str, suffix: bool,
