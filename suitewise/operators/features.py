@@ -253,7 +253,7 @@ def point_in_time_features(history: DataFrame) -> DataFrame:
     just before it (at most 10) and runs since the last earlier failure.
 
     No window per test: one global order (test, run_ts, exec_id) with a start
-    marker per test carries running sums (times and coverage in thousandths, so
+    marker per test carries running sums (times and coverage in hundredths, so
     sums are exact integers), the sums at the test's start, and the positions of
     the last failure / pass / start before each row; the value 11 rows back is an
     equi-join lookup on the unique position.

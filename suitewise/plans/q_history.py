@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 
 from suitewise.operators import catalog as A
 from suitewise.operators import features as E
 from suitewise.plans.inputs import Inputs
 from suitewise.plans.oracle_fixtures import with_ctes
 from suitewise.plans.registry import register
+from suitewise.session import ensure_checkpoint_dir
+from suitewise.sources.history import read_history, write_history
 
 
 @register("history_scan", with_ctes(["th"], "SELECT * FROM th"))
@@ -15,6 +19,16 @@ def history_scan(spark, sf_dir):
     return Inputs(spark, sf_dir).history
 
 
+@register("history_read", with_ctes(["th"], """
+SELECT * REPLACE (CAST(execution_time AS DECIMAL(12,3)) AS execution_time, CAST(coverage AS DECIMAL(5,3)) AS coverage)
+FROM th"""))
+def history_read(spark, sf_dir):
+    """The history written as a table (A2) and read back by name (A1)."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/history-{uuid.uuid4().hex}"
+    write_history(Inputs(spark, sf_dir).history, path)
+    return read_history(spark, path)
+
+
 @register("history_metadata", with_ctes(["th"], """
 SELECT count(DISTINCT run_id) AS num_runs, count(DISTINCT full_test_name) AS num_tests,
   count(DISTINCT test_file) AS num_test_files, count(DISTINCT source_file) AS num_source_files,
