@@ -57,3 +57,10 @@ def test_mixing_keeps_clean_documents_left_out_of_the_fit(spark, monkeypatch):
 def test_stage_names_and_oracle():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "repeats", "mixing", "encoding"]
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_an_empty_table_passes_through_every_stage(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(f"{tmp_path}/labels.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "intact"] and out.collect() == []
