@@ -4,14 +4,18 @@ A document's words are scored by the counts of all *other* documents: a word has
 log(count(context word) / count(context)) for the longest context seen elsewhere,
 each step back costs log(``ALPHA``), a word never seen elsewhere counts as seen once.
 
-Plan: documents are dealt into blocks of about ``BLOCK_BYTES``. A block explodes its
-n-grams, adds them up and sends each hash partition one row with its distinct
-n-grams and counts. A partition of the count table adds the rows of all blocks and
-answers every row with the totals of its n-grams, in the same order. Back at the
-block the totals are joined to the n-grams of each document, the document's own
-counts are taken off, and the scores are summed per document. One row stands for
-many n-grams, since a row for each would be several times the input; hot n-grams
-occur once per block, and partitions are even because they cut the hash range.
+Plan: documents are dealt into blocks of about ``BLOCK_BYTES``. Most n-grams occur in one
+block alone, where their count is known, so a block first explodes its n-grams and sends
+each hash partition the rising top bits of the hashes, so many that about one value in ten at
+most meets another by chance at any size of the corpus; the partition answers with a bit for
+each, whether another block has it too. Only those n-grams follow with their whole hashes and
+counts. A partition of the count table adds the rows of all blocks and answers every row
+with the totals of its n-grams, in the same order. Back at the block the totals are joined
+to the n-grams of each document, the document's own counts are taken off, and the scores
+are summed per document. One row stands for many n-grams, since a row for each would be
+several times the input; hot n-grams occur once per block, and partitions are even because
+they cut the hash range. The first exchange changes nothing but the bytes sent: an n-gram
+of two blocks has equal top bits in both.
 
 Edge cases: null or wordless texts have no words and score 0; the first words of a
 text have shorter contexts; texts of any length are scored whole; rows with equal
@@ -79,18 +83,40 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
 
 
-def _packed(grams: np.ndarray) -> bytes:
-    """Rising hashes as the first of them and the gaps, in as few bytes each as they need."""
-    gaps = np.diff(grams)
-    size = next(s for s in range(1, 9) if s == 8 or not len(gaps) or int(gaps.max()) < 1 << 8 * s)
-    return bytes([size]) + grams[:1].tobytes() + gaps.view(np.uint8).reshape(-1, 8)[:, :size].tobytes()
+def _packed(values: np.ndarray) -> bytes:
+    """Rising numbers in about 2 + log2(span / count) bits each: low bits as they are, the rest as gaps in unary."""
+    n, first = len(values), values[:1]
+    rest = values - first
+    low = max(0, int(rest[-1]).bit_length() - n.bit_length())
+    octets = rest.astype("<u8").view(np.uint8).reshape(n, 8)
+    whole, bits = low >> 3, low & 7
+    high = (rest >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    unary = np.zeros(int(high[-1]) + 1, np.uint8)
+    unary[high] = 1
+    tail = np.unpackbits(octets[:, whole:whole + 1], axis=1, bitorder="little")[:, :bits] if bits else octets[:0]
+    return b"".join((bytes([low]), np.array([n], "<u8").tobytes(), first.astype("<u8").tobytes(),
+                     octets[:, :whole].tobytes(), np.packbits(tail).tobytes(), np.packbits(unary).tobytes()))
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    size = raw[0]
-    gaps = np.zeros((len(raw) - 9) // size * 8, np.uint8).reshape(-1, 8)
-    gaps[:, :size] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, size)
-    return np.cumsum(np.r_[np.frombuffer(raw, np.uint64, 1, 1), gaps.reshape(-1).view(np.uint64)], dtype=np.uint64)
+    low, (n, first) = raw[0], np.frombuffer(raw, "<u8", 2, 1)
+    n, whole, bits = int(n), low >> 3, low & 7
+    octets = np.zeros((n, 8), np.uint8)
+    octets[:, :whole] = np.frombuffer(raw, np.uint8, n * whole, 17).reshape(n, whole)
+    at = 17 + n * whole
+    size = -(-n * bits // 8)
+    if bits:
+        tail = np.unpackbits(np.frombuffer(raw, np.uint8, size, at), count=n * bits).reshape(n, bits)
+        octets[:, whole] = np.packbits(tail, axis=1, bitorder="little")[:, 0]
+    high = np.flatnonzero(np.unpackbits(np.frombuffer(raw, np.uint8, offset=at + size))) - np.arange(n)
+    return (octets.reshape(-1).view("<u8") | high.astype(np.uint64) << np.uint64(low)) + first
+
+
+def _tops(own: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct top bits of rising hashes, and the place of each hash among them."""
+    top = own >> np.uint64(64 - bits)
+    new = np.r_[np.ones(min(1, len(top)), bool), top[1:] != top[:-1]]
+    return top[new], np.cumsum(new) - 1
 
 
 def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
@@ -103,18 +129,54 @@ def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", F.substring("text", 1, 64)), F.lit(blocks)).alias("block"),
                         "doc_id", "text")
     edges = np.array([(p << 64) // parts for p in range(1, parts)], np.uint64)
+    bits = max(8, int(total).bit_length())  # more values than there are n-grams of a length
+
+    def cuts(own):
+        """(part, from, to) of the rising hashes."""
+        at = [0, *np.searchsorted(own, edges, side="left").tolist(), len(own)]
+        return [(p, a, b) for p, (a, b) in enumerate(zip(at, at[1:])) if a < b]
+
+    def rows_of(rows, names):
+        return pa.table({c: pa.array([r[i] for r in rows], pa.int64() if c in ("part", "block", "n") else pa.binary())
+                         for i, c in enumerate(names)})
+
+    def announce(key, table):
+        rows = []
+        for n, h in enumerate(ngrams(_text(table), order)[1], 1):
+            own = np.unique(h)
+            rows += [(p, key[0].as_py(), n, _packed(_tops(own[a:b], bits)[0])) for p, a, b in cuts(own)]
+        return rows_of(rows, ("part", "block", "n", "tops"))
+
+    def mark(key, table):
+        n_of, tops = table["n"].to_numpy(), [_unpacked(t) for t in table["tops"].to_pylist()]
+        seen = [b""] * len(tops)
+        for n in range(1, order + 1):
+            rows = np.flatnonzero(n_of == n)
+            if len(rows):
+                _, at, blocks_of = np.unique(np.concatenate([tops[i] for i in rows]), return_inverse=True, return_counts=True)
+                several = np.split(blocks_of[at] > 1, np.cumsum([len(tops[i]) for i in rows])[:-1])
+                for i, s in zip(rows, several):
+                    seen[i] = np.packbits(s).tobytes()
+        return pa.table({"block": table["block"], "n": table["n"], "part": table["part"],
+                         "seen": pa.array(seen, pa.binary())})
+
+    def shared_of(rows):
+        """The bits by (length, part)."""
+        return dict(zip(zip(rows["n"].to_pylist(), rows["part"].to_pylist()), rows["seen"].to_pylist()))
 
-    def explode(key, table):
-        _, grams, _ = ngrams(_text(table), order)
-        out = {"part": [], "block": [], "n": [], "grams": [], "counts": []}
-        for n, h in enumerate(grams, 1):
+    def several(seen, own):
+        top, at = _tops(own, bits)
+        return np.unpackbits(np.frombuffer(seen, np.uint8), count=len(top)).astype(bool)[at]
+
+    def explode(key, texts, marks):
+        shared, rows = shared_of(marks), []
+        for n, h in enumerate(ngrams(_text(texts), order)[1], 1):
             own, count = np.unique(h, return_counts=True)
-            cuts = [0, *np.searchsorted(own, edges, side="left").tolist(), len(own)]
-            for p, (a, b) in enumerate(zip(cuts, cuts[1:])):
-                if a < b:
-                    for c, v in zip(out, (p, key[0].as_py(), n, _packed(own[a:b]), _narrow(count[a:b]))):
-                        out[c].append(v)
-        return pa.table({c: pa.array(v, pa.binary() if c in ("grams", "counts") else pa.int64()) for c, v in out.items()})
+            for p, a, b in cuts(own):
+                sent = several(shared[n, p], own[a:b])
+                if sent.any():
+                    rows.append((p, key[0].as_py(), n, shared[n, p], _packed(own[a:b][sent]), _narrow(count[a:b][sent])))
+        return rows_of(rows, ("part", "block", "n", "seen", "grams", "counts"))
 
     def add_up(key, table):
         grams = [_unpacked(g) for g in table["grams"].to_pylist()]
@@ -122,19 +184,20 @@ def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
         totals = np.zeros(len(every), np.int64)
         np.add.at(totals, at, np.concatenate([_wide(c) for c in table["counts"].to_pylist()]))
         pieces = np.split(totals[at], np.cumsum([len(g) for g in grams])[:-1])
-        return pa.table({"block": table["block"], "n": table["n"], "part": table["part"],
+        return pa.table({"block": table["block"], "n": table["n"], "part": table["part"], "seen": table["seen"],
                          "totals": pa.array([_narrow(p) for p in pieces], pa.binary())})
 
     def score(key, texts, answers):
         row, grams, ends = ngrams(_text(texts), order)
-        order_of = np.lexsort((answers["part"].to_numpy(), answers["n"].to_numpy()))
-        of = answers["n"].to_numpy()[order_of]
-        raw = answers["totals"].to_pylist()
+        shared = shared_of(answers)
+        answered = dict(zip(zip(answers["n"].to_pylist(), answers["part"].to_pylist()), answers["totals"].to_pylist()))
         n_words = np.bincount(row, minlength=texts.num_rows)
         counts = []  # per length: count elsewhere of the n-gram that ends at each word (0: none or not seen)
         for n, (h, end) in enumerate(zip(grams, ends), 1):
-            own, at = np.unique(h, return_inverse=True)
-            totals = np.concatenate([np.zeros(0, np.int64), *[_wide(raw[i]) for i in order_of[of == n]]])
+            own, at, totals = np.unique(h, return_inverse=True, return_counts=True)  # right if no other block has it
+            for p, a, b in cuts(own):
+                if (n, p) in answered:
+                    totals[a:b][several(shared[n, p], own[a:b])] = _wide(answered[n, p])
             pair, back, mine = np.unique(row[end] * max(1, len(own)) + at, return_inverse=True, return_counts=True)
             elsewhere = np.zeros(len(row), np.int64)
             elsewhere[end] = totals[at] - mine[back]
@@ -157,8 +220,12 @@ def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
             "partial": pa.array(np.bincount(row, value, minlength=texts.num_rows)), "unigrams": pa.array(unigrams),
             "n_backoffs": pa.array(np.bincount(row, steps, minlength=texts.num_rows).astype(np.int64))})
 
-    sent = dealt.groupBy("block").applyInArrow(explode, "part bigint, block bigint, n bigint, grams binary, counts binary")
-    answers = sent.groupBy("part").applyInArrow(add_up, "block bigint, n bigint, part bigint, totals binary")
+    announced = dealt.groupBy("block").applyInArrow(announce, "part bigint, block bigint, n bigint, tops binary")
+    marks = announced.groupBy("part").applyInArrow(mark, "block bigint, n bigint, part bigint, seen binary")
+    sent = dealt.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(
+        explode, "part bigint, block bigint, n bigint, seen binary, grams binary, counts binary")
+    answers = sent.groupBy("part").applyInArrow(
+        add_up, "block bigint, n bigint, part bigint, seen binary, totals binary")
     scored = cut(dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
         score, f"doc_id {ids}, n_words bigint, partial double, unigrams bigint, n_backoffs bigint"))
     words = scored.agg(F.sum("n_words")).first()[0] or 0

@@ -183,8 +183,10 @@ def test_lm_scores_match_brute_force(corpus):
         assert r["n_words"] == len(w) and math.isclose(r["log_score"], want, rel_tol=1e-9, abs_tol=1e-9)
 
 
-def test_registered_lm_scores_use_two_words_of_context(corpus, monkeypatch):
+@pytest.mark.parametrize("block_bytes", [lm_score.BLOCK_BYTES, 6000])
+def test_registered_lm_scores_use_two_words_of_context(corpus, monkeypatch, block_bytes):
     docs, texts = corpus
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block_bytes)
     words = {d: re.findall(r"[^\x20\x09-\x0D]+", t) for d, t in texts.items()}
     counts = [collections.Counter(), *(collections.Counter() for _ in range(3))]
     own = {d: [collections.Counter(zip(*(w[j:] for j in range(n)))) for n in range(4)] for d, w in words.items()}
@@ -204,7 +206,8 @@ def test_registered_lm_scores_use_two_words_of_context(corpus, monkeypatch):
                     break
                 want += math.log(0.4) if n > 1 else math.log(max(seen, 1) / (total - len(w)))
         assert math.isclose(r["log_score"], want, rel_tol=1e-9, abs_tol=1e-9)
-    for some in ([5], [0, 2 ** 64 - 1], sorted(random.Random(1).getrandbits(64) for _ in range(500))):
+    rng = random.Random(1)
+    for some in ([5], [0, 2 ** 64 - 1], [7, 7, 8], *(sorted(rng.getrandbits(b) for _ in range(500)) for b in (64, 37, 12))):
         some = np.array(some, np.uint64)
         assert (lm_score._unpacked(lm_score._packed(some)) == some).all()
 
