@@ -73,14 +73,36 @@ def _text(table: pa.Table) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
+_LEVELS = (2, 4, 8, 16)
+
+
 def _narrow(counts: np.ndarray) -> bytes:
-    """Counts in as few bytes each as they need; the first byte names the width."""
-    size = next(s for s in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << 8 * s - 1)
-    return bytes([size]) + counts.astype(f"<i{size}").tobytes()
+    """Counts of one or more in two bits each; what does not fit goes on with 4, 8, 16 and 64 bits."""
+    rest, out = counts.astype(np.int64) - 1, [np.array([len(counts)], "<u8").tobytes()]
+    for bits in _LEVELS:
+        full = (1 << bits) - 1
+        level = np.minimum(rest, full).astype("<u2")
+        if bits < 8:
+            level = np.r_[level, np.zeros(-len(level) % (8 // bits), "<u2")].reshape(-1, 8 // bits)
+            level = np.bitwise_or.reduce(level << np.arange(0, 8, bits, dtype=np.uint16), axis=1)
+        out.append(level.astype("<u2" if bits == 16 else np.uint8).tobytes())
+        rest = rest[rest >= full] - full
+    return b"".join([*out, rest.astype("<i8").tobytes()])
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<i{raw[0]}", offset=1).astype(np.int64)
+    n, at = int(np.frombuffer(raw, "<u8", 1)[0]), 8
+    out, open_ = np.ones(n, np.int64), np.arange(n)
+    for bits in _LEVELS:
+        full, each = (1 << bits) - 1, max(1, 8 // bits)
+        level = np.frombuffer(raw, "<u2" if bits == 16 else np.uint8, -(-len(open_) // each), at)
+        at += level.nbytes
+        if bits < 8:
+            level = (level[:, None] >> np.arange(0, 8, bits, dtype=np.uint8) & full).reshape(-1)[:len(open_)]
+        out[open_] += level
+        open_ = open_[level == full]
+    out[open_] += np.frombuffer(raw, "<i8", len(open_), at)
+    return out
 
 
 def _packed(values: np.ndarray) -> bytes:

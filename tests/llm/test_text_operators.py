@@ -210,6 +210,8 @@ def test_registered_lm_scores_use_two_words_of_context(corpus, monkeypatch, bloc
     for some in ([5], [0, 2 ** 64 - 1], [7, 7, 8], *(sorted(rng.getrandbits(b) for _ in range(500)) for b in (64, 37, 12))):
         some = np.array(some, np.uint64)
         assert (lm_score._unpacked(lm_score._packed(some)) == some).all()
+    for some in ([], [1], [3, 4, 5], [1 << 40], [rng.randint(1, 1 << rng.randint(1, 30)) for _ in range(999)], list(range(1, 70000))):
+        assert lm_score._wide(lm_score._narrow(np.array(some, np.int64))).tolist() == some
 
 
 def test_bpe_equals_the_library_and_round_trips(corpus):
