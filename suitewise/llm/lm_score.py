@@ -6,9 +6,9 @@ each step back costs log(``ALPHA``), a word never seen elsewhere counts as seen
 
 Plan: documents are dealt into blocks of about ``BLOCK_BYTES``. Most n-grams occur in one
 block alone, where their count is known, so a block first explodes its n-grams and sends
-each hash partition the rising top bits of the hashes, so many that about one value in ten at
-most meets another by chance at any size of the corpus; the partition answers with a bit for
-each, whether another block has it too. Only those n-grams follow with their whole hashes and
+each hash partition the rising top bits of the hashes, so many that few values meet another by
+chance (there are more values than bytes of text, at any size); the partition answers with a
+bit for each, whether another block has it too. Only those n-grams follow with their whole hashes and
 counts. A partition of the count table adds the rows of all blocks and answers every row
 with the totals of its n-grams, in the same order. Back at the block the totals are joined
 to the n-grams of each document, the document's own counts are taken off, and the scores
