@@ -69,8 +69,7 @@ def stream_scores(spark, sf_dir):
     rows = M._prepare(E.point_in_time_features(i.model_history))
     model = M.fit(M.materialise(M.stratified_split(rows)).where(F.col("split") == "train"), "logistic_regression")
     base = S._run_dir(spark, "scores")
-    S.stream_scores(S.event_stream(spark, sf_dir, "events.parquet"), model, f"{base}/history",
-                    f"{base}/scores", f"{base}/checkpoint")
+    S.stream_scores(S.event_stream(spark, sf_dir, "events.parquet"), model, base, f"{base}/checkpoint")
     s = spark.read.parquet(f"{base}/scores")
     latest = s.groupBy(E.KEY).agg(F.max_by("failure_probability", "_batch").alias("failure_probability"))
     return latest

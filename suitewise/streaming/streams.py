@@ -50,6 +50,12 @@ def _run_dir(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def closing_folder(spark: SparkSession) -> str:
     """A folder for the marker that ends a stream; empty until ``run_to_table`` writes it."""
     path = _run_dir(spark, "closing")
@@ -366,28 +372,44 @@ def stream_lockout(events: DataFrame, delay: str = DELAY) -> DataFrame:
 
 # ------------------------------------------------------------------ S6
 
-def stream_scores(events: DataFrame, model, history_path: str, scores_path: str,
-                  checkpoint: str) -> None:
-    """Per micro-batch, append new history rows, refresh serving features of the
-    touched tests only, score them with a static model and append the scores. History and scores are
-    kept by batch, so a batch that runs again replaces what it wrote."""
-    from suitewise.operators.features import serving_features
-    from suitewise.operators.modeling import failure_probability
+def score_batch(batch: DataFrame, batch_id: int, model, folder: str) -> None:
+    """One micro-batch of S6. ``folder`` keeps ``history``, ``summaries`` and ``scores`` by batch.
 
-    def score(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = f"_batch={batch_id}"  # a replayed batch overwrites its own rows
-        test_history_from_events(batch).write.mode("overwrite").parquet(f"{history_path}/{own}")
-        new = spark.read.parquet(f"{history_path}/{own}")
-        history = spark.read.option("basePath", history_path).parquet(history_path).where(
-            F.col("_batch") <= batch_id).drop("_batch")
-        touched = new.select(KEY).distinct()
-        feats = serving_features(history.join(touched, KEY, "left_semi"))
-        scored = failure_probability(model, feats).select(KEY, "failure_probability")
-        scored.write.mode("overwrite").parquet(f"{scores_path}/{own}")
-
-    q = (events.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
+    The batch's rows are summarised per test and merged into the summaries the batch before left, so the history
+    is not read again; only tests of which a row comes out of order are summarised anew from their own history.
+    A batch that runs again overwrites what it wrote, from the same summaries of the batch before.
+    """
+    from suitewise.operators.modeling import failure_probability
+    from suitewise.operators.summaries import features_of, merge, overlapping, summarise
+
+    spark = batch.sparkSession
+    path = {name: f"{folder}/{name}" for name in ("history", "summaries", "scores")}
+    own = f"_batch={batch_id}"
+    test_history_from_events(batch).write.mode("overwrite").parquet(f"{path['history']}/{own}")
+    new_rows = spark.read.parquet(f"{path['history']}/{own}")
+    new = summarise(new_rows)
+    if batch_id:
+        old = spark.read.schema(new.schema).parquet(f"{path['summaries']}/_batch={batch_id - 1}")
+        mixed = _kept(overlapping(old, new))
+        now = merge(old, new.join(mixed, KEY, "left_anti"))
+        if not mixed.isEmpty():
+            history = spark.read.option("basePath", path["history"]).parquet(path["history"]).where(
+                F.col("_batch") <= batch_id).drop("_batch")
+            now = now.join(mixed, KEY, "left_anti").unionByName(summarise(history.join(mixed, KEY, "left_semi")))
+    else:
+        now = new
+    now.write.mode("overwrite").parquet(f"{path['summaries']}/{own}")
+    touched = spark.read.schema(new.schema).parquet(f"{path['summaries']}/{own}").join(
+        new_rows.select(KEY).distinct(), KEY, "left_semi")
+    scored = failure_probability(model, features_of(touched)).select(KEY, "failure_probability")
+    scored.write.mode("overwrite").parquet(f"{path['scores']}/{own}")
+
+
+def stream_scores(events: DataFrame, model, folder: str, checkpoint: str) -> None:
+    """Per micro-batch, append new history rows, refresh the features of the touched tests and score them with
+    a static model (``score_batch``)."""
+    q = (events.writeStream.foreachBatch(lambda batch, batch_id: score_batch(batch, batch_id, model, folder))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 

@@ -151,3 +151,49 @@ def test_daily_failures_match_batch(spark, event_folder):
     want = _rows(h.groupBy(F.date_format("run_ts", "yyyy-MM-dd").alias("day"), "test_file").agg(
         F.count(F.lit(1)).alias("runs"), F.count_if(~F.col("passed")).alias("failures")), ["day", "test_file"])
     assert got == want
+
+
+class _Counting:
+    """Stands for a model: the score is a fixed sum of all features, so that any wrong feature shows."""
+
+    @staticmethod
+    def score(features):
+        return features.select(E.KEY, sum(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) * (i + 1)
+                                          for i, c in enumerate(E.FEATURE_NAMES)).alias("failure_probability"))
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2, 3), (2, 0, 3, 1)])
+def test_scores_by_batch_equal_the_whole_history_and_survive_a_replay(spark, event_folder, monkeypatch, order):
+    from suitewise.operators import modeling
+    monkeypatch.setattr(modeling, "failure_probability", lambda model, features: model.score(features))
+    folder, ev = event_folder
+    base = tempfile.mkdtemp(prefix="suitewise-scores-", dir="/tmp")
+    files = [spark.read.schema(S.EVENTS_SCHEMA).parquet(f"{folder}/events_{p}.parquet") for p in order]
+
+    def scores():
+        s = spark.read.parquet(f"{base}/scores")
+        return _rows(s.groupBy(E.KEY).agg(F.max_by("failure_probability", "_batch").alias("p")), [E.KEY])
+
+    for i, rows in enumerate(files):
+        S.score_batch(rows, i, _Counting, base)
+    got = scores()
+    want = _rows(_Counting.score(E.serving_features(history_from_events(ev))), [E.KEY])
+    assert got.keys() == want.keys()
+    assert all(v["p"] == pytest.approx(want[k]["failure_probability"], rel=1e-9) for k, v in got.items())
+    S.score_batch(files[-1], 3, _Counting, base)
+    assert scores() == got
+    assert spark.read.parquet(f"{base}/history").count() == ev.count()
+
+
+def test_scores_in_time_order_read_no_history_again(spark, event_folder, monkeypatch):
+    from suitewise.operators import modeling
+    monkeypatch.setattr(modeling, "failure_probability", lambda model, features: model.score(features))
+    folder, _ = event_folder
+    base = tempfile.mkdtemp(prefix="suitewise-scores-", dir="/tmp")
+    files = [spark.read.schema(S.EVENTS_SCHEMA).parquet(f"{folder}/events_{p}.parquet") for p in range(2)]
+    S.score_batch(files[0], 0, _Counting, base)
+    first = spark.read.parquet(f"{base}/history/_batch=0")
+    spark.createDataFrame([], first.schema).write.mode("overwrite").parquet(f"{base}/history/_batch=0")  # emptied
+    S.score_batch(files[1], 1, _Counting, base)
+    n = F.sum("n")
+    assert spark.read.parquet(f"{base}/summaries/_batch=1").agg(n).first()[0] == files[0].count() + files[1].count()
