@@ -28,6 +28,22 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written as compressed parquet to the shared folder and read from there; shuffle files of the writing
+    query are removed when it ends, since nothing reads them again."""
+    spark, path = df.sparkSession, shared_path(df.sparkSession, label)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def literal_table(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame:
     """A small table of fixed, bounded size held in the plan itself."""
     parsed = F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

@@ -7,11 +7,12 @@ edit and write mostly equal symbols, so edit distance becomes Hamming distance.
 fingerprint samples ``SLOTS`` steps of the walk (shared random choices that depend
 on the length alone, and agree for most slots when lengths are close) and keeps
 four hashed bits of each symbol. Likeness of two fingerprints is their share of
-equal slots, corrected for chance. Near pairs come from bands of sampled slots, longer
-and more for larger tables: members of a band are first compared with its first member
+equal slots, corrected for chance. Near pairs come from bands of sampled slots, the same at
+every size: members of a band are first compared with one of them
 and groups found so contracted; then all members of different groups are compared, in
 blocks of ``BLOCK`` x ``BLOCK`` inside tasks. A verified spanning forest leaves a task,
 and ``near_id`` is the smallest id of a document's group. No band is capped.
+What a later step reads is written as compressed parquet to the shared folder.
 
 Edge cases: null text is empty; an empty text has the fingerprint of pads only;
 texts of any length are walked whole; equal ids are ordered by text; null ids come
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from suitewise.llm.common import cut, width
+from suitewise.llm.common import stored, width
 from suitewise.llm.near_dedup import components
 
 SLOTS = 128
@@ -41,6 +42,10 @@ _HEX = np.frombuffer(b"0123456789abcdef", np.uint8)
 CHUNK_CHARS = 1 << 22
 CHUNK_ROWS = 4096
 BLOCK = 512
+PER_BAND = 10
+CHUNK_NODES = 16384
+ENTRIES = 1 << 21  # entries of bands a task sorts at a time
+ROWS = 1 << 16
 MISS = 3e-5  # chance that a pair of the least likeness shares no band
 
 
@@ -225,17 +230,20 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     return kept.mapInArrow(run, StructType(list(kept.schema.fields)).add("fingerprint", "string"))
 
 
-def banding(n: int, least: float) -> tuple[int, int]:
-    """Number of bands and slots of each for ``n`` fingerprints: few strangers share a band (slots of real letters
-    agree by chance for about one pair in eight), and a pair of likeness ``least`` misses all with chance ``MISS``."""
-    per_band = max(5, math.ceil(math.log(max(n, 1), 8)))
+def banding(least: float, per_band: int = PER_BAND) -> tuple[int, int]:
+    """Number of bands and slots of each: a pair of likeness ``least`` misses all bands with chance ``MISS``.
+
+    They don't depend on the number of documents. Slots of unrelated letters agree by chance for about one pair in
+    eight, so a stranger shares a band of ten slots with chance 1e-9.
+    """
     hit = (least * 15 / 16 + 1 / 16) ** per_band
     return math.ceil(math.log(MISS) / math.log1p(-hit)), per_band
 
 
 def _codes(column: pa.Array) -> np.ndarray:
-    raw = "".join(column.to_pylist()).encode()
-    return np.frombuffer(raw, np.uint8).reshape(-1, SLOTS)
+    """Slots of each fingerprint (64 bytes, two slots a byte), one row each."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SLOTS // 2)
+    return np.stack([raw >> 4, raw & 15], axis=2).reshape(-1, SLOTS)
 
 
 def _corrected(same: np.ndarray) -> np.ndarray:
@@ -269,16 +277,125 @@ def forest(node: np.ndarray, comp: np.ndarray, block: np.ndarray, codes: np.ndar
     return out
 
 
+class Bands:
+    """Hashes of ``bands`` fixed choices of ``per_band`` slots."""
+
+    def __init__(self, bands: int, per_band: int):
+        rng = np.random.default_rng(24)
+        self.picks = [sorted(rng.choice(SLOTS, per_band, replace=False).tolist()) for _ in range(bands)]
+
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
+        """(fingerprints, bands) hashes of 64 bits; the band's number is part of them."""
+        out = np.empty((len(codes), len(self.picks)), np.uint64)
+        for b, pick in enumerate(self.picks):
+            h = np.full(len(codes), b + 1, np.uint64)
+            for slot in pick:
+                h = h * np.uint64(16) + codes[:, slot]
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+            out[:, b] = h ^ h >> np.uint64(32)
+        return out
+
+
+def _chunks(batches) -> Iterator[tuple[int, np.ndarray]]:
+    """(first node, codes) of at most ``CHUNK_NODES`` consecutive node numbers."""
+    for batch in batches:
+        node, at = batch["node"].to_numpy(), 0
+        ends = np.flatnonzero(np.diff(node) != 1) + 1
+        for end in [*ends.tolist(), len(node)]:
+            while at < end:
+                size = min(CHUNK_NODES, end - at)
+                yield int(node[at]), _codes(batch["fingerprint"].slice(at, size))
+                at += size
+
+
+def _runs_of(hashes: np.ndarray, nodes: np.ndarray):
+    """Both sorted by (hash, node), where each run of one hash starts, and the first node of each row's run."""
+    order = np.lexsort((nodes, hashes))
+    hashes, nodes = hashes[order], nodes[order]
+    new = np.ones(len(hashes), bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    return hashes, nodes, new, nodes[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(nodes) else nodes
+
+
+_SHARED = "band bigint, node bigint, center bigint"
+
+
+def _shared_rows(band, node, center) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(band), ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + ROWS].astype(np.int64), pa.int64())
+                                          for c in (band, node, center)], names=["band", "node", "center"])
+
+
+def shared_bands(nodes: DataFrame, bands: int, per_band: int) -> DataFrame:
+    """Rows (band, node, center) of all bands that several nodes share; ``center`` is a member of the band.
+
+    A chunk of nodes settles its own bands and sends one node for each, packed by partition (five bytes of the
+    hash, two of the place in the chunk), so a band that very many nodes share sends one entry a chunk.
+    """
+    spark = nodes.sparkSession
+    parts = max(width(spark), math.ceil(nodes.count() * bands / ENTRIES))
+    low = np.uint64((1 << 40) - 1)
+
+    def cells(batches):
+        banded = Bands(bands, per_band)
+        for base, codes in _chunks(batches):
+            h = banded.hashes(codes).reshape(-1)
+            cell = (h >> np.uint64(40)) % np.uint64(parts) << np.uint64(40) | h & low
+            yield base, *_runs_of(cell, np.repeat(np.arange(len(codes), dtype=np.uint32), bands))
+
+    def inside(batches):
+        for base, cell, place, new, first in cells(batches):
+            alone = new.copy()
+            alone[:-1] &= new[1:]
+            yield from _shared_rows(cell[~alone], place[~alone] + np.int64(base), first[~alone] + np.int64(base))
+
+    def sent(batches):
+        for base, cell, place, new, _ in cells(batches):
+            cell, place = cell[new], place[new].astype(np.uint16)
+            part = (cell >> np.uint64(40)).astype(np.int64)  # rising, as the cells are sorted
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+            low5 = np.ascontiguousarray(cell).view(np.uint8).reshape(-1, 8)[:, :5]
+            pieces = list(zip(starts, [*starts[1:], len(part)]))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([int(part[a]) for a, _ in pieces], pa.int64()), pa.array([base] * len(pieces), pa.int64()),
+                pa.array([low5[a:b].tobytes() for a, b in pieces], pa.binary()),
+                pa.array([place[a:b].tobytes() for a, b in pieces], pa.binary())], names=["part", "base", "low", "place"])
+
+    def across(batches):
+        part, held = None, []
+
+        def settle():
+            if not held:
+                return
+            raw = np.zeros((sum(len(h[2]) for h in held) // 2, 8), np.uint8)
+            raw[:, :5] = np.frombuffer(b"".join(h[1] for h in held), np.uint8).reshape(-1, 5)
+            cell = raw.view(np.uint64).reshape(-1) | np.uint64(part << 40)
+            node = np.concatenate([np.frombuffer(h[2], np.uint16).astype(np.int64) + h[0] for h in held])
+            cell, node, new, first = _runs_of(cell, node)
+            alone = new.copy()
+            alone[:-1] &= new[1:]
+            yield from _shared_rows(cell[~alone], node[~alone], first[~alone])
+
+        for batch in batches:
+            for p, *row in zip(*(batch[c].to_pylist() for c in ("part", "base", "low", "place"))):
+                if p != part:
+                    yield from settle()
+                    part, held = p, []
+                held.append(row)
+        yield from settle()
+
+    packed = nodes.mapInArrow(sent, "part bigint, base bigint, low binary, place binary")
+    both = nodes.mapInArrow(inside, _SHARED).unionByName(
+        packed.repartition(parts, "part").sortWithinPartitions("part").mapInArrow(across, _SHARED))
+    return stored(both, "bands")
+
+
 def _node_links(nodes: DataFrame, bands: int | None, per_band: int | None, least: float) -> tuple[DataFrame, DataFrame]:
     """Links (u, v, likeness) between the rows (node, fingerprint), and the group (node, root) of each linked node."""
     if bands is None or per_band is None:
-        bands, per_band = banding(nodes.count(), least)
-    rng = np.random.default_rng(24)
-    picks = [sorted(rng.choice(SLOTS, per_band, replace=False).tolist()) for _ in range(bands)]
-    key = [F.xxhash64(F.lit(b), *[F.substring("fingerprint", p + 1, 1) for p in pick]) for b, pick in enumerate(picks)]
-    banded = nodes.select("node", F.explode(F.array(*key)).alias("band"))
-    first = banded.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("n")).where("n > 1")
-    shared = cut(banded.join(first, "band"))
+        bands, per_band = banding(least)
+    shared = shared_bands(nodes, bands, per_band)
 
     def star(batches):
         for batch in batches:
@@ -298,33 +415,50 @@ def _node_links(nodes: DataFrame, bands: int | None, per_band: int | None, least
             return _links(*(list(c) for c in zip(*found))) if found else _links([], [], [])
 
         for batch in batches:
-            for row in zip(*(batch[c].to_pylist() for c in ("band", "i", "j", "node", "comp", "block", "fingerprint"))):
-                if row[:3] != group:
+            for row in zip(*(batch[c].to_pylist() for c in ("band", "kind", "i", "j", "node", "comp", "block",
+                                                            "fingerprint"))):
+                if row[:4] != group:
                     yield links()
-                    group, held = row[:3], []
-                held.append(row[3:])
+                    group, held = row[:4], []
+                held.append(row[4:])
         yield links()
 
     other = nodes.select(F.col("node").alias("center"), F.col("fingerprint").alias("other"))
-    edges = cut(shared.where("node <> center").select("node", "center").distinct().join(nodes, "node")
-                .join(other, "center").mapInArrow(star, _LINK))
-    roots = cut(components(edges.select("u", "v")))
+    edges = stored(shared.where("node <> center").select("node", "center").distinct().join(nodes, "node")
+                   .join(other, "center").mapInArrow(star, _LINK), "stars")
+    roots = stored(components(edges.select("u", "v")), "roots")
+    # members of a band in several groups: its largest group is compared with the rest, the rest with itself
     members = shared.select("band", "node").join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    several = members.groupBy("band").agg(F.count("*").alias("m"), F.min("comp").alias("low"), F.max("comp").alias("high")
-                                          ).where("low <> high")
-    blocks = (members.join(several.select("band", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "band")
-              .withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-              .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-              .select("band", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block",
-                      "node", "comp").join(nodes, "node"))
-    more = (blocks.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(block_rows, _LINK))
-    edges = cut(edges.unionByName(more))
+    sizes = members.groupBy("band", "comp").agg(F.count("*").alias("c"))
+    several = sizes.groupBy("band").agg(F.max(F.struct("c", "comp")).alias("main"), F.sum("c").alias("m"),
+                                        F.count("*").alias("k")).where("k > 1")
+    several = several.select("band", F.col("main.comp").alias("main"), (F.col("k") > 2).alias("more"),
+                             F.ceil(F.col("main.c") / BLOCK).cast("int").alias("q"),
+                             F.ceil((F.col("m") - F.col("main.c")) / BLOCK).cast("int").alias("r"))
+    dealt = stored(members.select("band", "node", "comp").join(several, "band").distinct(), "several")
+    place, own = F.xxhash64("node"), F.col("comp") == F.col("main")
+    b = F.pmod(place, F.when(own, F.col("q")).otherwise(F.col("r"))).cast("int")
+
+    def cells(kind: int, i, j, block):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), block.alias("block"))
+
+    to_rest, to_main = F.sequence(F.lit(0), F.col("r") - 1), F.sequence(F.lit(0), F.col("q") - 1)
+    across = F.when(own, F.transform(to_rest, lambda j: cells(0, F.col("b"), j, F.lit(0)))).otherwise(
+        F.transform(to_main, lambda i: cells(0, i, F.col("b"), F.lit(1))))
+    within = F.transform(F.when(~own & F.col("more"), to_rest).otherwise(F.array().cast("array<int>")), lambda j: cells(
+        1, F.least(F.col("b"), j), F.greatest(F.col("b"), j), F.col("b")))
+    blocks = (dealt.withColumn("b", b).select("band", "node", "comp", F.explode(F.concat(across, within)).alias("cell"))
+              .select("band", "cell.*", "node", "comp").join(nodes, "node"))
+    more = (blocks.repartition("band", "kind", "i", "j").sortWithinPartitions("band", "kind", "i", "j")
+            .mapInArrow(block_rows, _LINK))
+    edges = stored(edges.unionByName(more), "links")
     return edges, components(edges.select("u", "v"))
 
 
 def _nodes(prints: DataFrame) -> DataFrame:
-    return cut(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("doc_id")).withColumn(
-        "node", F.monotonically_increasing_id()))
+    """A node for each different fingerprint (hexadecimal, here packed into 64 bytes), by its smallest id."""
+    return stored(prints.groupBy(F.unhex("fingerprint").alias("fingerprint")).agg(F.min("doc_id").alias("doc_id"))
+                  .withColumn("node", F.monotonically_increasing_id()), "nodes")
 
 
 def near_links(prints: DataFrame, bands: int | None = None, per_band: int | None = None,
@@ -343,10 +477,12 @@ def near_links(prints: DataFrame, bands: int | None = None, per_band: int | None
 
 def fingerprint_groups(docs: DataFrame) -> DataFrame:
     """``edit_fingerprints`` with ``near_id``, the smallest id of the group of near fingerprints."""
-    prints = cut(edit_fingerprints(docs))
-    nodes = _nodes(prints.select("fingerprint", "doc_id"))
+    packed = ("edited_sha256", "fingerprint", "edited_fingerprint")
+    names = edit_fingerprints(docs)
+    prints = stored(names.select(*[F.unhex(c).alias(c) if c in packed else c for c in names.columns]), "prints")
+    nodes = _nodes(prints.select(F.hex("fingerprint").alias("fingerprint"), "doc_id"))
     _, roots = _node_links(nodes.select("node", "fingerprint"), None, None, 0.8)
-    found = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    found = stored(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "groups")
     least = found.groupBy("root").agg(F.min("doc_id").alias("near_id"))
     return prints.join(found.join(least, "root").select("fingerprint", "near_id"), "fingerprint").select(
-        *prints.columns, "near_id")
+        *[F.lower(F.hex(c)).alias(c) if c in packed else c for c in names.columns], "near_id")

@@ -274,10 +274,32 @@ def test_near_links_when_the_smallest_id_of_a_band_is_unrelated(spark, empty):
     prints = spark.createDataFrame(rows, "doc_id bigint, fingerprint string")
     links = fingerprints.near_links(prints, 24, 5).collect()
     assert [(r["doc_id"], r["center_id"]) for r in links] == [(101, 100)]
-    assert fingerprints.banding(10 ** 7, 0.8)[1] > fingerprints.banding(10 ** 5, 0.8)[1] >= 5
+    bands, per_band = fingerprints.banding(0.8)  # the same at every size
+    assert per_band == 10 and (1 - 0.8125 ** per_band) ** bands <= fingerprints.MISS
     assert "near_id" in fingerprints.fingerprint_groups(empty).columns and fingerprints.fingerprint_groups(empty).count() == 0
 
 
+def test_shared_bands_of_many_chunks_match_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = rng.integers(0, 3, (90, 128), dtype=np.uint8)
+    codes[40:70] = codes[3]
+    codes[45:70, 100:] = rng.integers(0, 16, (25, 28), dtype=np.uint8)
+    rows = [(i if i < 50 else i + 1000, bytearray((c[0::2] << 4 | c[1::2]).tobytes())) for i, c in enumerate(codes)]
+    nodes = spark.createDataFrame(rows, "node bigint, fingerprint binary").coalesce(3)
+    monkeypatch.setattr(fingerprints, "CHUNK_NODES", 7)
+    got = fingerprints.shared_bands(nodes, 12, 4).collect()
+    want = {}
+    for b, pick in enumerate(fingerprints.Bands(12, 4).picks):
+        groups = {}
+        for (node, _), c in zip(rows, codes):
+            groups.setdefault(tuple(c[pick].tolist()), set()).add(node)
+        want |= {(b, k): g for k, g in groups.items() if len(g) > 1}
+    found = {}
+    for r in got:
+        found.setdefault(r["band"], set()).update((r["node"], r["center"]))
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, want.values()))
+
+
 def test_near_groups_of_fingerprints_match_brute_force(corpus):
     docs, _ = corpus
     rows = fingerprints.fingerprint_groups(docs).collect()
