@@ -150,14 +150,24 @@ def query_entries(q) -> Column:
     return F.transform(F.filter(kv, lambda e: e["ok"]), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
 
 
+def _bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, also where ``f`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def parse_query(q) -> Column:
-    """Map of a query string; first position of a key, last value wins."""
-    e = query_entries(q)
-    firsts = F.filter(e, lambda x, i: ~F.exists(F.slice(e, 1, i), lambda y: y["k"] == x["k"]))
-    entries = F.transform(firsts, lambda x: F.struct(
-        x["k"].alias("key"),
-        F.element_at(F.filter(e, lambda y: y["k"] == x["k"]), -1)["v"].alias("value")))
-    return F.map_from_entries(entries)
+    """Map of a query string; first position of a key, last value wins.
+
+    Pieces are sorted by (key, position), so the work grows as n log n in the number of parameters.
+    """
+    order = F.array_sort(F.transform(query_entries(q), lambda x, i: F.struct(
+        x["k"].alias("k"), i.alias("i"), x["v"].alias("v"))))
+    ends = _bound(order, lambda t: F.struct(
+        F.filter(t, lambda x, i: (i == 0) | (F.get(t, i - 1)["k"] != x["k"])).alias("first"),
+        F.filter(t, lambda x, i: (i == F.size(t) - 1) | (F.get(t, i + 1)["k"] != x["k"])).alias("last")))
+    entries = _bound(ends, lambda e: F.array_sort(F.transform(e["first"], lambda x, n: F.struct(
+        x["i"].alias("i"), x["k"].alias("key"), F.get(e["last"], n)["v"].alias("value")))))
+    return F.map_from_entries(F.transform(entries, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value"))))
 
 
 def build_query(m) -> Column:
