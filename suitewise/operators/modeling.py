@@ -57,8 +57,9 @@ def apply_population_scaler(df: DataFrame, stats: DataFrame, cols: Sequence[str]
 # ---------------------------------------------------------------- F2 split, F12 folds
 
 def _label_ranks(df: DataFrame, label: str, seed: int, id_col: str) -> DataFrame:
-    """1-based position of each row inside its label, in a seeded hash order (distributed)."""
-    h = df.withColumn("_h", F.xxhash64(F.col(id_col), F.lit(seed)))
+    """1-based position of each row inside its label, in a seeded hash order (distributed): that of
+    the MD5 of ``seed:id``, which any engine can recompute."""
+    h = df.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))))
     ranked = global_rank(h, [F.col(label).asc(), F.col("_h").asc(), F.col(id_col).asc()], "_pos")
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     earlier = Window.orderBy(label).rowsBetween(Window.unboundedPreceding, -1)

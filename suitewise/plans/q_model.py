@@ -74,6 +74,24 @@ def fold_sizes(spark, sf_dir):
     return f.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
+_RANKED = """SELECT exec_id, passed, row_number() OVER (PARTITION BY passed ORDER BY md5('42:' || exec_id), exec_id) AS rn,
+  count(*) OVER (PARTITION BY passed) AS n FROM th"""
+
+
+@register("split_rows", with_ctes(["th"], f"""
+SELECT exec_id, CAST(CASE WHEN passed THEN 0 ELSE 1 END AS BIGINT) AS label,
+  CASE WHEN rn <= ceil(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM ({_RANKED}) x"""))
+def split_rows(spark, sf_dir):
+    return M.stratified_split(_labelled_rows(spark, sf_dir), "label", 0.2, 42).select("exec_id", "label", "split")
+
+
+@register("fold_rows", with_ctes(["th"], f"""
+SELECT exec_id, CAST(CASE WHEN passed THEN 0 ELSE 1 END AS BIGINT) AS label, CAST((rn - 1) % 5 AS INTEGER) AS fold
+FROM ({_RANKED}) x"""))
+def fold_rows(spark, sf_dir):
+    return M.assign_folds(_labelled_rows(spark, sf_dir), 5, "label", 42).select("exec_id", "label", "fold")
+
+
 def _train_rows(spark, sf_dir):
     return E.point_in_time_features(Inputs(spark, sf_dir).model_history)
 
