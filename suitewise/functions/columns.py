@@ -95,8 +95,9 @@ def flatten_json(df: DataFrame, col: str, out: str = "flat", sep: str = ".") ->
     while not spread.where(F.expr(f"exists(`{out}`, e -> {is_object})")).isEmpty():
         spread = spread.withColumn(out, F.expr(
             f"flatten(transform(`{out}`, e -> CASE WHEN {is_object} THEN {inner} ELSE array(struct(e.key AS key, e.value AS value)) END))"))
-    last = (f"filter(`{out}`, (e, i) -> NOT exists(slice(`{out}`, i + 2, greatest(size(`{out}`) - i - 1, 0)), "
-            f"f -> f.key = e.key))")
+    # the entries are bound to one name: were their column named in a lambda, the optimizer could put all the parsing there
+    last = (f"transform(array(`{out}`), o -> filter(o, (e, i) -> NOT exists("
+            f"slice(o, i + 2, greatest(size(o) - i - 1, 0)), f -> f.key = e.key)))[0]")
     return spread.withColumn(out, F.expr(f"transform({last}, e -> struct(e.key AS key, to_json(e.value) AS value))"))
 
 

@@ -117,7 +117,9 @@ def fn_flatten_json(spark, sf_dir):
         F.lit('","list":['), F.col("event_id").cast("string"), F.lit(',{"deep":1}]}},"empty":{},"none":null,"props":'),
         F.col("props"), F.lit("}")).alias("json"))
     flat = J.flatten_json(nested, "json", "flat", sep="/")
-    return flat.select("event_id", F.explode("flat").alias("f")).select("event_id", "f.key", "f.value")
+    # explode would infer a filter on the whole list and parse each text again for it; the outer form does not
+    leaves = flat.select("event_id", F.explode_outer("flat").alias("f")).where(F.col("f").isNotNull())
+    return leaves.select("event_id", "f.key", "f.value")
 
 
 @register("fn_merge", """

@@ -114,3 +114,11 @@ def test_flatten_json_of_unknown_keys(spark):
            for r in J.flatten_json(spark.createDataFrame(rows, "id int, j string"), "j", sep="::").collect()}
     assert got == {1: [("a::b::c", "1"), ("d", '[{"x":1}]'), ("n", "null")], 2: None, 3: None, 4: None, 5: [],
                    6: [("a::b", "2"), ("z 'q", '"s"')]}
+
+
+def test_flatten_json_names_its_list_once(spark):
+    """Filters on the list inline its expression: were it named in a lambda, each leaf would parse the text again."""
+    rows = spark.createDataFrame([(1, '{"a": {"b": 1}, "c": 2}')], "id int, j string")
+    flat = J.flatten_json(rows, "j").where("size(flat) > 0")
+    plan = flat._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") <= 2 and [tuple(x) for x in flat.first()["flat"]] == [("a.b", "1"), ("c", "2")]
