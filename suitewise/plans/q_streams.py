@@ -66,8 +66,8 @@ def stream_scores(spark, sf_dir):
     from suitewise.operators import modeling as M
     from suitewise.plans.inputs import Inputs
     i = Inputs(spark, sf_dir)
-    rows = M._prepare(E.point_in_time_features(i.model_history))
-    model = M.fit(M.materialise(M.stratified_split(rows)).where(F.col("split") == "train"), "logistic_regression")
+    rows = M.materialised_for_training(E.point_in_time_features(i.model_history), M.stratified_split)
+    model = M.fit(rows.where(F.col("split") == "train"), "logistic_regression")
     base = S._run_dir(spark, "scores")
     S.stream_scores(S.event_stream(spark, sf_dir, "events.parquet"), model, base, f"{base}/checkpoint")
     s = spark.read.parquet(f"{base}/scores")

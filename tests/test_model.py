@@ -87,3 +87,37 @@ def test_untrained_model_raises_and_classes_stand_in_for_probabilities(spark):
     scored = M.failure_probability(M.fit(df, "linear_svc"), df).collect()
     assert len(scored) == 80 and {r["failure_probability"] for r in scored} <= {0.0, 1.0}
     assert all(r["failure_probability"] == r["prediction"] for r in scored)
+
+
+def _labelled(spark, n):
+    return spark.range(n).select(F.concat(F.lit("t::"), (F.col("id") % 9).cast("string")).alias(E.KEY), F.col("id").alias("exec_id"),
+                                 *[(F.col("id") % (i + 2)).cast("double").alias(c) for i, c in enumerate(E.FEATURE_NAMES)],
+                                 (F.col("id") % 4 == 0).cast("int").alias("label"))
+
+
+def test_training_rows_lie_in_even_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_A_TASK", 100, raising=False)
+    fitted, evaluated, fit, evaluate = [], [], M.fit, M.evaluate
+    monkeypatch.setattr(M, "fit", lambda rows, *a, **k: fitted.append(rows) or fit(rows, *a, **k))
+    monkeypatch.setattr(M, "evaluate", lambda scored: evaluated.append(scored) or evaluate(scored))
+    _, metrics = M.train(_labelled(spark, 1000), "logistic_regression")
+    sizes = [r["count"] for r in fitted[0].groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 800 and max(sizes) <= 100
+    # the metrics go over scores that were written, not over the model again
+    plan = evaluated[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "UDF" not in plan
+    assert {r["split"]: r["n"] for r in metrics.collect()} == {"train": 800, "test": 200}
+
+
+def test_folds_lie_in_even_bounded_parts(spark, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_A_TASK", 100, raising=False)
+    fitted, fit = [], M.fit
+    monkeypatch.setattr(M, "fit", lambda rows, *a, **k: fitted.append(rows) or fit(rows, *a, **k))
+    M.cross_validate(_labelled(spark, 600), "logistic_regression", k=2)
+    for rows in fitted:
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 300 and max(sizes) <= 100
+
+
+def test_number_of_training_parts():
+    assert [M.training_tasks(n, 8) for n in (0, 39_999, 40_000, 100_000, 1_000_000, 10_000_000)] == [1, 1, 2, 5, 8, 80]
