@@ -197,60 +197,66 @@ class InOrder(StatefulProcessor):
 
     The events wait in list state, ``machine`` holds what ``step`` returns, and one timer per key stands at its
     earliest waiting event. Only the waiting events of one key are in memory at a time: as many as arrive within
-    the watermark's delay.
+    the watermark's delay. An element of the list holds up to ``CHUNK`` events as columns, for each element is
+    written and read by itself, and each call to the state goes to the JVM and back.
     """
 
-    event = "us bigint, id bigint, kind string"
+    CHUNK = 1_000
+    events = "us array<bigint>, id array<bigint>, kind array<string>"
     machine: str
     start: tuple
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.event)
+        self.waiting = handle.getListState("waiting", self.events)
         self.state = handle.getValueState("machine", self.machine)
         self.timer = handle.getValueState("timer", "at bigint")
 
-    def _await(self, first_us: int | None) -> None:
-        """Set the key's timer to the first millisecond after ``first_us``."""
-        at = self.timer.get()[0] if self.timer.exists() else None
-        due = None if first_us is None else first_us // 1000 + 1
-        if at is not None and at != due:
+    def _await(self, first_us: int, at: int | None = None) -> None:
+        """Set the key's timer, which stands at ``at``, to the first millisecond after ``first_us``."""
+        due = first_us // 1000 + 1
+        if at is not None:
             self.handle.deleteTimer(at)
-        if due is None:
-            self.timer.clear()
-        elif at != due:
-            self.handle.registerTimer(due)
-            self.timer.update((due,))
+        self.handle.registerTimer(due)
+        self.timer.update((due,))
+
+    def _chunks(self, events: list[tuple]) -> list[tuple]:
+        return [tuple(list(c) for c in zip(*events[i:i + self.CHUNK])) for i in range(0, len(events), self.CHUNK)]
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000
         waits, late = [], []
-        for r in rows:
-            (late if r["us"] < passed_us else waits).append((r["us"], r["id"], r["kind"]))
+        for _, us, eid, kind in rows:
+            (late if us < passed_us else waits).append((us, eid, kind))
         if waits:
-            self.waiting.appendList(waits)
-            first = min(waits)[0]
-            if not self.timer.exists() or first // 1000 + 1 < self.timer.get()[0]:
+            self.waiting.appendList(self._chunks(waits))
+            first = min(e[0] for e in waits)
+            timer = self.timer.get()
+            if timer is None:
                 self._await(first)
+            elif first // 1000 + 1 < timer[0]:
+                self._await(first, timer[0])
         if late:
             yield from self.too_late(key, sorted(late, key=lambda e: e[:2]))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed_us = timerValues.getCurrentWatermarkInMs() * 1000
-        self.timer.clear()
         due, later = [], []
-        for e in self.waiting.get():
-            (due if e[0] < passed_us else later).append(tuple(e))
+        for chunk in self.waiting.get():
+            for e in zip(*chunk):
+                (due if e[0] < passed_us else later).append(e)
         due.sort(key=lambda e: e[:2])
         if later:
-            self.waiting.put(later)
-            self._await(min(later)[0])
+            self.waiting.put(self._chunks(later))
+            self._await(min(e[0] for e in later))  # the expired timer is gone
         else:
             self.waiting.clear()
+            self.timer.clear()
         yield from self.steps(key, due)
 
     def _machine(self) -> tuple:
-        return tuple(self.state.get()) if self.state.exists() else self.start
+        kept = self.state.get()
+        return self.start if kept is None else tuple(kept)
 
     def too_late(self, key, events) -> Iterator[Row]:
         raise NotImplementedError

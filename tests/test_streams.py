@@ -197,3 +197,65 @@ def test_scores_in_time_order_read_no_history_again(spark, event_folder, monkeyp
     S.score_batch(files[1], 1, _Counting, base)
     n = F.sum("n")
     assert spark.read.parquet(f"{base}/summaries/_batch=1").agg(n).first()[0] == files[0].count() + files[1].count()
+
+
+class _Kept:
+    """A list or value state that counts what is in it."""
+
+    def __init__(self, *_):
+        self.clear()
+
+    def clear(self):
+        self.elements, self.value = [], None
+
+    def appendList(self, elements):
+        self.elements += elements
+
+    def put(self, elements):
+        self.elements = list(elements)
+
+    def update(self, value):
+        self.value = value
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return iter(self.elements) if self.elements else self.value
+
+
+class _Handle:
+    def __init__(self):
+        self.timers = set()
+
+    getListState = getValueState = lambda self, *a: _Kept()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+
+class _Watermark:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_waiting_events_are_kept_many_to_an_element():
+    p, h = S._Admission(10_000, 1), _Handle()
+    p.init(h)
+    row = S.Row("user_id", "us", "id", "kind")
+    events = [(5_000 + (i * 7_919) % 5_000, i) for i in range(2_500)]
+    assert list(p.handleInputRows((1,), iter([row(1, us, i, "") for us, i in events]), _Watermark(0))) == []
+    assert len(p.waiting.elements) <= 3 and h.timers == {6}
+    got = [r["event_id"] for r in p.handleExpiredTimer((1,), _Watermark(8), None)]
+    assert got == [i for us, i in sorted(events) if us < 8_000]
+    assert len(p.waiting.elements) <= 2 and 9 in h.timers  # the first of the rest stands at 8,000 us
+    assert list(p.handleInputRows((1,), iter([row(1, 7_999, 9_999, "")]), _Watermark(8)))[0]["admitted"] is None
+    h.timers.clear()  # an expired timer is gone
+    got += [r["event_id"] for r in p.handleExpiredTimer((1,), _Watermark(99), None)]
+    assert got == [i for us, i in sorted(events)] and not p.waiting.elements and not h.timers
