@@ -125,3 +125,18 @@ def test_rows_of_a_hot_test_stay_in_their_tasks(spark):
             spark.conf.set(k, v)
     assert len(tasks) == 12 and max(tasks) < 200
     assert len(got) == 6000 and got["t::hot", 3] == 5997 and got["t::7", 7] == 7
+
+
+def test_rows_are_ordered_once_and_written_with_their_running_values(spark):
+    """What is built on the result reads written rows: it holds no window or sort over them again."""
+    df = spark.range(500).select("id", (F.col("id") % 3).alias("v"), (F.col("id") % 7 == 0).alias("f"))
+    c = running_totals(df, [F.col("id").desc()], ["v"], with_index="pos", last_before=["f"], at_last={"f": ["v"]})
+    windows = [line for line in c._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line]
+    assert windows and not any("_row#" in line for line in windows)  # those left are over one row per range
+    got = {(r["id"], r["pos"], r["cum_v"], r["f_v"]) for r in c.collect()}
+    total, at_flag, want = 0, None, set()
+    for pos, i in enumerate(range(499, -1, -1), 1):
+        total += i % 3
+        at_flag = total if i % 7 == 0 else at_flag
+        want.add((i, pos, total, at_flag))
+    assert got == want
