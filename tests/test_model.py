@@ -119,5 +119,20 @@ def test_folds_lie_in_even_bounded_parts(spark, monkeypatch):
         assert sum(sizes) == 300 and max(sizes) <= 100
 
 
+def test_folds_are_fitted_from_kept_columns_and_scored_before_these_are_dropped(spark, monkeypatch):
+    cached, fit = [], M.fit
+
+    def fitted(rows, *a, **k):
+        cached.append("InMemoryRelation" in rows._jdf.queryExecution().withCachedData().toString())
+        return fit(rows, *a, **k)
+
+    monkeypatch.setattr(M, "fit", fitted)
+    result = M.cross_validate(_labelled(spark, 300), "logistic_regression", k=3)
+    assert cached == [True] * 3
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "InMemoryRelation" not in plan
+    assert result.collect()[0]["accuracy_mean"] is not None
+
+
 def test_number_of_training_parts():
     assert [M.training_tasks(n, 8) for n in (0, 39_999, 40_000, 100_000, 1_000_000, 10_000_000)] == [1, 1, 2, 5, 8, 80]
