@@ -18,21 +18,25 @@ from pyspark.sql import functions as F
 
 from suitewise.operators import features as E
 from suitewise.operators.features import KEY, ORDER, RECENT_ROWS
+from suitewise.session import ensure_checkpoint_dir
 
 _COUNTS = ("n", "failures", "changed_rows", "coupled_rows", "timed_rows", "sum_time", "sum_coverage")
 
 
 def summarise(history: DataFrame) -> DataFrame:
-    """One row per test: counts, sums, spread of times, first and last position, the latest outcomes."""
-    stats = E.test_stats(history)
+    """One row per test: counts, sums, spread of times, first and last position, the latest outcomes.
+
+    Writes one checkpoint, of a row per test, when called.
+    """
     pos, time = F.struct(*ORDER), F.col("execution_time").cast("double")
-    more = history.groupBy(KEY).agg(
-        F.count("execution_time").alias("timed_rows"), F.avg(time).alias("mean_time"), F.var_pop(time).alias("var_time"),
-        F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos"))
+    ensure_checkpoint_dir(history.sparkSession)
+    stats = E.test_stats(  # written, for each further use would go over all rows again
+        history, F.count("execution_time").alias("timed_rows"), F.avg(time).alias("mean_time"),
+        F.var_pop(time).alias("var_time"), F.min(pos).alias("first_pos"), F.max(pos).alias("last_pos")).checkpoint()
     recent = E.last_rows(history, RECENT_ROWS).groupBy(KEY).agg(  # at most RECENT_ROWS rows a test
         F.transform(F.array_sort(F.collect_list(F.struct("rn", "passed"))), lambda r: r["passed"]).alias("recent"))
     since = E.since_last_failure(history, stats)
-    return stats.join(more, KEY).join(recent, KEY).join(since, KEY, "left").select(
+    return stats.join(recent, KEY).join(since, KEY, "left").select(
         KEY, *_COUNTS, "mean_time", (F.col("var_time") * F.col("timed_rows")).alias("squares_time"), "first_run_id",
         "first_pos", "last_pos", "latest", "recent", F.col("time_since_last_failure").alias("since_failure"))
 
